@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlake.operators.sequence import running, sliced, unsliced
+from voltlake.operators.sequence import running, settled, sliced, unsliced
 from voltlake.schema import CAR_TYPES, POINT_FIELDS
 
 BMS_COLUMNS = (
@@ -23,14 +23,25 @@ def _car_type() -> Column:
     return F.when(kind == 0, CAR_TYPES[0]).when(kind == 1, CAR_TYPES[1]).otherwise(CAR_TYPES[2])
 
 
+_ODOMETERS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _with_odometer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with the running odometer, settled once per session and input, as loaded telemetry would be."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ODOMETERS:
+        e = F.col("event_id")
+        step = F.when(e % 211 == 0, -1000).when(e % 29 == 0, -20).otherwise(e % 23)
+        rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+        placed = sliced(rows, ["user_id"], "ts", ["event_id"])
+        _ODOMETERS[key] = settled(unsliced(running(placed, ["user_id"], ["ts", "event_id"], sums={"_odo": step})))
+    return _ODOMETERS[key]
+
+
 def bms(spark: SparkSession, sf_dir: str, odometer: bool = False, shift: str = "plain") -> DataFrame:
     """Battery rows; ``shift`` spreads the times: plain, dense (24 h) or long (12 months)."""
     e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    if odometer:
-        step = F.when(e % 211 == 0, -1000).when(e % 29 == 0, -20).otherwise(e % 23)
-        placed = sliced(rows, ["user_id"], "ts", ["event_id"])
-        rows = unsliced(running(placed, ["user_id"], ["ts", "event_id"], sums={"_odo": step}))
+    rows = _with_odometer(spark, sf_dir) if odometer else table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     ts = {
         "plain": F.col("ts"),
         "dense": F.expr(

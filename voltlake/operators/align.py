@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.functions.expr import micros
 from voltlake.operators.sequence import (
-    ROWS_PER_SLICE, nearest_in_stream, sliced, time_bucket, unsliced, with_slices,
+    ROWS_PER_SLICE, carried, nearest_in_stream, sliced, unsliced, with_slices,
 )
 from voltlake.schema import NEAR_SECONDS
 
@@ -84,14 +84,19 @@ def nearest_to_few(
 def nearest_value(
     series: DataFrame, on: Sequence[str], ts: str, tiebreak: str, columns: Sequence[str],
     tolerance_s: float = NEAR_SECONDS, default: float | None = None, prefix: str = "near_",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int = ROWS_PER_SLICE, keep_slices: bool = False, **also,
 ) -> DataFrame:
-    """For wide rows with gaps: each column's value at the nearest row that has one, itself first."""
+    """For wide rows with gaps: each column's value at the nearest row that has one, itself first.
+
+    ``also`` adds sums, lasts or befores of ``sequence.carried`` to the same pass.
+    """
     timed = series.withColumn("_t", micros(ts))
     placed = sliced(timed, on, ts, [tiebreak], rows_per_slice=rows_per_slice)
     names = {f"{prefix}{name}": name for name in columns}
-    filled = nearest_in_stream(placed, on, [ts, tiebreak], "_t", names, tolerance_s * 1_000_000)
-    out = unsliced(filled).drop("_t")
+    filled = carried(
+        placed, on, [ts, tiebreak], nearest=names, time="_t", tolerance=tolerance_s * 1_000_000, **also
+    ).drop("_t")
+    out = filled if keep_slices else unsliced(filled)
     return out if default is None else out.fillna(default, subset=list(names))
 
 

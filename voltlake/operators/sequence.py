@@ -12,6 +12,7 @@ so they are the same on every recomputation, and ties of time are split by the l
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,6 +84,24 @@ def unsliced(df: DataFrame) -> DataFrame:
     return df.drop(BUCKET, PART)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The rows written once to the shared checkpoint folder, so later passes read them and not the lineage.
+
+    Every carried pass reads its input twice; chains of passes settle between them.  The folder is the one
+    the cluster names in ``spark.checkpoint.dir``.  Local sessions without one get a temporary folder; on a
+    cluster without one the lineage stays.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                return df
+            folder = tempfile.mkdtemp(prefix="voltlake-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def _forward(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*slice_keys(keys)).orderBy(*[F.col(name).asc() for name in order])
 
@@ -144,70 +163,72 @@ def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Ma
 # ---------------------------------------------------------------- unbounded frames
 
 
+def carried(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
+    sums: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None,
+    befores: Mapping[str, Column] | None = None, nearest: Mapping[str, str] | None = None,
+    time: str | None = None, tolerance: float = 0.0,
+) -> DataFrame:
+    """Columns that look back (or both ways) without limit, all in one pass over the stream.
+
+    sums     running total up to the current row
+    lasts    last non-null value up to the current row
+    befores  last non-null value before the current row
+    nearest  value of a column at the row nearest by the numeric column ``time`` that has one, NULL beyond
+             ``tolerance``; equally near values give the earlier
+    """
+    sums, lasts, befores, nearest = (dict(x or {}) for x in (sums, lasts, befores, nearest))
+    start, forth, back = Window.unboundedPreceding, _forward(keys, order), _backward(keys, order)
+    at = F.struct(*[F.col(name) for name in order])
+    earlier = _across(keys, F.col(BUCKET).asc(), F.col(PART).asc()).rowsBetween(start, -1)
+    later = _across(keys, F.col(BUCKET).desc(), F.col(PART).desc()).rowsBetween(start, -1)
+    inside, edges, handed, final = {}, [], [], {}
+
+    def hold(name: str, value: Column, window, pick, line) -> Column:
+        """One column: inside the slice, at its border, handed over the borders; then the better of both."""
+        mark = F.when(value.isNotNull(), at)
+        inside[f"_i_{name}"] = F.last(value, ignorenulls=True).over(window)
+        edges.append(pick(value, mark).alias(f"_e_{name}"))
+        handed.append(F.last(f"_e_{name}", ignorenulls=True).over(line).alias(f"_c_{name}"))
+        return F.coalesce(F.col(f"_i_{name}"), F.col(f"_c_{name}"))
+
+    for name, value in sums.items():
+        inside[f"_i_{name}"] = F.sum(value).over(forth.rowsBetween(start, 0))
+        edges.append(F.sum(value).alias(f"_e_{name}"))
+        handed.append(F.sum(f"_e_{name}").over(earlier).alias(f"_c_{name}"))
+        final[name] = F.coalesce(F.col(f"_i_{name}"), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0))
+    for name, value in lasts.items():
+        final[name] = hold(name, value, forth.rowsBetween(start, 0), F.max_by, earlier)
+    for name, value in befores.items():
+        final[name] = hold(name, value, forth.rowsBetween(start, -1), F.max_by, earlier)
+    for name, source in nearest.items():
+        seen = F.when(F.col(source).isNotNull(), F.struct(F.col(time).alias("t"), F.col(source).alias("v")))
+        previous = hold(f"p_{name}", seen, forth.rowsBetween(start, 0), F.max_by, earlier)
+        following = hold(f"n_{name}", seen, back.rowsBetween(start, 0), F.min_by, later)
+        ago, ahead = F.col(time) - previous["t"], following["t"] - F.col(time)
+        final[name] = (
+            F.when((ago <= tolerance) & (ahead.isNull() | (ago <= ahead)), previous["v"])
+            .when(ahead <= tolerance, following["v"])
+        )
+    borders = df.groupBy(*slice_keys(keys)).agg(*edges).select(*slice_keys(keys), *handed)
+    joined = df.withColumns(inside).join(borders, slice_keys(keys), "left")
+    return joined.select(*df.columns, *[value.alias(name) for name, value in final.items()])
+
+
 def running(
     df: DataFrame, keys: Sequence[str], order: Sequence[str],
     sums: Mapping[str, Column] | None = None, lasts: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Running totals and last non-null values from the start of the key up to the current row."""
-    sums, lasts = dict(sums or {}), dict(lasts or {})
-    window = _forward(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = F.struct(*[F.col(name) for name in order])
-    inside = {name: F.sum(expr).over(window) for name, expr in sums.items()}
-    inside |= {name: F.last(expr, ignorenulls=True).over(window) for name, expr in lasts.items()}
-    per_slice = [F.sum(expr).alias(name) for name, expr in sums.items()]
-    per_slice += [F.max_by(expr, F.when(expr.isNotNull(), at)).alias(name) for name, expr in lasts.items()]
-    earlier = _across(keys, F.col(BUCKET), F.col(PART)).rowsBetween(Window.unboundedPreceding, -1)
-    carried = [F.sum(name).over(earlier).alias(f"_c_{name}") for name in sums]
-    carried += [F.last(name, ignorenulls=True).over(earlier).alias(f"_c_{name}") for name in lasts]
-    borders = df.groupBy(*slice_keys(keys)).agg(*per_slice).select(*slice_keys(keys), *carried)
-    joined = df.withColumns(inside).join(borders, slice_keys(keys), "left")
-    final = {
-        name: F.coalesce(F.col(name), F.lit(0)) + F.coalesce(F.col(f"_c_{name}"), F.lit(0)) for name in sums
-    }
-    final |= {name: F.coalesce(F.col(name), F.col(f"_c_{name}")) for name in lasts}
-    return joined.withColumns(final).drop(*[f"_c_{name}" for name in (*sums, *lasts)])
+    return carried(df, keys, order, sums=sums, lasts=lasts)
 
 
 def nearest_in_stream(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, columns: Mapping[str, str],
     tolerance: float,
 ) -> DataFrame:
-    """Value of each column at the row nearest in time that has one, or NULL beyond the tolerance.
-
-    ``time`` is a numeric column and ``tolerance`` in its unit; equally near values give the earlier.
-    ``columns`` maps the new name to the source column.
-    """
-    forth = _forward(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    back = _backward(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = F.struct(*[F.col(name) for name in order])
-
-    def seen(source: str) -> Column:
-        value = F.col(source)
-        return F.when(value.isNotNull(), F.struct(F.col(time).alias("t"), value.alias("v")))
-
-    inside, edges, before, after = {}, [], [], []
-    earlier = _across(keys, F.col(BUCKET).asc(), F.col(PART).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    later = _across(keys, F.col(BUCKET).desc(), F.col(PART).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    for i, source in enumerate(columns.values()):
-        mark = F.when(F.col(source).isNotNull(), at)
-        inside[f"_p{i}"] = F.last(seen(source), ignorenulls=True).over(forth)
-        inside[f"_n{i}"] = F.last(seen(source), ignorenulls=True).over(back)
-        edges += [F.max_by(seen(source), mark).alias(f"_l{i}"), F.min_by(seen(source), mark).alias(f"_f{i}")]
-        before.append(F.last(f"_l{i}", ignorenulls=True).over(earlier).alias(f"_cp{i}"))
-        after.append(F.last(f"_f{i}", ignorenulls=True).over(later).alias(f"_cn{i}"))
-    borders = df.groupBy(*slice_keys(keys)).agg(*edges).select(*slice_keys(keys), *before, *after)
-    joined = df.withColumns(inside).join(borders, slice_keys(keys), "left")
-    final, scratch = {}, []
-    for i, name in enumerate(columns):
-        previous = F.coalesce(F.col(f"_p{i}"), F.col(f"_cp{i}"))
-        following = F.coalesce(F.col(f"_n{i}"), F.col(f"_cn{i}"))
-        ago, ahead = F.col(time) - previous["t"], following["t"] - F.col(time)
-        final[name] = (
-            F.when((ago <= tolerance) & (ahead.isNull() | (ago <= ahead)), previous["v"])
-            .when(ahead <= tolerance, following["v"])
-        )
-        scratch += [f"_p{i}", f"_n{i}", f"_cp{i}", f"_cn{i}"]
-    return joined.withColumns(final).drop(*scratch)
+    """``carried`` for nearest values only: ``columns`` maps the new name to the source column."""
+    return carried(df, keys, order, nearest=columns, time=time, tolerance=tolerance)
 
 
 # ---------------------------------------------------------------- whole-table order

@@ -10,7 +10,7 @@ from voltlake.functions import expr as E
 from voltlake.functions.expr import rounded
 from voltlake.operators.align import mean_within, nearest_value
 from voltlake.operators.select import last_interval
-from voltlake.operators.sequence import lagged, running, sliced, unsliced
+from voltlake.operators.sequence import BUCKET, PART, lagged, running, settled, sliced, unsliced
 from voltlake.plans.battery import with_position
 
 DEVICE = ["device_no"]
@@ -76,16 +76,20 @@ def charging_sessions(bms: DataFrame, row_id: str = "event_id") -> DataFrame:
     """
     order = ["msg_ts", row_id]
     rows = bms.select("device_no", row_id, "msg_ts", "soc", "pack_current", "pack_volt")
-    near = nearest_value(rows, DEVICE, "msg_ts", row_id, ["pack_current"]).where(F.col("soc").isNotNull())
-    placed = sliced(near.select("device_no", row_id, "msg_ts", "soc", "near_pack_current"), DEVICE, "msg_ts", [row_id])
-    stepped = lagged(placed, DEVICE, order, {"_soc": "soc", "_ts": "msg_ts"})
+    reading = F.when(F.col("soc").isNotNull(), F.struct(F.col("soc").alias("soc"), F.col("msg_ts").alias("ts")))
+    stepped = nearest_value(
+        rows, DEVICE, "msg_ts", row_id, ["pack_current"], keep_slices=True, befores={"_before": reading}
+    ).where(F.col("soc").isNotNull()).select(
+        "device_no", row_id, "msg_ts", BUCKET, PART, "soc", "near_pack_current",
+        F.col("_before.soc").alias("_soc"), F.col("_before.ts").alias("_ts"),
+    )
     change = F.col("soc") - F.col("_soc")
     marked = stepped.where(F.abs(change) >= S.SOC_NOISE).withColumns({
         "_change": change,
         "_fall": (change < 0).cast("int"),
         "_mark": F.when(change < 0, "fall").when((change > S.SOC_NOISE) & (F.col("near_pack_current") > S.OPEN_CURRENT), "open"),
     })
-    seen = running(marked, DEVICE, order, sums={"_falls": F.col("_fall")}, lasts={"_state": F.col("_mark")})
+    seen = running(settled(marked), DEVICE, order, sums={"_falls": F.col("_fall")}, lasts={"_state": F.col("_mark")})
     member = (F.col("_change") > 0) & (F.col("_state") == "open")
     closed = seen.groupBy("device_no", (F.col("_falls") - F.col("_fall")).alias("session_id")).agg(
         F.min(F.when(member, F.col("_ts"))).alias("start_time"),
@@ -96,7 +100,7 @@ def charging_sessions(bms: DataFrame, row_id: str = "event_id") -> DataFrame:
         F.max("_fall").alias("_closed"),
     ).where((F.col("_closed") == 1) & F.col("start_time").isNotNull()).drop("_closed")
     full = mean_within(
-        closed, bms.select("device_no", "msg_ts", "pack_current", "pack_volt"), DEVICE, ["session_id"],
+        settled(closed), bms.select("device_no", "msg_ts", "pack_current", "pack_volt"), DEVICE, ["session_id"],
         "start_time", "end_time", "msg_ts", ["pack_current", "pack_volt"], pad_s=S.NEAR_SECONDS,
     )
     amps, volts = F.coalesce("mean_pack_current", F.lit(0.0)), F.coalesce("mean_pack_volt", F.lit(0.0))

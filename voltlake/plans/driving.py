@@ -9,7 +9,7 @@ from voltlake import schema as S
 from voltlake.functions import expr as E
 from voltlake.functions.expr import rounded
 from voltlake.operators.align import nearest_value
-from voltlake.operators.sequence import lagged, running, sliced, unsliced
+from voltlake.operators.sequence import BUCKET, PART, lagged, running, settled, sliced, unsliced
 from voltlake.plans.battery import with_position
 
 DEVICE = ["device_no"]
@@ -141,14 +141,11 @@ def segments(
     order = ["msg_ts", row_id]
     columns = ["pack_volt", "pack_current", "soh", "odometer"]
     rows = bms.select("device_no", row_id, "msg_ts", "soc", *columns)
-    near = nearest_value(rows, DEVICE, "msg_ts", row_id, columns)
-    placed = sliced(near, DEVICE, "msg_ts", [row_id])
-    counted = running(
-        placed, DEVICE, order,
-        sums={"_seg": F.col("soc").isNotNull().cast("int")},
-    )
+    counted = settled(nearest_value(
+        rows, DEVICE, "msg_ts", row_id, columns, keep_slices=True, sums={"_seg": F.col("soc").isNotNull().cast("int")}
+    ))
     # Odometer steps between rows that have a reading.
-    with_odo = counted.where(F.col("odometer").isNotNull()).select("device_no", row_id, "msg_ts", "_bucket", "_part", "soc", "odometer", "_seg")
+    with_odo = counted.where(F.col("odometer").isNotNull()).select("device_no", row_id, "msg_ts", BUCKET, PART, "soc", "odometer", "_seg")
     steps = lagged(with_odo, DEVICE, order, {"_odo": "odometer", "_last": "_seg"})
     diff = F.col("odometer") - F.col("_odo")
     inside = (F.col("_seg") == F.col("_last")) | (F.col("soc").isNotNull() & (F.col("_seg") == F.col("_last") + 1))
@@ -286,11 +283,12 @@ def efficiency_steps(bms: DataFrame, row_id: str = "event_id", min_current: floa
     """Per SOC reading: SOC spent per km while driving, SOC gained per minute while charging."""
     order = ["msg_ts", row_id]
     rows = bms.select("device_no", row_id, "msg_ts", "soc", "odometer", "pack_current")
-    near = nearest_value(rows, DEVICE, "msg_ts", row_id, ["odometer", "pack_current"]).where(F.col("soc").isNotNull())
-    stepped = lagged(
-        sliced(near, DEVICE, "msg_ts", [row_id]), DEVICE, order,
-        {"_soc": "soc", "_ts": "msg_ts", "_odo": "near_odometer"},
+    near = nearest_value(rows, DEVICE, "msg_ts", row_id, ["odometer", "pack_current"], keep_slices=True)
+    readings = settled(
+        near.where(F.col("soc").isNotNull())
+        .select("device_no", row_id, "msg_ts", BUCKET, PART, "soc", "near_odometer", "near_pack_current")
     )
+    stepped = lagged(readings, DEVICE, order, {"_soc": "soc", "_ts": "msg_ts", "_odo": "near_odometer"})
     change, km = F.col("soc") - F.col("_soc"), F.col("near_odometer") - F.col("_odo")
     minutes = E.seconds_between("_ts", "msg_ts") / 60
     return unsliced(stepped).select(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voltlake.functions import expr as E
 from voltlake.functions.expr import rounded
 from voltlake.operators.select import latest_value, top_k, where_opt
-from voltlake.operators.sequence import global_row_number, running, unsliced, with_slices
+from voltlake.operators.sequence import global_row_number, running, settled, unsliced, with_slices
 
 CATEGORIES = ("TOP_10", "HIGH_PERFORMANCE", "AVERAGE", "NEEDS_ATTENTION")
 
@@ -33,14 +33,15 @@ def percentile(df: DataFrame, score: str, name: str) -> DataFrame:
 
 def vehicle_rankings(vehicles: DataFrame) -> DataFrame:
     """Ranks by score, SOH and SOC (ties by vehicle id) and a percentile category."""
-    scored = vehicles.where(F.col("latest_soh").isNotNull()).select(
+    scored = settled(vehicles.where(F.col("latest_soh").isNotNull()).select(
         "vehicle_id", "vehicle_type", "latest_soh", "latest_soc",
         F.col("cell_balance_index").alias("avg_efficiency"), overall_score().alias("overall_score"),
-    )
-    ranked = global_row_number(scored, "overall_rank", F.col("overall_score"), ["vehicle_id"], 0.01)
-    ranked = global_row_number(ranked, "soh_rank", F.col("latest_soh"), ["vehicle_id"], 0.01)
-    ranked = global_row_number(ranked, "soc_rank", F.col("latest_soc"), ["vehicle_id"], 0.01)
-    return percentile(ranked, "overall_score", "_pct").withColumn(
+    ))
+    ranked = percentile(scored, "overall_score", "_pct")
+    for name, column in (("overall_rank", "overall_score"), ("soh_rank", "latest_soh"), ("soc_rank", "latest_soc")):
+        place = global_row_number(scored.select("vehicle_id", column), name, F.col(column), ["vehicle_id"], 0.01)
+        ranked = ranked.join(place.select("vehicle_id", name), "vehicle_id")
+    return ranked.withColumn(
         "performance_category", E.grade("_pct", (90, 75, 50), CATEGORIES)
     ).drop("_pct")
 
