@@ -40,8 +40,12 @@ def _with_odometer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bms(spark: SparkSession, sf_dir: str, odometer: bool = False, shift: str = "plain") -> DataFrame:
     """Battery rows; ``shift`` spreads the times: plain, dense (24 h) or long (12 months)."""
+    return bms_of(_with_odometer(spark, sf_dir) if odometer else table(spark, sf_dir, "events"), shift)
+
+
+def bms_of(events: DataFrame, shift: str = "plain") -> DataFrame:
+    """Battery rows of a batch or stream of events; an odometer column only where the events carry one."""
     e = F.col("event_id")
-    rows = _with_odometer(spark, sf_dir) if odometer else table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     ts = {
         "plain": F.col("ts"),
         "dense": F.expr(
@@ -64,9 +68,9 @@ def bms(spark: SparkSession, sf_dir: str, odometer: bool = False, shift: str = "
         (3 + (e % 50).cast("double") / 100 + ((e * 11) % 1500).cast("double") / 100).alias("max_cell_volt"),
         F.when(e % 31 != 0, (e % 2).cast("int")).alias("chrg_cable_conn"),
     ]
-    if odometer:
+    if "_odo" in events.columns:
         columns.append((F.col("_odo").cast("double") / 10).alias("odometer"))
-    return rows.select(*columns)
+    return events.select(*columns)
 
 
 def bms_dense(spark: SparkSession, sf_dir: str, odometer: bool = False) -> DataFrame:
@@ -78,8 +82,12 @@ def bms_long(spark: SparkSession, sf_dir: str, odometer: bool = False) -> DataFr
 
 
 def gps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gps_of(table(spark, sf_dir, "events"))
+
+
+def gps_of(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
-    return table(spark, sf_dir, "events").where(e % 5 != 0).select(
+    return events.where(e % 5 != 0).select(
         e.alias("gps_id"),
         F.col("user_id").cast("string").alias("device_no"),
         _car_type().alias("car_type"),

@@ -15,7 +15,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltlake.functions.expr import micros
@@ -84,22 +84,26 @@ def unsliced(df: DataFrame) -> DataFrame:
     return df.drop(BUCKET, PART)
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The checkpoint folder the session names; a temporary one for local sessions without a setting."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and context.master.startswith("local"):
+            folder = tempfile.mkdtemp(prefix="voltlake-")
+        if folder is None:
+            return None
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """The rows written once to the shared checkpoint folder, so later passes read them and not the lineage.
 
-    Every carried pass reads its input twice; chains of passes settle between them.  The folder is the one
-    the cluster names in ``spark.checkpoint.dir``.  Local sessions without one get a temporary folder; on a
-    cluster without one the lineage stays.
+    Every carried pass reads its input twice; chains of passes settle between them.  On a cluster that
+    names no shared folder the lineage stays.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                return df
-            folder = tempfile.mkdtemp(prefix="voltlake-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    return df if shared_folder(df.sparkSession) is None else df.checkpoint()
 
 
 def _forward(keys: Sequence[str], order: Sequence[str]):

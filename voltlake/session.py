@@ -22,7 +22,3 @@ def local_session(cores: int | str = "*", name: str = "voltlake", **conf: str) -
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared folder the cluster names for checkpoints, or None where it names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
