@@ -80,7 +80,7 @@ CHECKS = [
     check("stream_charging_sessions", _sessions,
           with_views("""SELECT device_no, min(msg_ts) AS session_start, max(msg_ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS charging_rows, avg(pack_current) AS avg_current, min(soc) AS min_soc, max(soc) AS max_soc, max(msg_ts) AS last_row
 FROM (SELECT *, sum(opens) OVER (PARTITION BY device_no ORDER BY msg_ts, event_id) AS run FROM (
-  SELECT *, CASE WHEN msg_ts - lag(msg_ts) OVER (PARTITION BY device_no ORDER BY msg_ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM bms_dense WHERE pack_current > 0))
+  SELECT *, CASE WHEN msg_ts - lag(msg_ts) OVER (PARTITION BY device_no ORDER BY msg_ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS opens FROM bms_dense WHERE pack_current > 0))
 GROUP BY device_no, run HAVING max(msg_ts) + INTERVAL 30 MINUTE <= (SELECT max(msg_ts) - INTERVAL 1 HOUR FROM bms_dense WHERE pack_current > 0)""", "bms_dense"), "avg_current"),
     check("stream_alignment", _aligned,
           with_views("""SELECT b.event_id, b.device_no, b.msg_ts, b.soc, g.time AS gps_time, g.speed AS gps_speed, g.lat AS gps_lat, g.lng AS gps_lng FROM bms b
