@@ -50,7 +50,7 @@ def charging_sessions_by_current(
         "_end": F.coalesce((now < threshold) & (before >= threshold), F.lit(False)),
     })
     numbered = running(marked, DEVICE, order, sums={"session_id": F.col("_start").cast("int")})
-    inside = unsliced(numbered).where((F.col("session_id") > 0) & ((now >= threshold) | F.col("_end")))
+    inside = settled(unsliced(numbered).where((F.col("session_id") > 0) & ((now >= threshold) | F.col("_end"))))
     placed = with_position(inside, gps, False, take=["speed", "fuel_pct"], row_id=row_id, gps_id=gps_id)
     folded = placed.groupBy("device_no", "car_type", "session_id").agg(
         F.min(F.when(F.col("_start"), F.col("msg_ts"))).alias("charge_start_time"),

@@ -276,9 +276,10 @@ def fleet_summary(points: DataFrame, snapshot: DataFrame) -> DataFrame:
         mean("odometer", "avg_odometer"), mean("speed", "avg_speed"),
         F.max(F.when(F.col("field") == "mod_max_temp", F.col("value"))).alias("max_temp"),
         F.min(F.when(F.col("field") == "mod_min_temp", F.col("value"))).alias("min_temp"),
-    ).withColumn("_one", F.lit(1))
-    power = snapshot.agg(F.avg("power_w").alias("avg_power")).withColumn("_one", F.lit(1))
-    return over_points.join(power, "_one").drop("_one")  # one row on either side
+    )
+    power = snapshot.agg(F.avg("power_w").alias("avg_power"))
+    both = over_points.unionByName(power, allowMissingColumns=True)  # one row each, folded into one
+    return both.agg(*[F.max(name).alias(name) for name in both.columns])
 
 
 def point_counts(points: DataFrame) -> DataFrame:

@@ -19,16 +19,13 @@ def overall_score() -> Column:
 
 
 def percentile(df: DataFrame, score: str, name: str) -> DataFrame:
-    """PERCENT_RANK * 100 through counts per distinct score: no task orders the vehicles."""
+    """PERCENT_RANK * 100 through counts per distinct score of settled rows: no task orders the vehicles."""
+    total = df.count()
     counts = df.groupBy(score).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
     placed = with_slices(counts, ["_all"], [score], F.floor(F.coalesce(F.col(score), F.lit(-1e9))))
     below = unsliced(running(placed, ["_all"], [score], sums={"_upto": F.col("_n")}))
-    total = counts.groupBy("_all").agg(F.sum("_n").alias("_total"))
-    place = below.join(total, "_all").select(
-        score,
-        F.when(F.col("_total") > 1, (F.col("_upto") - F.col("_n")) / (F.col("_total") - 1) * 100).otherwise(0.0).alias(name),
-    )
-    return df.join(place, score, "left")
+    place = (F.col("_upto") - F.col("_n")) / (total - 1) * 100 if total > 1 else F.lit(0.0)
+    return df.join(below.select(score, place.alias(name)), score, "left")
 
 
 def vehicle_rankings(vehicles: DataFrame) -> DataFrame:

@@ -36,20 +36,31 @@ def align_streams(
     bms: DataFrame, gps: DataFrame, seconds: int = 300, late: str = "10 minutes",
 ) -> DataFrame:
     """Battery rows with every position within the interval; rows without one appear once the watermark passes."""
-    left = timed(bms, "msg_ts").withWatermark("msg_ts", late).alias("b")
-    right = timed(gps, "time").withWatermark("time", late).alias("g")
+    # Time cells in the key spread the state of a busy device; a position is kept for its cell and both neighbours.
+    width = seconds * 1_000_000
+    home = F.floor(F.unix_micros("time") / width)
+    left = timed(bms, "msg_ts").withWatermark("msg_ts", late).withColumn("_cell", F.floor(F.unix_micros("msg_ts") / width)).alias("b")
+    right = (
+        timed(gps, "time").withWatermark("time", late)
+        .withColumn("_cell", F.explode(F.array(home - 1, home, home + 1))).alias("g")
+    )
     gap = F.expr(f"INTERVAL {seconds} SECONDS")
     near = (
-        (F.col("b.device_no") == F.col("g.device_no"))
+        (F.col("b.device_no") == F.col("g.device_no")) & (F.col("b._cell") == F.col("g._cell"))
         & (F.col("g.time") >= F.col("b.msg_ts") - gap) & (F.col("g.time") <= F.col("b.msg_ts") + gap)
     )
     return left.join(right, near, "left").select(
-        "b.*", *[F.col(f"g.{name}").alias(f"gps_{name}") for name in ("time", "speed", "lat", "lng")]
+        *[F.col(f"b.{name}") for name in bms.columns],
+        *[F.col(f"g.{name}").alias(f"gps_{name}") for name in ("time", "speed", "lat", "lng")],
     )
 
 
 def charging_by_gap(bms: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
-    """Charging sessions as runs of charging rows without a pause longer than the gap."""
+    """Charging sessions as runs of charging rows without a pause longer than the gap.
+
+    Rows are merged into sessions inside each input task first, so a busy device sends few sessions.
+    """
+    bms.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = timed(bms.where(F.col("pack_current") > 0), "msg_ts").withWatermark("msg_ts", late)
     return rows.groupBy("device_no", F.session_window("msg_ts", gap)).agg(
         F.count("*").alias("charging_rows"), F.avg("pack_current").alias("avg_current"),
