@@ -77,7 +77,7 @@ _RANK_CTES = dict(latest=LATEST, vehicles=VEHICLES, ranked=_RANKED, rankings=_RA
 _HEALTH = f"""SELECT device_no, car_type, health AS composite_health_index,
     {graded('health', (95, 90, 85, 80), ('excellent', 'very_good', 'good', 'fair', 'needs_attention'))} AS health_grade
   FROM (SELECT device_no, car_type,
-      {r('''soh * 0.40 + coalesce(greatest(0, 100 - (max_cell_volt - min_cell_volt) / pack_volt * 1000), 100) * 0.25
+      {r('''soh * 0.40 + CASE WHEN max_cell_volt IS NOT NULL AND min_cell_volt IS NOT NULL AND pack_volt > 0 THEN greatest(0, 100 - (max_cell_volt - min_cell_volt) / pack_volt * 1000) ELSE 100 END * 0.25
         + CASE WHEN mod_avg_temp BETWEEN 15 AND 35 THEN 100 WHEN mod_avg_temp BETWEEN 10 AND 40 THEN 80
             WHEN mod_avg_temp BETWEEN 5 AND 45 THEN 60 ELSE 40 END * 0.20 + greatest(0, 100 - std * 10) * 0.15''', 2)} AS health
     FROM (SELECT *, stddev_samp(pack_volt) OVER (PARTITION BY car_type, device_no ORDER BY msg_ts, event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS std,

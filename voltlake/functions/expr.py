@@ -54,7 +54,12 @@ def safe_div(a: Name, b: Name) -> Column:
 
 
 def clamp(value: Name, low: float, high: float) -> Column:
-    return F.least(F.lit(high), F.greatest(F.lit(low), c(value)))
+    """Value held between the bounds; NULL stays NULL, which ``greatest`` alone would turn into a bound."""
+    return F.when(c(value).isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c(value))))
+
+
+def at_least_zero(value: Name) -> Column:
+    return F.when(c(value).isNotNull(), F.greatest(F.lit(0.0), c(value)))
 
 
 def pct_change(value: Name, previous: Name) -> Column:
@@ -154,7 +159,7 @@ def power_kw() -> Column:
 
 
 def balance_score() -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), 100 - cell_spread() * 1000), F.lit(100.0))
+    return F.coalesce(at_least_zero(100 - cell_spread() * 1000), F.lit(100.0))
 
 
 def temperature_score(temp: Name = "mod_avg_temp") -> Column:
@@ -178,11 +183,11 @@ def composite_health(variant: str = "components") -> Column:
             + F.col("temperature_score") * 0.20 + F.col("voltage_stability_score") * 0.15
         )
     if variant == "clipped":
-        warmth = F.greatest(F.lit(0.0), 100 - F.abs(F.col("mod_avg_temp") - 25) * 2)
-        balance = F.greatest(F.lit(0.0), 100 - F.col("cell_balance_index") * 10)
+        warmth = at_least_zero(100 - F.abs(F.col("mod_avg_temp") - 25) * 2)
+        balance = at_least_zero(100 - F.col("cell_balance_index") * 10)
         return clamp(F.col("soh") * 0.4 + F.col("soc") * 0.2 + warmth * 0.2 + balance * 0.2, 0.0, 100.0)
     if variant == "simple":
-        balance = F.greatest(F.lit(0.0), 100 - F.col("cell_balance_index"))
+        balance = at_least_zero(100 - F.col("cell_balance_index"))
         return F.col("soh") * 0.6 + F.col("soc") * 0.2 + balance * 0.2
     raise ValueError(f"unknown health index: {variant}")
 

@@ -14,7 +14,7 @@ CATEGORIES = ("TOP_10", "HIGH_PERFORMANCE", "AVERAGE", "NEEDS_ATTENTION")
 
 
 def overall_score() -> Column:
-    balance = F.greatest(F.lit(0.0), 100 - F.col("cell_balance_index"))
+    balance = E.at_least_zero(100 - F.col("cell_balance_index"))
     return rounded(F.col("latest_soh") * 0.50 + F.col("latest_soc") * 0.30 + balance * 0.20, 2)
 
 
