@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions.expr import micros
 from voltlake.operators.sequence import (
-    ROWS_PER_SLICE, carried, nearest_in_stream, sliced, unsliced, with_slices,
+    ROWS_PER_SLICE, SLICE_SECONDS, carried, nearest_in_stream, sliced, unsliced, with_slices,
 )
 from voltlake.schema import NEAR_SECONDS
 
@@ -25,7 +25,7 @@ def one_per_instant(df: DataFrame, on: Sequence[str], time: str, order: Sequence
 def nearest_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str,
     left_id: str, right_id: str, take: Sequence[str], tolerance_s: float = NEAR_SECONDS,
-    seconds: int = 86_400, rows_per_slice: int = ROWS_PER_SLICE,
+    seconds: int = SLICE_SECONDS, rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Left rows, each with the ``take`` columns of its nearest right row within the tolerance.
 

@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 
 from voltlake.functions.expr import micros
 
-DAY_SECONDS = 86_400
+SLICE_SECONDS = 30 * 86_400
 ROWS_PER_SLICE = 1_000_000
 SAMPLES_PER_SLICE = 64
-MAX_CUTS = 512  # borders per bucket; fuller parts, never fewer rows, beyond it
+MAX_CUTS = 4096  # borders per bucket; beyond it parts get fuller, no row is left out
 
 BUCKET, PART = "_bucket", "_part"
 
 
-def time_bucket(ts: str | Column, seconds: int = DAY_SECONDS) -> Column:
+def time_bucket(ts: str | Column, seconds: int = SLICE_SECONDS) -> Column:
     return F.floor(micros(ts) / F.lit(seconds * 1_000_000)).cast("long")
 
 
@@ -73,7 +73,7 @@ def with_slices(
 
 
 def sliced(
-    df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = (), seconds: int = DAY_SECONDS,
+    df: DataFrame, keys: Sequence[str], ts: str, tiebreak: Sequence[str] = (), seconds: int = SLICE_SECONDS,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Slices of a stream ordered by time, then by the tie-break columns."""

@@ -13,6 +13,8 @@ def local_session(cores: int | str = "*", name: str = "voltlake", **conf: str) -
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # Python call sites on every column cost more than planning does.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **{key.replace("__", "."): value for key, value in conf.items()},
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(name)
