@@ -42,6 +42,10 @@ def _seasonal(s, d):
     return forecast.forecast_soh_seasonal(model, forecast.last_dates(rows), 30)
 
 
+def _seasonal_report(s, d):
+    return forecast.soh_report(X.bms_long(s, d), _seasonal(s, d)).withColumn("history", F.size("history"))
+
+
 def _features(s, d):
     return energy.energy_features(X.points(s, d))
 
@@ -76,6 +80,7 @@ CHECKS = [
     check("recent_history", lambda s, d: forecast.recent_history(X.bms_long(s, d)),
           with_views("SELECT device_no, car_type, event_id, msg_ts, soh FROM bms_long WHERE soh > 0 QUALIFY row_number() OVER (PARTITION BY device_no ORDER BY msg_ts DESC, event_id DESC) <= 30", "bms_long")),
     check("forecast_soh_seasonal", _seasonal),
+    check("soh_report_seasonal", _seasonal_report),
     check("energy_features", _features,
           with_views(f"""SELECT time, device_no, car_type, {', '.join(energy.SENSORS)}, pack_volt * pack_current AS instant_power_w, pack_volt * pack_current / 1000 AS instant_power_kw,
   CAST(hour(time) AS INT) AS hour, CAST(isodow(time) - 1 AS INT) AS day_of_week, CAST(month(time) AS INT) AS month, CAST(month(time) % 12 // 3 AS INT) AS season,

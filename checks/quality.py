@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.base import check, with_views
 from voltlake import fixtures as X
 from voltlake.operators import clean, quality
+from voltlake.operators.sequence import shared_folder
+from voltlake.sources import io
 from voltlake.sources import points as P
 
 _PROFILED = ("event_id", "soc", "soh", "pack_current", "mod_avg_temp", "chrg_cable_conn", "device_no")
@@ -66,7 +70,34 @@ def _raw(s, d):
     )
 
 
+_RAW_COLUMNS = ("device_no", "car_type", "msg_time", "soc", "pack_current", "msg_id")
+_CLEANED = """SELECT device_no, car_type, strftime(msg_ts, '%y-%m-%d %H:%M:%S') AS msg_time, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 THEN NULL ELSE soc END AS soc,
+  pack_current, CAST(event_id AS DOUBLE) AS msg_id, date_trunc('second', msg_ts) AS msg_ts, CAST(msg_ts AS DATE) AS day FROM bms WHERE event_id % 50 <> 0"""
+
+
+def _raw_files(s, d):
+    """The raw rows as CSV files in a new shared folder, one subfolder per vehicle type."""
+    place = f"{shared_folder(s)}/raw/{uuid.uuid4().hex}"
+    rows = _raw(s, d).select(*_RAW_COLUMNS, F.col("car_type").alias("kind"))
+    rows.write.partitionBy("kind").option("header", True).csv(f"{place}/in")
+    return place
+
+
+def _ingested(s, d):
+    place = _raw_files(s, d)
+    for _ in range(2):  # the second run finds no new file
+        io.ingest_incremental(s, f"{place}/in", f"{place}/clean", f"{place}/state", "bms", _RAW_COLUMNS)
+    return s.read.parquet(f"{place}/clean").withColumn("msg_ts", F.col("msg_ts").cast("timestamp_ntz"))
+
+
+def _tree(s, d):
+    raw = io.read_tree(s, f"{_raw_files(s, d)}/in", "", _RAW_COLUMNS)
+    return raw.groupBy(io.type_from_path("source_file").alias("path_type"), "car_type").agg(F.count("*").alias("rows"))
+
+
 CHECKS = [
+    check("ingest_incremental", _ingested, with_views(_CLEANED, "bms"), "pack_current soc"),
+    check("read_tree", _tree, with_views("SELECT car_type AS path_type, car_type, count(*) AS rows FROM bms GROUP BY 1, 2", "bms")),
     check("profile", _profile, with_views(f"SELECT * FROM ({_PROFILE})", "bms"), "null_percentage min_val max_val"),
     check("profile_rollup", _rollup,
           with_views("""SELECT car_type, 'bms' AS kind, column_name, count(DISTINCT file) AS files, CAST(sum(total_count) AS BIGINT) AS total_rows, sum(0.5::DOUBLE) AS size_mb, CAST(sum(null_count) AS BIGINT) AS null_count,
@@ -87,8 +118,7 @@ FROM files GROUP BY 1, 3""", "bms", files=_FILES), "mean_null_percentage"),
     check("fix_year", lambda s, d: _texts(s, d).select("event_id", clean.fix_year("text").cast("timestamp_ntz").alias("fixed")),
           "SELECT event_id, CASE WHEN event_id % 6 < 4 THEN date_trunc('second', ts) END AS fixed FROM events"),
     check("clean_bms", lambda s, d: clean.clean_bms(_raw(s, d)).withColumn("msg_ts", F.col("msg_ts").cast("timestamp_ntz")),
-          with_views("""SELECT device_no, car_type, strftime(msg_ts, '%y-%m-%d %H:%M:%S') AS msg_time, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 THEN NULL ELSE soc END AS soc,
-  pack_current, CAST(event_id AS DOUBLE) AS msg_id, date_trunc('second', msg_ts) AS msg_ts, CAST(msg_ts AS DATE) AS day FROM bms WHERE event_id % 50 <> 0""", "bms"), "pack_current soc"),
+          with_views(_CLEANED, "bms"), "pack_current soc"),
     check("expand_list", lambda s, d: clean.expand_list(
         X.bms(s, d).select("event_id", F.concat_ws("|", "soc", "soh", "pack_volt").alias("cells")), "cells", "|", 3),
           with_views("""SELECT event_id, cells[1] AS cells_1, cells[2] AS cells_2, cells[3] AS cells_3 FROM (SELECT event_id, string_split(concat_ws('|', soc, soh, pack_volt), '|') AS cells FROM bms)""", "bms")),
