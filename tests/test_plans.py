@@ -31,3 +31,10 @@ def test_every_name_is_registered_once():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(entry.queries()) > 100
+
+
+def test_entry_sets_only_what_a_running_session_allows(spark):
+    import __spark_entry__ as entry
+
+    assert entry.entry(spark).count() == 4
+    assert entry.queries()["list_devices"](spark, SF).count() > 0
