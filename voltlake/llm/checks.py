@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlake.llm import digest_index
+from voltlake.llm import digest_index, multiset_hash, secret_scan
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -23,7 +23,17 @@ OP8_SQL = """SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS gr
   doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))"""
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scanned(_table(spark, sf_dir, "documents"))
+
+
+def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset_hash.compared(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Run] = {
+    "op4_multiset_hash": op4_multiset_hash,
+    "op6_secret_scan": op6_secret_scan,
     "op8_digest_index": op8_digest_index,
 }
 
