@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlake.llm import digest_index, multiset_hash, secret_scan
+from voltlake.llm import digest_index, language_id, multiset_hash, secret_scan
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -27,11 +27,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identified(_table(spark, sf_dir, "documents"))
+
+
 def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compared(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Run] = {
+    "op3_language_id": op3_language_id,
     "op4_multiset_hash": op4_multiset_hash,
     "op6_secret_scan": op6_secret_scan,
     "op8_digest_index": op8_digest_index,
