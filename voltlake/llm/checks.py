@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlake.llm import digest_index, language_id, multiset_hash, secret_scan
+from voltlake.llm import bpe_tree, digest_index, language_id, multiset_hash, secret_scan
 
 Run = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; the operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,10 +42,15 @@ def op4_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.compared(_table(spark, sf_dir, "documents"))
 
 
+def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_tree.round_trips(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Run] = {
     "op3_language_id": op3_language_id,
     "op4_multiset_hash": op4_multiset_hash,
     "op6_secret_scan": op6_secret_scan,
+    "op7_bpe_tree": op7_bpe_tree,
     "op8_digest_index": op8_digest_index,
 }
 
