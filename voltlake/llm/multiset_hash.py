@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import tasks, text_or_empty
+from voltlake.llm.common import saved, tasks, text_or_empty
 
 #: Two lanes share one 64-bit sum, 32 bits apart.
 SUMS = 32
@@ -21,6 +21,8 @@ LANES = 2 * SUMS
 LANE_MASK = 0x000000FF000000FF
 LOW = 0xFFFFFFFF
 MEAN = 127.5
+#: Ranges of doc_id for each shuffle partition; several even out how they fall.
+RANGES = 4
 BREAK = r"\n+|(?<=[.!?])\s+"
 
 
@@ -117,10 +119,11 @@ def with_next(docs: DataFrame) -> DataFrame:
     The rows are dealt once into ranges of doc_id with as many rows each; a window in a range looks one row
     ahead, and only the first row of every range travels to the range before it.
     """
-    here = docs.withColumn("_range", range_bucket(docs, "doc_id", tasks(docs.sparkSession)))
+    here = docs.withColumn("_range", range_bucket(docs, "doc_id", RANGES * tasks(docs.sparkSession)))
     # The first row of each range: the largest doc_id, the smallest text among its rows.
     key = F.struct(F.col("doc_id").isNotNull().alias("has"), F.col("doc_id"))
-    top = here.groupBy(F.col("_range").alias("_top")).agg(F.max(key).alias("_key"))
+    # Written, so that Spark knows how few rows these are when it plans the join with the texts.
+    top = saved(here.groupBy(F.col("_range").alias("_top")).agg(F.max(key).alias("_key")))
     firsts = (
         here.join(top, (F.col("_range") == F.col("_top")) & key.eqNullSafe(F.col("_key")))
         .groupBy("_range").agg(F.min("text").alias("_first"))
