@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlake.llm import bpe_tree, digest_index, language_id, multiset_hash, secret_scan
+from voltlake.llm import bpe_tree, digest_index, language_id, multiset_hash, pattern_packing, repair_shards, secret_scan
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_repair_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_shards.encoded(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.packed(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_index.deduplicated(_table(spark, sf_dir, "documents"), digest_index.new_index(spark))
 
@@ -47,8 +55,10 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Run] = {
+    "op1_repair_shards": op1_repair_shards,
     "op3_language_id": op3_language_id,
     "op4_multiset_hash": op4_multiset_hash,
+    "op5_pattern_packing": op5_pattern_packing,
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_digest_index": op8_digest_index,
