@@ -17,19 +17,20 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Chunks kept by a Python worker; beyond it the cache starts afresh, which changes no result.
-CACHE = 300_000
+#: Chunks, and words, kept by a Python worker; beyond it the later half goes (common words come early), which
+#: changes no result.
+CACHE = 600_000
 #: Words in one numpy batch times their tree size.
 BATCH = 1 << 19
 #: Characters whose unknown chunks are learned together; longer texts are cut between chunks.
-SECTION = 1 << 20
+SECTION = 1 << 21
 #: Words over so many bytes go through a tree of their own in plain lists, where numpy would do one word a step.
 LONG = 512
 NONE = np.int64(1) << np.int64(62)
@@ -226,7 +227,7 @@ class Encoder:
     def _encoded(self, cut: list[list]) -> Iterator[tuple[bytes, str]]:
         """Ids of each list of parts, the distinct words that are unknown merged together."""
         if len(self.words) > CACHE:
-            self.words.clear()
+            self.words = dict(islice(self.words.items(), CACHE // 2))
         words, names = self.words, self.names
         fresh = list({w for parts in cut for w in parts}.difference(words, self.added.values()))
         for word, ids in zip(fresh, self.merge_words([w.encode() for w in fresh])):
@@ -257,8 +258,8 @@ class Encoder:
         bits, listed, done = [], [], 0
         for group in self._sections(texts):
             if len(self.bits) > CACHE:
-                self.bits.clear()
-                self.listed.clear()
+                self.bits = dict(islice(self.bits.items(), CACHE // 2))
+                self.listed = dict(islice(self.listed.items(), CACHE // 2))
             parted = [chunked(section) for _, section in group]
             missing = list(set(chain.from_iterable(chunks for _, chunks in parted)).difference(self.bits))
             for chunk, (own, text) in zip(missing, self._encoded([self._parts(" " + c) for c in missing])):
