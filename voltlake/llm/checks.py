@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlake.llm import bpe_tree, digest_index, language_id, multiset_hash, pattern_packing, repair_shards, secret_scan
+from voltlake.llm import bpe_tree, digest_index, language_id, multiset_hash, pattern_packing, repair_shards, secret_scan, simhash
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -42,6 +42,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Run] = {
     "op1_repair_shards": op1_repair_shards,
+    "op2_simhash": op2_simhash,
     "op3_language_id": op3_language_id,
     "op4_multiset_hash": op4_multiset_hash,
     "op5_pattern_packing": op5_pattern_packing,
