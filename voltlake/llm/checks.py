@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlake.llm import bpe_tree, digest_index, language_id, multiset_hash, pattern_packing, repair_shards, secret_scan, simhash
+from voltlake.llm import bpe_tree, digest_index, language_id, multiset_hash, pattern_packing, repair_shards, secret_scan, simhash, url_filter
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,17 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trips(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+# The rules of the query.
+RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "documents").select("text"), RULES)
+
+
 QUERIES: dict[str, Run] = {
     "op1_repair_shards": op1_repair_shards,
     "op2_simhash": op2_simhash,
@@ -67,6 +78,7 @@ QUERIES: dict[str, Run] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_digest_index": op8_digest_index,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
