@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from voltlake.llm import bpe_tree, digest_index, language_id, multiset_hash, pattern_packing, repair_shards, secret_scan, simhash, url_filter
+from voltlake.llm import bpe_tree, digest_index, language_id, multiset_hash, pattern_packing, radix_repeats, repair_shards, secret_scan, simhash, url_filter
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_tree.round_trips(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op9_radix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return radix_repeats.deduplicated(_table(spark, sf_dir, "documents"))
+
+
 # The rules of the query.
 RULES = [
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -78,6 +82,7 @@ QUERIES: dict[str, Run] = {
     "op6_secret_scan": op6_secret_scan,
     "op7_bpe_tree": op7_bpe_tree,
     "op8_digest_index": op8_digest_index,
+    "op9_radix_repeats": op9_radix_repeats,
     "op10_url_filter": op10_url_filter,
 }
 
