@@ -1,47 +1,60 @@
 """Token ids by the tokenizers library for a vocabulary that drops white space, each distinct word encoded once.
 
-Such a pre-tokenizer never joins characters across white space, so a text is cut at white space and the
-distinct pieces that a bounded cache lacks go to the library together. A piece of letters with one
-punctuation mark behind it is its two parts.
+Such a pre-tokenizer never joins characters across white space, so texts are cut at white space, the distinct
+pieces of a section of text are found in numpy, and those that a bounded cache lacks go to the library
+together. A mark behind a letter is a piece of its own, as it is to the pre-tokenizer, and a capital in front
+of small letters is a small one, as it is to the normalizer.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 
+from voltlake.llm import slices
+
 #: Pieces kept by a Python worker; beyond it the later half goes (common words come early), which changes no result.
-CACHE = 900_000
-#: Characters whose unknown pieces are learned together.
-SECTION = 1 << 20
-MARKS = frozenset(",.;:!?")
-# str.split() takes these for white space, the vocabulary's pattern does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-_SPACES = re.compile("[^\\S\x1c-\x1f]+")
+CACHE = 1_300_000
+#: Characters whose pieces are looked up together.
+SECTION = 1 << 23
+_MARK = np.isin(np.arange(256), list(b",.;:!?"))
+# White space of the vocabulary's pattern beyond ASCII. U+001C to U+001F are none, other than for str.split().
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-def cut(text: str) -> list[str]:
-    """Pieces between white space."""
-    if _SEPARATORS.search(text):
-        return [part for part in _SPACES.split(text) if part]
-    return text.split()
+def trim(known: dict, size: int) -> None:
+    """Forget the later half of a cache of more than `size` keys; common ones come early."""
+    if len(known) > size:
+        for key in list(islice(known, size // 2, None)):
+            del known[key]
 
 
-def _plain(piece: str) -> tuple[str, str]:
-    """The piece, or its word in lower case and the mark behind it, where both ways give the same ids.
+def pieces_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the pieces in UTF-8 bytes; capitals in front of ASCII letters are made small in `data`.
 
-    That holds for letters before U+0180, whose lower case is one letter, for it commutes with composition.
+    A cut between an ASCII letter and the mark that ends its piece changes no id: nothing composes across it.
     """
-    word, mark = (piece[:-1], piece[-1]) if piece[-1] in MARKS else (piece, "")
-    if not word.isalpha() or (not word.isascii() and max(word) >= "\u0180"):
-        return piece, ""
-    lower = word.lower()
-    if len(lower) != len(word):
-        return piece, ""
-    return (lower if lower != word else word), mark
+    held = np.zeros(len(data) + 2, dtype=bool)
+    held[1:-1] = ~slices.spaces(data)
+    edges = np.flatnonzero(held[1:] != held[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    small = data | 32
+    letter = (small >= 97) & (small <= 122)
+    marked = _MARK[data[ends - 1]] & letter[np.maximum(ends - 2, 0)] & (ends - starts > 1)
+    cut = ends[marked] - 1
+    # The pieces lie apart, so sorting starts and ends by themselves keeps them together.
+    starts = np.sort(np.concatenate([starts, cut]))
+    ends = np.sort(np.concatenate([ends - marked, cut + 1]))
+    capital = np.flatnonzero((data[starts] >= 65) & (data[starts] <= 90))
+    upto = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(letter, out=upto[1:])
+    first, end = starts[capital], ends[capital]
+    words = first[upto[end] - upto[first] == end - first]
+    data[words] |= 32
+    return starts, ends
 
 
 class Ids:
@@ -53,7 +66,7 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _library(self, words: list[str]) -> Iterator[bytes]:
         """Ids of each word as little-endian unsigned 32-bit integers."""
@@ -65,35 +78,35 @@ class Ids:
             ends = (np.cumsum(counts) * 4).tolist()
             yield from (flat[begin:end] for begin, end in zip([0, *ends], ends))
 
-    def _learn(self, pieces: set[str]) -> None:
-        known = self.known
-        plain = {piece: _plain(piece) for piece in pieces}
-        words = list({word for word, _ in plain.values() if word not in known} | MARKS.difference(known))
-        known.update(zip(words, self._library(words)))
-        for piece, (word, mark) in plain.items():
-            if mark:
-                known[piece] = known[word] + known[mark]
-            elif word is not piece:
-                known[piece] = known[word]
-
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Ids of each text in order, as little-endian unsigned 32-bit integers."""
-        group: list[list[str]] = []
+        group: list[bytes] = []
         held = 0
         for text in texts:
-            group.append(cut(text))
+            group.append((text if text.isascii() else _WIDE.sub(" ", text)).encode())
             held += len(text)
             if held >= SECTION:
                 yield from self._group(group)
                 group, held = [], 0
         yield from self._group(group)
 
-    def _group(self, group: list[list[str]]) -> Iterator[bytes]:
-        if len(self.known) > CACHE:
-            self.known = dict(islice(self.known.items(), CACHE // 2))
-        self._learn(set(chain.from_iterable(group)).difference(self.known))
-        for pieces in group:
-            yield b"".join(map(self.known.__getitem__, pieces))
+    def _group(self, group: list[bytes]) -> Iterator[bytes]:
+        data = b" ".join([*group, b""])
+        own = np.frombuffer(data, dtype=np.uint8).copy()
+        starts, ends = pieces_of(own)
+        found, place = slices.distinct(own.tobytes(), starts, ends)
+        known = self.known
+        coded = list(map(known.get, found))
+        unknown = [i for i, ids in enumerate(coded) if ids is None]
+        for i, ids in zip(unknown, self._library([found[i].decode() for i in unknown])):
+            coded[i] = known[found[i]] = ids
+        ids, upto = slices.gathered(coded, place)
+        # Token counts up to each text's last piece.
+        texts = np.searchsorted(starts, np.cumsum([len(text) + 1 for text in group]))
+        cuts = np.concatenate([[0], upto])[texts].tolist()
+        for begin, end in zip([0, *cuts], cuts):
+            yield ids[begin:end].tobytes()
+        trim(known, CACHE)
 
 
 _encoders: dict[str, Ids] = {}
