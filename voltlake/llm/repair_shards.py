@@ -28,8 +28,10 @@ END = 2
 SHARD = 1 << 18
 #: Replacement ends when no pair occurs so often.
 LEAST = 8
-#: A round replaces the pairs that occur at least 1 / RATIO as often as its most frequent one.
-RATIO = 64
+#: A round replaces the pairs that occur at least 1 / RATIO as often as the most frequent pair of the round
+#: before; the last of at most ROUNDS takes all that occur LEAST times.
+RATIO = 6
+ROUNDS = 8
 SCHEMA = pa.schema([
     ("part", pa.int32()), ("shard", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()),
     ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())),
@@ -116,16 +118,18 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> Grammar:
     rules: list[np.ndarray] = []
     lengths = np.zeros(0, dtype=np.int64)
     bits = max(8, min(22, int(len(ids)).bit_length() - 1))
-    shift, turn, idle = np.uint32(32 - bits), 0, 0
-    while len(sequence) > 1 and idle < 2:
-        turn += 1
+    shift, bar = np.uint32(32 - bits), len(sequence)
+    for turn in range(1, ROUNDS + 1):
+        if len(sequence) < 2:
+            break
         slots = ((sequence[:-1] * np.uint32(0x9E3779B1 + 2 * turn)) ^ (sequence[1:] * np.uint32(0x85EBCA77 + 4 * turn))) * np.uint32(0xC2B2AE3D)
         slots >>= shift
         hashed = np.bincount(slots, minlength=1 << bits)
         top = int(hashed.max())
         if top < least:
             break
-        floor = max(least, top // RATIO)
+        bar = max(least, min(bar, top) // RATIO)
+        floor = bar if turn < ROUNDS else least
         at = np.flatnonzero((hashed >= floor)[slots])
         own, left, right = slots[at], sequence[at], sequence[at + 1]
         first = np.empty(1 << bits, dtype=np.int64)
@@ -148,9 +152,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> Grammar:
         taken = worth[own]
         at, own = at[taken], own[taken]
         if not len(at):
-            idle += 1
             continue
-        idle = 0
         number = np.cumsum(worth) - 1
         pair = np.empty((int(number[-1]) + 1, 2), dtype=np.int64)
         pair[number[own], 0], pair[number[own], 1] = sequence[at], sequence[at + 1]
