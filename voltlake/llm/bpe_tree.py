@@ -6,8 +6,9 @@ leaves - the pair itself and its two neighbours - and each is carried up in loga
 until the root holds no mergeable pair. Words of one tree size are worked on together in numpy: row i of
 every array is word i, so a step costs one vector operation a tree level for all words at once.
 
-A text is cut at single spaces between other characters, where the pre-tokenizer always cuts, and each
-distinct chunk is encoded once while it stays in a bounded cache.
+A text is cut where the pre-tokenizer always cuts - before a single space, around a single line end and before
+the mark that ends a word - and the distinct chunks of a section of text, found in numpy, are encoded once
+while they stay in a bounded cache.
 """
 
 from __future__ import annotations
@@ -15,22 +16,23 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from array import array
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Chunks, and words, kept by a Python worker; beyond it the later half goes (common words come early), which
-#: changes no result.
+from voltlake.llm import slices
+from voltlake.llm.token_ids import trim
+
+#: Chunks kept by a Python worker; beyond it the later half goes (common ones come early), which changes no result.
 CACHE = 600_000
 #: Words in one numpy batch times their tree size.
 BATCH = 1 << 19
-#: Characters whose unknown chunks are learned together; longer texts are cut between chunks.
-SECTION = 1 << 21
+#: Characters whose chunks are looked up together; longer texts are cut between chunks.
+SECTION = 1 << 22
 #: Words over so many bytes go through a tree of their own in plain lists, where numpy would do one word a step.
 LONG = 512
 NONE = np.int64(1) << np.int64(62)
@@ -92,10 +94,7 @@ class Encoder:
         self.blob = np.frombuffer(b"".join(raw), dtype=np.uint8)
         self.special = regex.compile("|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True))) if self.added else None
         self.names = [str(i) for i in range(size)]
-        # Of chunks, keyed without the space they begin with, and of words: ids as bytes, and as decimal text.
-        self.bits: dict[str, bytes] = {}
-        self.listed: dict[str, str] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.chunks: dict[bytes, tuple[bytes, str]] = {}  # ids as bytes, and as decimal text
         self.ranks: dict[int, tuple[int, int]] | None = None
 
     def merge_words(self, words: list[bytes]) -> list[list[int]]:
@@ -214,32 +213,32 @@ class Encoder:
             node, size = node >> 1, size >> 1
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
 
-    def _parts(self, chunk: str) -> list:
-        """Words of a chunk, added tokens as their ids."""
+    def _parts(self, chunk: str) -> list[bytes]:
+        """Words of a chunk, and added tokens as they are written."""
         if not self.special or "<" not in chunk:
-            return WORDS.findall(chunk)
+            return [word.encode() for word in WORDS.findall(chunk)]
         parts, at = [], 0
         for found in self.special.finditer(chunk):
-            parts += [*WORDS.findall(chunk[at:found.start()]), self.added[found[0]]]
+            parts += [*WORDS.findall(chunk[at:found.start()]), found[0]]
             at = found.end()
-        return parts + WORDS.findall(chunk[at:])
-
-    def _encoded(self, cut: list[list]) -> Iterator[tuple[bytes, str]]:
-        """Ids of each list of parts, the distinct words that are unknown merged together."""
-        if len(self.words) > CACHE:
-            self.words = dict(islice(self.words.items(), CACHE // 2))
-        words, names = self.words, self.names
-        fresh = list({w for parts in cut for w in parts}.difference(words, self.added.values()))
-        for word, ids in zip(fresh, self.merge_words([w.encode() for w in fresh])):
-            words[word] = (array("I", ids).tobytes(), ",".join([names[i] for i in ids]))
-        for token in self.added.values():
-            words[token] = (array("I", [token]).tobytes(), names[token])
-        for parts in cut:
-            if len(parts) == 1:
-                yield words[parts[0]]
-            else:
-                found = [words[w] for w in parts]
-                yield b"".join([f[0] for f in found]), ",".join([f[1] for f in found])
+        return [word.encode() for word in (*parts, *WORDS.findall(chunk[at:]))]
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        """Take chunks that the cache lacks into it, their distinct words merged together."""
+        known, names = self.chunks, self.names
+        plain = [c for c in chunks if (c[1:] if c[0] == 32 else c).isalpha()]  # ASCII letters: one word
+        mixed = [(c, self._parts(c.decode())) for c in set(chunks).difference(plain)]
+        added = {token.encode(): [at] for token, at in self.added.items()}
+        words = [*plain, *{w for _, parts in mixed for w in parts}.difference(known, plain, added)]
+        merged = self.merge_words(words)
+        merged += added.values()
+        flat = np.fromiter(chain.from_iterable(merged), dtype="<u4").tobytes()
+        ends = (4 * np.cumsum([len(ids) for ids in merged])).tolist()
+        for word, a, b, ids in zip([*words, *added], [0, *ends], ends, merged):
+            known[word] = (flat[a:b], ",".join([names[i] for i in ids]))
+        for chunk, parts in mixed:
+            found = [known[w] for w in parts]
+            known[chunk] = (b"".join([f[0] for f in found]), ",".join([f[1] for f in found]))
 
     def _sections(self, texts: list[str]) -> Iterator[list[tuple[int, str]]]:
         """(text's place, section) in groups of about SECTION characters."""
@@ -255,26 +254,41 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """Ids, and the same as decimal text, of each text in order."""
-        bits, listed, done = [], [], 0
+        ids: list[np.ndarray] = []
+        listed: list[str] = []
+        done = 0
         for group in self._sections(texts):
-            if len(self.bits) > CACHE:
-                self.bits = dict(islice(self.bits.items(), CACHE // 2))
-                self.listed = dict(islice(self.listed.items(), CACHE // 2))
-            parted = [chunked(section) for _, section in group]
-            missing = list(set(chain.from_iterable(chunks for _, chunks in parted)).difference(self.bits))
-            for chunk, (own, text) in zip(missing, self._encoded([self._parts(" " + c) for c in missing])):
-                self.bits[chunk], self.listed[chunk] = own, text
-            heads = self._encoded([self._parts(head) for head, _ in parted])
-            for (place, _), (_, chunks), head in zip(group, parted, heads):
+            for place, own, text in self._group(group):
                 while done < place:
-                    yield np.frombuffer(b"".join(bits), dtype=np.uint32), ",".join(listed)
-                    bits, listed, done = [], [], done + 1
-                bits += [head[0], *map(self.bits.__getitem__, chunks)]
-                listed += [head[1]] if head[1] else []
-                listed += map(self.listed.__getitem__, chunks)
+                    yield np.concatenate([np.zeros(0, dtype="<u4"), *ids]), ",".join(listed)
+                    ids, listed, done = [], [], done + 1
+                if len(own):
+                    ids.append(own)
+                    listed.append(text)
         while done < len(texts):
-            yield np.frombuffer(b"".join(bits), dtype=np.uint32), ",".join(listed)
-            bits, listed, done = [], [], done + 1
+            yield np.concatenate([np.zeros(0, dtype="<u4"), *ids]), ",".join(listed)
+            ids, listed, done = [], [], done + 1
+
+    def _group(self, group: list[tuple[int, str]]) -> Iterator[tuple[int, np.ndarray, str]]:
+        """(text's place, ids, decimal text) of sections."""
+        coded = [section.encode() for _, section in group]
+        data = b"".join(coded)
+        begins = np.cumsum([0, *map(len, coded)])
+        starts = chunk_starts(data, begins, [section for _, section in group])
+        found, place = slices.distinct(data, starts, np.append(starts[1:], len(data)))
+        known = self.chunks
+        own = list(map(known.get, found))
+        unknown = [i for i, ids in enumerate(own) if ids is None]
+        self._learn([found[i] for i in unknown])
+        for i in unknown:
+            own[i] = known[found[i]]
+        ids, upto = slices.gathered([o[0] for o in own], place)
+        names = [o[1] for o in own]
+        edges = np.searchsorted(starts, begins)
+        upto = np.concatenate([[0], upto])[edges].tolist()
+        for n, (at, _) in enumerate(group):
+            yield at, ids[upto[n]:upto[n + 1]], ",".join([names[i] for i in place[edges[n]:edges[n + 1]].tolist()])
+        trim(known, CACHE)
 
     def decode(self, ids: np.ndarray) -> str:
         """Bytes of all ids in order, read as UTF-8 with the replacement character for what is none."""
@@ -284,29 +298,43 @@ class Encoder:
         return self.blob[shift + np.arange(total)].tobytes().decode("utf-8", "replace")
 
 
-_RUN = re.compile(r"\s\s|^\s|\s$")
+# White space that str.isspace() knows and ASCII does not, and its separators.
+_WIDE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def chunk_starts(data: bytes, begins: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Where the chunks of the texts begin, which lie one after the other in `data`."""
+    own = np.frombuffer(data, dtype=np.uint8)
+    blank = np.ones(len(own) + 2, dtype=bool)
+    blank[1:-1] = slices.spaces(own)
+    alone = blank[1:-1] & ~blank[:-2] & ~blank[2:]
+    start = np.zeros(len(own) + 1, dtype=bool)
+    start[:-1] = alone & (own == 32)
+    line = np.flatnonzero(alone & (own == 10))
+    start[line] = start[line + 1] = True
+    start[begins] = True
+    # A mark between a letter and the next chunk.
+    small = own | 32
+    marks = np.flatnonzero(_MARK[own] & start[1:])
+    marks = marks[marks > 0]
+    start[marks[(small[marks - 1] >= 97) & (small[marks - 1] <= 122)]] = True
+    for n, text in enumerate(texts):  # rare: other white space decides where such texts are cut
+        if not text.isascii() or not text.isprintable():
+            if _WIDE.search(text):
+                start[begins[n] + 1:begins[n + 1]] = False
+                start[[begins[n] + len(text[:m.start()].encode()) for m in _INSIDE.finditer(text)]] = True
+    return np.flatnonzero(start[:-1])
 
 
-def chunked(text: str) -> tuple[str, list[str]]:
-    """The text cut at single spaces between other characters: its head, and the chunks after those spaces."""
-    parts = text.split(" ")
-    if not _RUN.search(text):
-        return parts[0], parts[1:]
-    # White space in a run belongs together, and the last of the run to what follows: glue such parts.
-    out = [parts[0]]
-    for part in parts[1:]:
-        if not out[-1] or out[-1][-1].isspace():
-            out[-1] += " " + part
-        else:
-            out.append(part)
-    return out[0], out[1:]
+_MARK = np.isin(np.arange(256), list(b",.;:!?"))
+_INSIDE = regex.compile(r"(?<=[^\s\x1c-\x1f]) (?=[^\s\x1c-\x1f])")
 
 
-def sections(text: str, size: int = SECTION, inside=regex.compile(r"(?<=\S) (?=\S)")) -> Iterator[str]:
+def sections(text: str, size: int = SECTION) -> Iterator[str]:
     """The text cut between chunks after every `size` characters or so."""
     at = 0
     while len(text) - at > size:
-        cut = inside.search(text, at + size)
+        cut = _INSIDE.search(text, at + size)
         if not cut:
             break
         yield text[at:cut.start()]
