@@ -45,3 +45,11 @@ def tasks(spark: SparkSession) -> int:
 
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def unused(frame: DataFrame, name: str) -> str:
+    """`name`, with underscores behind it until no column of `frame` is called so."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -8,10 +8,10 @@ is read bucket by bucket without a shuffle, and what is new is appended.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import saved, shared_dir, tasks, text_or_empty
+from voltlake.llm.common import saved, shared_dir, tasks, text_or_empty, unused
 
 INDEX_LAYOUT = "digest BINARY, keep_id BIGINT"
 
@@ -73,10 +73,9 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 def distinct_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """The rows of `docs` that stay, once each and with all their columns."""
-    from pyspark.sql import Window
-
-    stay = deduplicated(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
-    keyed = docs.withColumn("_key", F.sha2(F.encode(text_or_empty(), "utf-8"), 256))
-    met = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed["_key"] == stay["_sha"]), "left_semi")
-    first = Window.partitionBy("_key", "doc_id").orderBy("_key")
-    return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
+    key, nth = unused(docs, "_key"), unused(docs, "_nth")
+    stay = saved(deduplicated(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
+    keyed = docs.withColumn(key, F.sha2(F.encode(text_or_empty(), "utf-8"), 256))
+    met = keyed.join(stay, keyed["doc_id"].eqNullSafe(stay["_id"]) & (keyed[key] == stay["_sha"]), "left_semi")
+    first = Window.partitionBy(key, "doc_id").orderBy(key)
+    return met.withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).select(*docs.columns)

@@ -17,6 +17,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voltlake.llm.common import unused
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -116,16 +119,15 @@ def held_out() -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred and score, from the text alone; `und` and 0 for a text that is null or has no letter.
+def predicted(docs: DataFrame, model: Model, lang: str = "lang_pred", posterior: str = "score") -> DataFrame:
+    """`docs` with columns `lang` and `posterior`, from the text alone; `und` and 0 for a text that is null or
+    has no letter.
 
     Rows are scored one by one, so repeated rows agree; an empty table gives no rows. Columns of those names
     are replaced, all others kept.
     """
-    from pyspark.sql import types as T
-
-    kept = docs.select(*[c for c in docs.columns if c not in ("lang_pred", "score")])
-    layout = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    kept = docs.select(*[c for c in docs.columns if c not in (lang, posterior)])
+    layout = T.StructType([*kept.schema.fields, T.StructField(lang, T.StringType()), T.StructField(posterior, T.DoubleType())])
     at = kept.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -135,7 +137,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
             found = [model.score(text.as_py()) for text in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
-                names=[*batch.schema.names, "lang_pred", "score"])
+                names=[*batch.schema.names, lang, posterior])
 
     return kept.mapInArrow(score, layout)
 
@@ -145,3 +147,10 @@ def identified(docs: DataFrame) -> DataFrame:
     model = train(docs.where(~held_out()))
     flagged = docs.select("doc_id", held_out().alias("held_out"), "text")
     return predicted(flagged, model).drop("text")
+
+
+def recognised(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a language; rejected are texts that are null or have no letter."""
+    lang, posterior = unused(docs, "_lang"), unused(docs, "_posterior")
+    scored = predicted(docs, train(docs.where(~held_out())), lang, posterior)
+    return scored.where(F.col(lang) != UNKNOWN).select(*docs.columns)

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.llm.common import text_or_empty
+from voltlake.llm.common import text_or_empty, unused
 
 # The patterns of the three base kinds, in order of their rank, and their least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -135,18 +135,18 @@ def _entropy_spans(text: Column) -> Column:
     return F.when(text.rlike(RUN), found.cast(SPANS)).otherwise(_none(SPANS))
 
 
-def with_spans(docs: DataFrame, column: str = "text") -> DataFrame:
-    """`docs` with `_base` and `_all`: the spans (start, rank, end) of the base kinds, and of all kinds, in order.
+def with_spans(docs: DataFrame, base: str = "_base", every: str = "_all") -> DataFrame:
+    """`docs` with `base` and `every`: the spans (start, rank, end) of the base kinds, and of all kinds, in order.
 
     Offsets are code points, end exclusive; rank is the place in KINDS. Null text counts as empty and has no
     spans. Every row is judged by itself, so repeated rows give repeated results and an empty table none.
     """
-    text = text_or_empty(column)
+    text = text_or_empty()
     assign = _spans(text, ASSIGN, text.rlike(ASSIGN_WORD), 0, 2, LEAST_ASSIGN)
     access = _spans(text, ACCESS, text.contains("AKIA"), 1, 0, LEAST_ACCESS)
     hexed = _spans(text, HEX, text.rlike(HEX_RUN), 2, 0, LEAST_HEX)
-    return docs.withColumn("_base", F.array_sort(F.concat(assign, access, hexed))).withColumn(
-        "_all", F.array_sort(F.concat("_base", _entropy_spans(text))))
+    return docs.withColumn(base, F.array_sort(F.concat(assign, access, hexed))).withColumn(
+        every, F.array_sort(F.concat(base, _entropy_spans(text))))
 
 
 def _listed(spans: Column) -> Column:
@@ -170,21 +170,21 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """All rows of `docs`, every merged span in text replaced by `mark`; n_chars follows where the column exists."""
+    base, every, fresh = (unused(docs, name) for name in ("_base", "_all", "_clean"))
     text = text_or_empty()
 
     def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
         part = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
         return F.struct(
             F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], part, F.lit(mark))).otherwise(state["out"]).alias("out"),
+            F.when(s["start"] >= state["at"], F.concat(state["out"], part, F.lit(mark))).otherwise(state["out"]).alias("out"),
         )
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text)))
-    clean = F.when(F.size("_all") == 0, F.col("text")).otherwise(F.aggregate("_all", start, step, rest))
-    out = with_spans(docs).withColumn("_clean", clean)
-    swaps = {"text": F.col("_clean")}
+    clean = F.aggregate(every, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    out = with_spans(docs, base, every).withColumn(fresh, F.when(F.size(every) == 0, F.col("text")).otherwise(clean))
+    swaps = {"text": F.col(fresh)}
     if "n_chars" in docs.columns:
-        swaps["n_chars"] = F.when(F.size("_all") == 0, F.col("n_chars")).otherwise(F.length("_clean").cast(docs.schema["n_chars"].dataType))
+        length = F.length(fresh).cast(docs.schema["n_chars"].dataType)
+        swaps["n_chars"] = F.when(F.size(every) == 0, F.col("n_chars")).otherwise(length)
     return out.select(*[swaps[c].alias(c) if c in swaps else F.col(c) for c in docs.columns])

@@ -17,9 +17,9 @@ import numpy as np
 from voltlake.llm import slices
 
 #: Pieces kept by a Python worker; beyond it the later half goes (common words come early), which changes no result.
-CACHE = 1_300_000
+CACHE = 1_000_000
 #: Characters whose pieces are looked up together.
-SECTION = 1 << 23
+SECTION = 1 << 22
 _MARK = np.isin(np.arange(256), list(b",.;:!?"))
 # White space of the vocabulary's pattern beyond ASCII. U+001C to U+001F are none, other than for str.split().
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
