@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def filed(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(key, fp): every fingerprint under each choice of BLOCKS - distance blocks; the key has choice and bytes."""
-    choices = list(combinations(range(BLOCKS), BLOCKS - distance))
+    choices = list_of_choices(distance)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,9 +93,14 @@ def filed(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return distinct.select("fp").mapInArrow(work, "key long, fp long")
 
 
+def list_of_choices(distance: int = DISTANCE) -> list[tuple[int, ...]]:
+    """Blocks that make up each kind of key."""
+    return list(combinations(range(BLOCKS), BLOCKS - distance))
+
+
 def free_flips(key: int, distance: int) -> np.ndarray:
     """All changes of one to `distance` bits in the blocks that the key leaves free."""
-    kept = list(combinations(range(BLOCKS), BLOCKS - distance))[key >> (8 * (BLOCKS - distance))]
+    kept = list_of_choices(distance)[key >> (8 * (BLOCKS - distance))]
     bits = [np.uint64(1 << (8 * block + i)) for block in range(BLOCKS) if block not in kept for i in range(8)]
     return np.array([sum(c) for n in range(1, distance + 1) for c in combinations(bits, n)], dtype=np.uint64)
 
