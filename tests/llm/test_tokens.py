@@ -176,7 +176,7 @@ def test_plans_use_every_piece_and_are_nearly_full(seed):
         total += times
         np.add.at(used, list(shape), times)
     least = max(-(-int(lengths.sum()) // 2048), int((lengths > 1024).sum()))  # no two of the latter fit together
-    assert (used == counts).all() and total <= 1.005 * least + 1
+    assert (used == counts).all() and total <= 1.02 * least + 1
 
 
 def test_repeat_counts_fit_an_exact_histogram():

@@ -2,8 +2,8 @@
 
 All documents become pieces of at most `limit` tokens; only their length histogram, `limit` numbers whatever
 the corpus, comes to the driver. There the patterns of up to three lengths that fill a sequence exactly are
-enumerated, repeat counts are fitted to the histogram by non-negative least squares and rounded down, and
-what they leave is packed best-fit, longest first, on the histogram. The plan is again bounded by `limit`:
+enumerated, repeat counts are fitted to the histogram by non-negative least squares and rounded, and what
+they leave is packed best-fit, longest first, on the histogram. The plan is again bounded by `limit`:
 runs of equal sequences. Pieces take their place in it by their number among the pieces of their length,
 which each task counts for itself and a small table of (task, length) counts offsets.
 """
@@ -106,64 +106,81 @@ class Plan:
     runs: dict[int, list[tuple[int, int, int, tuple[int, ...]]]]
 
 
-def packed_lengths(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, number of such sequences) that use every piece once; counts[i] is of length i."""
-    left = counts.astype(np.int64).copy()
-    out: list[tuple[tuple[int, ...], int]] = []
-    lengths = np.flatnonzero(left[:limit + 1])
-    rows = patterns(lengths, limit)
-    if len(rows):
-        x = repeat_counts(rows, left[lengths].astype(np.float64))
+class _Sequences:
+    """Sequences in groups of equal ones: full ones, and open ones by the space that is left."""
+
+    def __init__(self, counts: np.ndarray, limit: int):
+        self.limit, self.left = limit, counts.astype(np.int64).copy()
+        self.done: list[tuple[tuple[int, ...], int]] = []
+        self.spaces: list[int] = []
+        self.open: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+
+    def put(self, shape: tuple[int, ...], times: int, space: int) -> None:
+        if not space:
+            self.done.append((shape, times))
+            return
+        if space not in self.open:
+            insort(self.spaces, space)
+        self.open.setdefault(space, []).append((shape, times))
+
+    def fit_patterns(self, over: int) -> None:
+        """Patterns whose longest piece has more than `over` tokens, as often as the least-squares fit says."""
+        lengths = np.flatnonzero(self.left)
+        rows = patterns(lengths, self.limit)
+        rows = rows[lengths[rows[:, 0]] > over] if len(rows) else rows
+        if not len(rows):
+            return
+        x = repeat_counts(rows, self.left[lengths].astype(np.float64))
         for i in np.argsort(-x, kind="stable").tolist():
             if x[i] < 0.5:
                 break
             shape = tuple(sorted((int(lengths[p]) for p in rows[i].tolist() if p >= 0), reverse=True))
             need = {length: shape.count(length) for length in shape}
-            times = min([int(round(x[i])), *(int(left[length]) // m for length, m in need.items())])
+            times = min([int(round(x[i])), *(int(self.left[length]) // m for length, m in need.items())])
             if times:
-                out.append((shape, times))
+                self.done.append((shape, times))
                 for length, m in need.items():
-                    left[length] -= times * m
-    # Residuals: best fit, longest first, whole groups of equal open sequences at a time.
-    spaces: list[int] = []
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = {}
-
-    def put(shape: tuple[int, ...], times: int, space: int) -> None:
-        if space == 0:
-            out.append((shape, times))
-            return
-        if space not in open_:
-            insort(spaces, space)
-        open_.setdefault(space, []).append((shape, times))
-
-    for length in range(limit, 0, -1):
-        while left[length]:
-            at = bisect_left(spaces, length)
-            if at < len(spaces):
-                space = spaces[at]
-                shape, times = open_[space].pop()
-                if not open_[space]:
-                    del open_[space]
-                    spaces.pop(at)
-                taken = min(times, int(left[length]))
-                if times > taken:
-                    put(shape, times - taken, space)
-                put((*shape, length), taken, space - length)
-            else:
-                each = limit // length
-                taken = int(left[length]) // each
-                if taken:
-                    put((length,) * each, taken, limit - each * length)
-                    left[length] -= taken * each
-                    continue
-                each = int(left[length])
-                put((length,) * each, 1, limit - each * length)
-                left[length] = 0
-                continue
-            left[length] -= taken
-    for space in spaces:
-        out += open_[space]
-    return out
+                    self.left[length] -= times * m
+
+    def best_fit(self, shortest: int, fresh: bool) -> None:
+        """Pieces of `shortest` and more, longest first, into the least space that takes them; where none does,
+        into new sequences if `fresh`."""
+        for length in range(self.limit, shortest - 1, -1):
+            while self.left[length]:
+                at = bisect_left(self.spaces, length)
+                if at < len(self.spaces):
+                    space = self.spaces[at]
+                    shape, times = self.open[space].pop()
+                    if not self.open[space]:
+                        del self.open[space]
+                        self.spaces.pop(at)
+                    taken = min(times, int(self.left[length]))
+                    if times > taken:
+                        self.put(shape, times - taken, space)
+                    self.put((*shape, length), taken, space - length)
+                elif fresh:
+                    each = min(self.limit // length, int(self.left[length]))
+                    taken = int(self.left[length]) // each
+                    self.put((length,) * each, taken, self.limit - each * length)
+                    taken *= each
+                else:
+                    break
+                self.left[length] -= taken
+
+
+def packed_lengths(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, number of such sequences) that use every piece once; counts[i] is of length i.
+
+    Pieces of over half a sequence need one each, so patterns with them come first, and the spaces that such
+    pieces leave where no pattern fitted are filled before shorter pieces get sequences of their own.
+    """
+    own = _Sequences(counts[:limit + 1], limit)
+    own.fit_patterns(limit // 2)
+    own.best_fit(limit // 2 + 1, fresh=True)
+    own.best_fit(1, fresh=False)
+    own.fit_patterns(0)
+    own.best_fit(1, fresh=True)
+    return own.done + [group for space in own.spaces for group in own.open[space]]
 
 
 def planned(counts: np.ndarray, limit: int) -> Plan:
