@@ -54,6 +54,10 @@ _W = "(event_id * 7)"
 CHECKS = [
     check("nearest_join", lambda s, d: align.nearest_join(_narrow(s, d), X.gps(s, d), _KEYS, "msg_ts", "time", "event_id", "gps_id", ["gps_id", "time", "speed"]),
           with_views(f"SELECT b.event_id, b.car_type, b.device_no, b.msg_ts, b.soc, g.gps_id, g.time, g.speed FROM bms b {near('gps_id time speed')}", "bms", "gps")),
+    check("nearest_join_nulls", lambda s, d: align.nearest_join(X.bms_gaps(s, d).select("event_id", *_KEYS, "msg_ts", "soc"), X.gps(s, d), _KEYS, "msg_ts", "time", "event_id", "gps_id", ["gps_id", "time", "speed"]),
+          with_views(f"SELECT b.event_id, b.car_type, b.device_no, b.msg_ts, b.soc, g.gps_id, g.time, g.speed FROM bms_gaps b {near('gps_id time speed')}", "bms_gaps", "gps")),
+    check("nearest_join_split", lambda s, d: align.nearest_join(_narrow(s, d), X.gps(s, d), _KEYS, "msg_ts", "time", "event_id", "gps_id", ["gps_id", "time", "speed"], rows_per_slice=128),
+          with_views(f"SELECT b.event_id, b.car_type, b.device_no, b.msg_ts, b.soc, g.gps_id, g.time, g.speed FROM bms b {near('gps_id time speed')}", "bms", "gps")),
     check("interval_join", lambda s, d: align.interval_join(_narrow(s, d), X.gps(s, d), ["device_no"], "msg_ts", "time", 300, ["gps_id"], closed=True),
           with_views("SELECT b.event_id, b.car_type, b.device_no, b.msg_ts, b.soc, g.gps_id FROM bms b LEFT JOIN gps g ON g.device_no = b.device_no AND abs(epoch_us(b.msg_ts) - epoch_us(g.time)) <= 300000000", "bms", "gps")),
     check("mean_within", _mean_within,

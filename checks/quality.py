@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from checks.base import check, with_views
 from voltlake import fixtures as X
 from voltlake.operators import clean, quality
-from voltlake.operators.sequence import shared_folder
+from voltlake.session import shared_folder
 from voltlake.sources import io
 from voltlake.sources import points as P
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.base import ANOMALIES, check, with_views
 from voltlake import fixtures as X
-from voltlake.operators.sequence import shared_folder
+from voltlake.session import shared_folder
 from voltlake.plans import battery
 from voltlake.streaming import streams
 

@@ -60,11 +60,13 @@ def cloud(seed, n, span):
 @pytest.mark.parametrize("rows_per_slice", [64, 1_000_000])
 def test_nearest_is_exact_and_keeps_every_left_row(make, rows_per_slice):
     a, b = cloud(1, 400, 3 * 3600), cloud(2, 300, 3 * 3600)
+    gaps = [(2000 + i, None, "hot", s(i)) for i in range(90)] + [(3000, "GV60", None, s(0)), (3001, "GV60", "hot", None)]
+    a, b = a + gaps, b + [(5000 + i, *row[1:]) for i, row in enumerate(gaps)]
     b += [(1000 + i, "GV60", "hot", s(600)) for i in range(200)]  # copies of one instant
     got = nearest(make(LEFT, a), make(RIGHT, b), rows_per_slice=rows_per_slice, seconds=3600)
     assert len(got) == len(a)
     for i, kind, device, t in a:
-        near = [(abs((u - t).total_seconds()), u, g) for g, k, d, u in b if (k, d) == (kind, device) and abs((u - t).total_seconds()) <= 60]
+        near = [] if None in (kind, device, t) else [(abs((u - t).total_seconds()), u, g) for g, k, d, u in b if (k, d) == (kind, device) and u and abs((u - t).total_seconds()) <= 60]
         assert got[i] == (min(near)[2] if near else None)
 
 

@@ -102,12 +102,20 @@ def test_row_number_over_everything(spark, rows):
     assert mine == [r[2] for r in sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[2]))]
 
 
-def test_rows_without_key_have_no_sequence(spark):
-    df = spark.createDataFrame([(None, T0, 1, 1.0), ("a", T0, 2, 1.0), ("a", None, 3, 1.0)], LAYOUT)
-    assert [r["id"] for r in Q.sliced(df, ["k"], "ts", ["id"]).collect()] == [2]
+def test_rows_without_key_or_time_stay_without_a_place(spark):
+    df = spark.createDataFrame([(None, T0, 1, 1.0), ("a", T0, 2, 1.0), ("a", None, 3, 1.0), ("a", T0, 4, 2.0)], LAYOUT)
+    placed = Q.sliced(df, ["k"], "ts", ["id"])
+    out = Q.carried(
+        Q.lagged(placed, ["k"], ["ts", "id"], {"prev": "id"}).withColumn("t", Q.F.unix_micros(Q.F.col("ts").cast("timestamp"))),
+        ["k"], ["ts", "id"], sums={"n": Q.F.lit(1)}, lasts={"seen": Q.F.col("v")}, nearest={"near": "v"}, time="t", tolerance=1e9,
+    )
+    got = {r["id"]: (r["prev"], r["n"], r["seen"], r["near"]) for r in out.collect()}
+    assert got == {1: (None,) * 4, 2: (None, 1, 1.0, 1.0), 3: (None,) * 4, 4: (2, 2, 2.0, 2.0)}
+    assert [r["id"] for r in Q.in_sequence(df, "k", "ts").collect()] == [2, 4]
 
 
 def test_settled_uses_the_named_folder(spark, rows):
     df = spark.createDataFrame(rows, LAYOUT)
-    folder = Q.shared_folder(spark)
-    assert folder is not None and Q.settled(df).count() == len(rows)
+    held = Q.settled(df)
+    assert held.count() == len(rows) and held.schema == df.schema
+    assert all(Q.shared_folder(spark).split("//")[-1] in path for path in held.inputFiles())

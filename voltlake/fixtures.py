@@ -81,6 +81,15 @@ def bms_long(spark: SparkSession, sf_dir: str, odometer: bool = False) -> DataFr
     return bms(spark, sf_dir, odometer, "long")
 
 
+def bms_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Battery rows of a feed that at times lacks device, type or time."""
+    e = F.col("event_id")
+    return bms(spark, sf_dir).withColumns({
+        "device_no": F.when(e % 37 != 0, F.col("device_no")), "car_type": F.when(e % 41 != 0, F.col("car_type")),
+        "msg_ts": F.when(e % 43 != 0, F.col("msg_ts")),
+    })
+
+
 def gps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gps_of(table(spark, sf_dir, "events"))
 
@@ -132,6 +141,9 @@ VIEWS = {
   SELECT * REPLACE ({_DENSE_TS} AS msg_ts) FROM bms""",
     "bms_long": """
   SELECT * REPLACE (msg_ts + to_months(CAST(event_id % 12 AS INT)) AS msg_ts) FROM bms""",
+    "bms_gaps": """
+  SELECT * REPLACE (CASE WHEN event_id % 37 <> 0 THEN device_no END AS device_no,
+    CASE WHEN event_id % 41 <> 0 THEN car_type END AS car_type, CASE WHEN event_id % 43 <> 0 THEN msg_ts END AS msg_ts) FROM bms""",
     "gps": f"""
   SELECT event_id AS gps_id, CAST(user_id AS VARCHAR) AS device_no, {_TYPE_SQL},
     ts + to_seconds((event_id * 17) % 181 - 90) AS time,
@@ -144,7 +156,7 @@ VIEWS = {
         for field in POINT_FIELDS
     ),
 }
-_NEEDS = {"bms_dense": ("bms",), "bms_long": ("bms",), "points": ("bms",)}
+_NEEDS = {"bms_dense": ("bms",), "bms_gaps": ("bms",), "bms_long": ("bms",), "points": ("bms",)}
 
 
 def with_views(body: str, *names: str, **extra: str) -> str:

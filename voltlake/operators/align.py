@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voltlake.functions.expr import micros
 from voltlake.operators.sequence import (
-    ROWS_PER_SLICE, SLICE_SECONDS, carried, nearest_in_stream, sliced, unsliced, with_slices,
+    ROWS_PER_SLICE, SLICE_SECONDS, carried, in_sequence, nearest_in_stream, sliced, unsliced, with_slices,
 )
 from voltlake.schema import NEAR_SECONDS
 
@@ -29,12 +29,12 @@ def nearest_join(
 ) -> DataFrame:
     """Left rows, each with the ``take`` columns of its nearest right row within the tolerance.
 
-    Left join, one output row per left row.  Equal distance: the earlier right row; equal instant: the
+    Left join, one output row per left row; one without a key or a time has no match.  Equal distance: the earlier right row; equal instant: the
     smallest right id.  Both inputs are put into one stream and read once forwards and once backwards, so
     the work is linear in the rows and no pair of rows is ever built.
     """
     found = one_per_instant(
-        right.select(*on, right_time, right_id, *[n for n in take if n not in (right_time, right_id)]),
+        in_sequence(right, *on, right_time).select(*on, right_time, right_id, *[n for n in take if n not in (right_time, right_id)]),
         on, right_time, [right_id],
     ).select(
         *on, micros(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(0).alias("_id"),

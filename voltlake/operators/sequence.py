@@ -8,22 +8,26 @@ back.  Results equal those of the plain window over the whole key.
 
 Parts split a bucket that is too full.  Their borders come from a hash sample of the order values,
 so they are the same on every recomputation, and ties of time are split by the later order columns.
+
+A row without a key or a time has no place in a sequence.  It stays in the result, with NULL in every
+column that a sequence would give it; ``in_sequence`` drops such rows where a rule needs the place.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.functions.expr import micros
+from voltlake.session import shared_folder
 
 SLICE_SECONDS = 30 * 86_400
 ROWS_PER_SLICE = 1_000_000
 SAMPLES_PER_SLICE = 64
-MAX_CUTS = 4096  # borders per bucket; beyond it parts get fuller, no row is left out
+APART = 256  # slices that rows without a place are spread over
 
 BUCKET, PART = "_bucket", "_part"
 
@@ -36,39 +40,58 @@ def slice_keys(keys: Sequence[str]) -> list[str]:
     return [*keys, BUCKET, PART]
 
 
+def in_sequence(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows that have all the columns a sequence is made of."""
+    for name in columns:
+        df = df.where(F.col(name).isNotNull())
+    return df
+
+
+def has_place() -> Column:
+    return F.col(BUCKET).isNotNull()
+
+
 def with_slices(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
     rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
     """Add the slice of each row.  ``bucket`` must not decrease along ``order``.
 
-    Rows without a key or a bucket have no place in a sequence and are left out.  The table of borders
-    that is broadcast holds at most one entry per ``rows_per_slice`` rows: 100 TB of 250-byte rows give
-    400,000 of them, some 15 MB.
+    Rows without a key or a bucket get no bucket, and a part by hash, so that many of them spread.  The
+    borders of a bucket are kept in about sqrt(n) runs, so a row is compared with 2 * sqrt(n) of them.
+    They meet the rows on (key, bucket), where adaptive execution decides by their measured size.
     """
-    placed = df.withColumn(BUCKET, bucket).where(F.col(BUCKET).isNotNull())
+    placed = df.withColumn(BUCKET, bucket)
     for key in keys:
-        placed = placed.where(F.col(key).isNotNull())
+        placed = placed.withColumn(BUCKET, F.when(F.col(key).isNotNull(), F.col(BUCKET)))
     at = F.struct(*[F.col(name) for name in order])
     modulus = max(1, rows_per_slice // SAMPLES_PER_SLICE)
     sample = (
-        placed.where(F.pmod(F.xxhash64(*keys, *order), F.lit(modulus)) == 0)
+        placed.where(has_place() & (F.pmod(F.xxhash64(*keys, *order), F.lit(modulus)) == 0))
         .select(*keys, BUCKET, at.alias("_at"))
     )
     group = Window.partitionBy(*keys, BUCKET)
     ranked = sample.select(
         "*", F.row_number().over(group.orderBy("_at")).alias("_rn"), F.count("*").over(group).alias("_n")
     )
-    step = F.greatest(F.lit(SAMPLES_PER_SLICE), F.ceil(F.col("_n") / MAX_CUTS))
+    step = SAMPLES_PER_SLICE
     cuts = (
         ranked.where((F.col("_rn") % step == 0) & (F.col("_rn") < F.col("_n")))
-        .groupBy(*keys, BUCKET).agg(F.collect_list("_at").alias("_cuts"))
+        .groupBy(*keys, BUCKET).agg(F.array_sort(F.collect_list("_at")).alias("_borders"))
+        .withColumn("_width", F.ceil(F.sqrt(F.size("_borders"))).cast("int"))
+        .withColumn("_cuts", F.transform(
+            F.sequence(F.lit(0), F.ceil(F.size("_borders") / F.col("_width")).cast("int") - 1),
+            lambda i: F.slice(F.col("_borders"), i * F.col("_width") + 1, F.col("_width"))))
+        .drop("_borders")
     )
-    part = F.size(F.filter(F.col("_cuts"), lambda border: border < at))
+    run = F.size(F.filter(F.col("_cuts"), lambda borders: F.get(borders, F.lit(0)) < at)) - 1
+    inside = F.size(F.filter(F.get(F.col("_cuts"), run), lambda border: border < at))
+    part = F.when(run < 0, 0).otherwise(run * F.col("_width") + inside)
     return (
-        placed.join(F.broadcast(cuts), [*keys, BUCKET], "left")
-        .withColumn(PART, F.when(F.col("_cuts").isNull(), 0).otherwise(part))
-        .drop("_cuts")
+        placed.join(cuts, [*keys, BUCKET], "left").select(*[placed[name] for name in placed.columns], "_cuts", "_width")
+        .withColumn(PART, F.when(~has_place(), F.pmod(F.xxhash64(*keys, *order), F.lit(APART)).cast("int"))
+                    .when(F.col("_cuts").isNull(), 0).otherwise(part))
+        .drop("_cuts", "_width")
     )
 
 
@@ -84,26 +107,15 @@ def unsliced(df: DataFrame) -> DataFrame:
     return df.drop(BUCKET, PART)
 
 
-def shared_folder(spark: SparkSession) -> str | None:
-    """The checkpoint folder the session names; a temporary one for local sessions without a setting."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and context.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="voltlake-")
-        if folder is None:
-            return None
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
-
-
 def settled(df: DataFrame) -> DataFrame:
-    """The rows written once to the shared checkpoint folder, so later passes read them and not the lineage.
+    """The rows written once as Parquet to the shared folder, so later passes read them and not the lineage.
 
-    Every carried pass reads its input twice; chains of passes settle between them.  On a cluster that
-    names no shared folder the lineage stays.
+    Every carried pass reads its input twice; chains of passes settle between them.  The folder is the one
+    that spark.checkpoint.dir names; without it this is an error.  Its owner empties it.
     """
-    return df if shared_folder(df.sparkSession) is None else df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _forward(keys: Sequence[str], order: Sequence[str]):
@@ -124,7 +136,7 @@ def _across(keys: Sequence[str], *order: Column):
 def _with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
     """Every slice, preceded by the n rows that come before it in its key (``_halo`` marks those)."""
     tails = (
-        df.withColumn("_rn", F.row_number().over(_backward(keys, order))).where(F.col("_rn") <= n)
+        df.where(has_place()).withColumn("_rn", F.row_number().over(_backward(keys, order))).where(F.col("_rn") <= n)
         .drop("_rn")
     )
     line = _across(keys, F.col(BUCKET), F.col(PART), *[F.col(name) for name in order])
@@ -154,7 +166,8 @@ def framed(
     """
     window = _forward(keys, order)
     whole = _with_halo(df, keys, order, n)
-    return whole.withColumns({name: make(window) for name, make in columns.items()}).where(~F.col("_halo")).drop("_halo")
+    made = {name: F.when(has_place(), make(window)) for name, make in columns.items()}
+    return whole.withColumns(made).where(~F.col("_halo")).drop("_halo")
 
 
 def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
@@ -214,9 +227,9 @@ def carried(
             F.when((ago <= tolerance) & (ahead.isNull() | (ago <= ahead)), previous["v"])
             .when(ahead <= tolerance, following["v"])
         )
-    borders = df.groupBy(*slice_keys(keys)).agg(*edges).select(*slice_keys(keys), *handed)
+    borders = df.where(has_place()).groupBy(*slice_keys(keys)).agg(*edges).select(*slice_keys(keys), *handed)
     joined = df.withColumns(inside).join(borders, slice_keys(keys), "left")
-    return joined.select(*df.columns, *[value.alias(name) for name, value in final.items()])
+    return joined.select(*df.columns, *[F.when(has_place(), value).alias(name) for name, value in final.items()])
 
 
 def running(

@@ -10,7 +10,7 @@ from voltlake.functions import expr as E
 from voltlake.functions.expr import rounded
 from voltlake.operators.align import mean_within, nearest_value
 from voltlake.operators.select import last_interval
-from voltlake.operators.sequence import BUCKET, PART, lagged, running, settled, sliced, unsliced
+from voltlake.operators.sequence import BUCKET, PART, in_sequence, lagged, running, settled, sliced, unsliced
 from voltlake.plans.battery import with_position
 
 DEVICE = ["device_no"]
@@ -38,9 +38,12 @@ def charging_sessions_by_current(
     bms: DataFrame, gps: DataFrame, threshold: float = S.CROSSING_CURRENT,
     row_id: str = "event_id", gps_id: str = "gps_id",
 ) -> DataFrame:
-    """Sessions from the current rising to the threshold until it falls below; open ones keep no end."""
+    """Sessions from the current rising to the threshold until it falls below; open ones keep no end.
+
+    Rows without device or time are in no session.
+    """
     order = ["msg_ts", row_id]
-    rows = bms.where(F.col("pack_current").isNotNull()).select(
+    rows = in_sequence(bms, "pack_current", "device_no", "msg_ts").select(
         row_id, "device_no", "car_type", "msg_ts", "soc", "pack_current", "mod_avg_temp", E.power_w().alias("power_w"),
     )
     stepped = lagged(sliced(rows, DEVICE, "msg_ts", [row_id]), DEVICE, order, {"_prev": "pack_current"})
@@ -72,10 +75,10 @@ def charging_sessions(bms: DataFrame, row_id: str = "event_id") -> DataFrame:
     """Sessions of rising SOC that begin under current and end with the next fall.
 
     Between two falls the first rise under current opens the session and every rise after it belongs to
-    it.  A session without a closing fall is not reported.
+    it.  A session without a closing fall is not reported; rows without device or time are in none.
     """
     order = ["msg_ts", row_id]
-    rows = bms.select("device_no", row_id, "msg_ts", "soc", "pack_current", "pack_volt")
+    rows = in_sequence(bms, "device_no", "msg_ts").select("device_no", row_id, "msg_ts", "soc", "pack_current", "pack_volt")
     reading = F.when(F.col("soc").isNotNull(), F.struct(F.col("soc").alias("soc"), F.col("msg_ts").alias("ts")))
     stepped = nearest_value(
         rows, DEVICE, "msg_ts", row_id, ["pack_current"], keep_slices=True, befores={"_before": reading}

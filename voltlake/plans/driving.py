@@ -9,7 +9,7 @@ from voltlake import schema as S
 from voltlake.functions import expr as E
 from voltlake.functions.expr import rounded
 from voltlake.operators.align import nearest_value
-from voltlake.operators.sequence import BUCKET, PART, lagged, running, settled, sliced, unsliced
+from voltlake.operators.sequence import BUCKET, PART, in_sequence, lagged, running, settled, sliced, unsliced
 from voltlake.plans.battery import with_position
 
 DEVICE = ["device_no"]
@@ -83,7 +83,7 @@ def driving_performance_summary(performance: DataFrame) -> DataFrame:
 def driving_sessions(bms: DataFrame, row_id: str = "event_id") -> DataFrame:
     """Trips from odometer steps: a reset, or 30 minutes without a gain, ends one."""
     order = ["msg_ts", row_id]
-    rows = bms.where(F.col("odometer").isNotNull()).select("device_no", row_id, "msg_ts", "odometer")
+    rows = in_sequence(bms, "odometer", "device_no", "msg_ts").select("device_no", row_id, "msg_ts", "odometer")
     stepped = lagged(sliced(rows, DEVICE, "msg_ts", [row_id]), DEVICE, order, {"_odo": "odometer", "_ts": "msg_ts"})
     diff = F.col("odometer") - F.col("_odo")
     gap = E.seconds_between("_ts", "msg_ts") / 60
@@ -120,7 +120,7 @@ def avg_trip_speed(distance: str, seconds: str) -> Column:
 
 def daily_distance(bms: DataFrame, row_id: str = "event_id") -> DataFrame:
     """Odometer gain per device and day."""
-    rows = bms.where(F.col("odometer").isNotNull()).select("device_no", row_id, "msg_ts", "odometer")
+    rows = in_sequence(bms, "odometer", "device_no", "msg_ts").select("device_no", row_id, "msg_ts", "odometer")
     stepped = lagged(sliced(rows, DEVICE, "msg_ts", [row_id]), DEVICE, ["msg_ts", row_id], {"_odo": "odometer"})
     gain = F.col("odometer") - F.col("_odo")
     return stepped.where(gain > 0).groupBy("device_no", F.to_date("msg_ts").alias("date")).agg(F.sum(gain).alias("distance_km"))
@@ -140,7 +140,7 @@ def segments(
     """
     order = ["msg_ts", row_id]
     columns = ["pack_volt", "pack_current", "soh", "odometer"]
-    rows = bms.select("device_no", row_id, "msg_ts", "soc", *columns)
+    rows = in_sequence(bms, "device_no", "msg_ts").select("device_no", row_id, "msg_ts", "soc", *columns)
     counted = settled(nearest_value(
         rows, DEVICE, "msg_ts", row_id, columns, keep_slices=True, sums={"_seg": F.col("soc").isNotNull().cast("int")}
     ))
@@ -280,9 +280,12 @@ def efficiency_by_month(segs: DataFrame) -> DataFrame:
 
 
 def efficiency_steps(bms: DataFrame, row_id: str = "event_id", min_current: float = S.SEGMENT_CURRENT) -> DataFrame:
-    """Per SOC reading: SOC spent per km while driving, SOC gained per minute while charging."""
+    """Per SOC reading: SOC spent per km while driving, SOC gained per minute while charging.
+
+    A reading without device or time follows no other and is left out.
+    """
     order = ["msg_ts", row_id]
-    rows = bms.select("device_no", row_id, "msg_ts", "soc", "odometer", "pack_current")
+    rows = in_sequence(bms, "device_no", "msg_ts").select("device_no", row_id, "msg_ts", "soc", "odometer", "pack_current")
     near = nearest_value(rows, DEVICE, "msg_ts", row_id, ["odometer", "pack_current"], keep_slices=True)
     readings = settled(
         near.where(F.col("soc").isNotNull())

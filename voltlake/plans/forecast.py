@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from voltlake.functions import expr as E
 from voltlake.functions.expr import rounded
 from voltlake.operators.select import head_per_key
-from voltlake.operators.sequence import running, sliced, unsliced
+from voltlake.operators.sequence import in_sequence, running, sliced, unsliced
 
 YEAR_DAYS = 365.25
 Z80 = 1.2815515655446004  # half-width of an 80 % normal interval, in deviations
@@ -73,7 +73,7 @@ def forecast_confidence(bms: DataFrame) -> DataFrame:
 
 def forecast_soh_linear(bms: DataFrame, days: int = 30, min_points: int = 10, row_id: str = "event_id") -> DataFrame:
     """OLS of SOH on the sample index per device, continued for ``days`` days and clipped to 0..100."""
-    rows = sliced(_soh_rows(bms, row_id), ["device_no"], "msg_ts", [row_id])
+    rows = sliced(in_sequence(_soh_rows(bms, row_id), "device_no", "msg_ts"), ["device_no"], "msg_ts", [row_id])
     indexed = unsliced(running(rows, ["device_no"], ["msg_ts", row_id], sums={"_n": F.lit(1)}))
     index = (F.col("_n") - 1).cast("double")
     lines = indexed.groupBy("device_no").agg(

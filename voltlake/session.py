@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -24,5 +28,27 @@ def local_session(cores: int | str = "*", name: str = "voltlake", **conf: str) -
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return with_local_folder(spark)
+
+
+
+SHARED = "spark.checkpoint.dir"
 
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables that driver and executors share; only the session names it."""
+    folder = spark.conf.get(SHARED, None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        raise ValueError(f"set {SHARED} to a folder that driver and executors share")
+    return folder.rstrip("/")
+
+
+def with_local_folder(spark: SparkSession) -> SparkSession:
+    """For runs in one process whose session names no shared folder: a temporary one that goes when Python ends."""
+    context = spark.sparkContext
+    local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+    if local and not spark.conf.get(SHARED, None) and not context.getCheckpointDir():
+        folder = tempfile.mkdtemp(prefix="voltlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
+    return spark
