@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
-_own: dict[str, str] = {}
+from voltlake.session import shared_folder
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the one named in spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is missing, a local master gets a temporary folder that goes when Python ends; on a
-    cluster that is an error, since no other folder is known to be shared.
-    """
-    root = spark.conf.get(SETTING, None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError(f"set {SETTING} to a folder that driver and executors share")
-        if "root" not in _own:
-            _own["root"] = tempfile.mkdtemp(prefix="voltlake-")
-            atexit.register(shutil.rmtree, _own["root"], ignore_errors=True)
-        root = _own["root"]
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the one named in spark.checkpoint.dir, which driver and executors share."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
 def saved(frame: DataFrame) -> DataFrame:
