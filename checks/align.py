@@ -20,6 +20,22 @@ def _narrow(s, d):
     return X.bms(s, d).select("event_id", *_KEYS, "msg_ts", "soc")
 
 
+def _few(s, d):
+    """A few battery rows, half of them of one device at one moment."""
+    hot = F.col("event_id") % 100 == 0
+    return X.bms(s, d).where(F.col("event_id") % 50 == 0).select(
+        "event_id", F.when(hot, "hot").otherwise(F.col("device_no")).alias("device_no"),
+        F.when(hot, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz")).otherwise(F.col("msg_ts")).alias("msg_ts"),
+    )
+
+
+def _crowd(s, d):
+    """All positions, and once more as positions of that device around that moment."""
+    rows = X.gps(s, d).select("gps_id", "device_no", "time")
+    moved = F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00' + make_dt_interval(0, 0, 0, gps_id % 200)")
+    return rows.unionByName(rows.select("gps_id", F.lit("hot").alias("device_no"), moved.alias("time")))
+
+
 def _mean_within(s, d):
     rows = X.bms_dense(s, d)
     spans = rows.select(
@@ -60,6 +76,12 @@ CHECKS = [
           with_views(f"SELECT b.event_id, b.car_type, b.device_no, b.msg_ts, b.soc, g.gps_id, g.time, g.speed FROM bms b {near('gps_id time speed')}", "bms", "gps")),
     check("interval_join", lambda s, d: align.interval_join(_narrow(s, d), X.gps(s, d), ["device_no"], "msg_ts", "time", 300, ["gps_id"], closed=True),
           with_views("SELECT b.event_id, b.car_type, b.device_no, b.msg_ts, b.soc, g.gps_id FROM bms b LEFT JOIN gps g ON g.device_no = b.device_no AND abs(epoch_us(b.msg_ts) - epoch_us(g.time)) <= 300000000", "bms", "gps")),
+    check("interval_join_hot", lambda s, d: align.interval_join(_few(s, d), _crowd(s, d), ["device_no"], "msg_ts", "time", 300, ["gps_id"], closed=True, how="inner", rows_per_task=50),
+          with_views("""SELECT b.event_id, CASE WHEN b.event_id % 100 = 0 THEN 'hot' ELSE b.device_no END AS device_no,
+  CASE WHEN b.event_id % 100 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' ELSE b.msg_ts END AS msg_ts, g.gps_id FROM (SELECT event_id, device_no, msg_ts FROM bms WHERE event_id % 50 = 0) b
+  JOIN (SELECT gps_id, 'hot' AS device_no, TIMESTAMP '2024-01-10 00:00:00' + to_seconds(gps_id % 200) AS time FROM gps
+    UNION ALL SELECT gps_id, device_no, time FROM gps) g ON g.device_no = CASE WHEN b.event_id % 100 = 0 THEN 'hot' ELSE b.device_no END
+  AND abs(epoch_us(CASE WHEN b.event_id % 100 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' ELSE b.msg_ts END) - epoch_us(g.time)) <= 300000000""", "bms", "gps")),
     check("mean_within", _mean_within,
           with_views("""SELECT s.span, s.device_no, s.start_time, s.end_time, avg(b.soc) AS mean_soc, avg(b.pack_volt) AS mean_pack_volt FROM spans s JOIN bms_dense b ON b.device_no = s.device_no
   AND b.msg_ts BETWEEN s.start_time - INTERVAL 60 SECOND AND s.end_time + INTERVAL 60 SECOND GROUP BY 1, 2, 3, 4""", "bms_dense", spans=_SPANS), "mean_soc mean_pack_volt"),
@@ -81,6 +103,8 @@ CHECKS = [
           with_views("SELECT event_id, device_no, msg_ts, soc, soh FROM bms QUALIFY row_number() OVER (PARTITION BY device_no ORDER BY msg_ts DESC, event_id DESC) = 1", "bms")),
     check("paginate", lambda s, d: D.paginate(X.table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", "desc", 3, 50),
           "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100"),
+    check("paginate_rn_ascending", lambda s, d: D.paginate_rn(X.bms(s, d).select("event_id", "soc"), "soc", "event_id", 3, 50, order="asc", rows_per_slice=64),
+          with_views("SELECT * FROM (SELECT event_id, soc, row_number() OVER (ORDER BY soc NULLS LAST, event_id) AS row_num FROM bms) WHERE row_num BETWEEN 101 AND 150", "bms")),
     check("paginate_rn", _lineitem_page,
           "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, format('{:012d}-{}', l_orderkey, l_linenumber) AS line, row_number() OVER (ORDER BY l_extendedprice DESC, format('{:012d}-{}', l_orderkey, l_linenumber)) AS row_num FROM lineitem) WHERE row_num BETWEEN 3901 AND 4000"),
     check("order_by_labels", lambda s, d: D.order_by_labels(X.bms(s, d).groupBy(E.operation_mode().alias("mode")).agg(F.count("*").alias("n")), "mode", ["charging", "idle"]),

@@ -58,7 +58,7 @@ def _energy_rows(s, d):
 
 
 def _importance(s, d):
-    return energy.feature_importance(energy.train_energy_model(_features(s, d), leak_free=True, trees=20), s)
+    return energy.feature_importance(energy.train_energy_model(_features(s, d), leak_free=True), s)
 
 
 _WIDE = "SELECT time, device_no, car_type, " + ", ".join(f"avg(value) FILTER (field = '{f}') AS {f}" for f in energy.SENSORS) + " FROM points GROUP BY 1, 2, 3"

@@ -60,6 +60,9 @@ def test_expand_list_pads(make):
     out = clean.expand_list(df, "v", ",")
     assert out.columns == ["id", "v_1", "v_2", "v_3"]
     assert rows(out) == [(1, "1", "2", "3"), (2, "4", None, None), (3, None, None, None)]
+    assert clean.expand_list(df, "v", ",", 2).columns == out.columns  # never fewer than the longest list
+    assert clean.expand_list(df, "v", ",", 4).columns == [*out.columns, "v_4"]
+    assert clean.expand_list(df.where("id = 2"), "v", ",").columns == ["id", "v_1"]
     assert clean.detect_list_columns(make("a string, b string, c int", [("1|2", "x", 1), ("3", "y", 2), ("4|5|6", None, 3)])) == {"a": "|"}
 
 

@@ -6,7 +6,6 @@ from checks import all_checks
 from compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"energy_model", "feature_importance"}  # the model itself is tested on a small table
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +13,7 @@ def duck():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", [n for n, c in all_checks().items() if n not in SLOW])
+@pytest.mark.parametrize("name", list(all_checks()))
 def test_query_equals_sql(spark, duck, name):
     item = all_checks()[name]
     frame = item.run(spark, SF)

@@ -139,9 +139,10 @@ def test_seasonal_model_survives_saving(spark, seasonal, tmp_path):
     assert forecast.forecast_soh_seasonal(model, start, 5).collect() == forecast.forecast_soh_seasonal(again, start, 5).collect()
 
 
-def test_short_history_gets_no_wave(make):
+def test_short_history_is_fitted_with_the_season(make):
     days = make("ds date, y double, data_count int", [((T0 + timedelta(days=i)).date(), 95 - 0.1 * i, 9) for i in range(20)])
-    assert forecast.fit_soh_seasonal(days).waves == 0
+    model = forecast.fit_soh_seasonal(days)
+    assert model.waves == 3 and model.sigma < 0.1
     assert forecast.horizon_days("2024-01-01", "2024-03-01") == 60
 
 

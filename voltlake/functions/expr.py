@@ -344,7 +344,9 @@ def encode_type(car_type: Name = "car_type") -> Column:
     for code, name in enumerate(CAR_TYPES):
         test = c(car_type) == name
         chain = F.when(test, code) if chain is None else chain.when(test, code)
-    return chain
+    # Any other type has a code of its own behind the known ones; no type at all is -1.
+    other = len(CAR_TYPES) + F.pmod(F.xxhash64(c(car_type)), F.lit(1_000_003)).cast("int")
+    return chain.when(c(car_type).isNull(), -1).otherwise(other)
 
 
 def month_key(ts: Name) -> Column:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.functions.expr import micros
 from voltlake.operators.sequence import (
-    ROWS_PER_SLICE, SLICE_SECONDS, carried, in_sequence, nearest_in_stream, sliced, unsliced, with_slices,
+    ROWS_PER_SLICE, SLICE_SECONDS, carried, in_sequence, nearest_in_stream, settled, sliced, unsliced, with_slices,
 )
 from voltlake.schema import NEAR_SECONDS
 
@@ -59,9 +59,11 @@ def nearest_to_few(
 ) -> DataFrame:
     """``nearest_join`` for a left side with one row per key, such as the latest row per vehicle.
 
-    The right table is not reordered: it meets the few left rows on (key, time bucket), where adaptive
-    execution broadcasts them when they measure small, and a right row matches at most one left row.
+    The left rows are written first, so that their size is known when the joins are planned: small ones are
+    broadcast and the right table is not moved.  It meets them on (key, time bucket), and a right row matches
+    at most one left row.
     """
+    left = settled(left)
     width = int(tolerance_s * 1_000_000)
     t, u = F.col("_lt"), F.col("_rt")
     cell = F.floor(t / width)
@@ -108,32 +110,48 @@ def interval_join(
     """Every right row less than ``seconds`` away (at most, when closed) from each left row.
 
     The pairs are the result here.  They are found on (key, time cell) with cells as wide as the interval,
-    so the join tests about 1.5 candidates per pair.  A cell with more left rows than ``rows_per_task``
-    is salted: its left rows are spread, its right rows repeated once per salt.
+    so the join tests about 1.5 candidates per pair.  A cell too full by its left rows or by its pairs is
+    salted: its left rows are spread, its right rows repeated once per salt.  An inner join also cuts one with
+    too many right rows the other way round; in a left join these stay with each share of left rows.
     """
     width = int(seconds * 1_000_000)
     cell = F.floor(F.col("_lt") / width)
     placed = left.withColumn("_lt", micros(left_time)).withColumn("_cell", cell)
-    # At most |left| / rows_per_task cells qualify, which bounds what is broadcast.
-    hot = (
-        placed.groupBy(*on, "_cell").count().where(F.col("count") > rows_per_task)
-        .select(*on, "_cell", F.ceil(F.col("count") / rows_per_task).cast("int").alias("_salts"))
+    # Either side alone may be what fills a cell; its pairs are about as many as the product of both.
+    at_home = F.floor(micros(right_time) / width)
+    others = (
+        right.select(*on, F.explode(F.array(at_home - 1, at_home, at_home + 1)).alias("_cell"))
+        .groupBy(*on, "_cell").agg(F.count("*").alias("_others"))
+    )
+    own, across = F.col("_own"), F.coalesce(F.col("_others"), F.lit(0))
+    load = F.greatest(own, F.sqrt(own * across))
+    hot = settled(
+        placed.groupBy(*on, "_cell").agg(F.count("*").alias("_own")).join(others, [*on, "_cell"], "left")
+        .where((load > rows_per_task) | (across > rows_per_task))
+        .select(*on, "_cell", F.ceil(load / rows_per_task).cast("int").alias("_salts"),
+                F.greatest(F.lit(1), F.ceil(across / rows_per_task)).cast("int").alias("_parts"))
     )
     salts = F.coalesce(F.col("_salts"), F.lit(1))
+    # A left row without a match in one part of its cell may have one in another, so a left join has one part.
+    parts = F.coalesce(F.col("_parts"), F.lit(1)) if how == "inner" else F.lit(1)
+
+    def dealt(columns: Sequence[str], n: Column) -> Column:
+        return F.when(n > 1, F.pmod(F.xxhash64(*columns), n)).otherwise(F.lit(0)).cast("int")
+
     spread = (
-        placed.join(F.broadcast(hot), [*on, "_cell"], "left")
-        .withColumn("_salt", F.when(salts > 1, F.pmod(F.xxhash64(*left.columns), salts)).otherwise(F.lit(0)).cast("int"))
-        .drop("_salts")
+        placed.join(hot, [*on, "_cell"], "left").withColumn("_salt", dealt(left.columns, salts))
+        .withColumn("_share", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_salts", "_parts")
     )
     home = F.floor(F.col("_rt") / width)
     copies = (
         right.select(*on, *[F.col(name).alias(f"_r_{name}") for name in take], micros(right_time).alias("_rt"))
         .withColumn("_cell", F.explode(F.array(home - 1, home, home + 1)))
-        .join(F.broadcast(hot), [*on, "_cell"], "left")
+        .join(hot, [*on, "_cell"], "left")
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
+        .withColumn("_share", dealt(["_rt", *[f"_r_{name}" for name in take]], parts))
+        .drop("_salts", "_parts")
     )
-    keys = [*on, "_cell", "_salt"]
+    keys = [*on, "_cell", "_salt", "_share"]
     a, b = spread.alias("a"), copies.alias("b")
     gap = F.abs(F.col("a._lt") - F.col("b._rt"))
     test = gap <= width if closed else gap < width
@@ -183,5 +201,7 @@ def mean_within(
 
 
 def with_group_max(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
-    """Each row with the largest value of its group; the per-group table joins on measured size."""
-    return df.join(df.groupBy(group).agg(F.max(value).alias(name)), group, "left")
+    """Each row with the largest value of its group.  The per-group table is written first: where it is small,
+    Spark knows so when it plans the join and leaves the rows where they are."""
+    most = settled(df.groupBy(F.col(group).alias("_group")).agg(F.max(value).alias(name)))
+    return df.join(most, df[group] == most["_group"], "left").select(*[df[n] for n in df.columns], name)

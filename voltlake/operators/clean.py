@@ -46,17 +46,17 @@ def clean_rows(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- list columns
 
 
-def detect_list_columns(df: DataFrame, sample: int = 50, share: float = 0.5) -> dict[str, str]:
-    """Text columns where more than half of the first values hold a delimiter; one small result row."""
+def detect_list_columns(df: DataFrame, share: float = 0.5) -> dict[str, str]:
+    """Text columns where more than ``share`` of all values hold a delimiter: one aggregate over the table."""
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text:
+        return {}
+    pairs = [(name, delimiter) for name in text for delimiter in LIST_DELIMITERS]
+    rates = df.agg(*[F.avg(F.col(n).contains(d).cast("int")).alias(str(i)) for i, (n, d) in enumerate(pairs)]).first()
     found: dict[str, str] = {}
-    for name in text:
-        head = df.select(F.col(name).alias("v")).where(F.col("v").isNotNull()).limit(sample)
-        rates = head.agg(*[F.avg(F.col("v").contains(d).cast("int")).alias(str(i)) for i, d in enumerate(LIST_DELIMITERS)]).first()
-        for i, delimiter in enumerate(LIST_DELIMITERS):
-            if rates[i] is not None and rates[i] > share:
-                found[name] = delimiter
-                break
+    for (name, delimiter), rate in zip(pairs, rates):
+        if rate is not None and rate > share:
+            found.setdefault(name, delimiter)
     return found
 
 
@@ -65,13 +65,12 @@ def split_list(column: str, delimiter: str) -> Column:
 
 
 def expand_list(df: DataFrame, column: str, delimiter: str, n: int | None = None) -> DataFrame:
-    """``column`` as numbered columns, NULL padded; n = the longest list when not given."""
+    """``column`` as numbered columns, NULL padded: as many as the longest list has values, and ``n`` at least."""
     items = split_list(column, delimiter)
-    if n is None:
-        n = df.agg(F.max(F.size(items))).first()[0] or 0
-    if n < 2:
-        return df
-    return df.withColumns({f"{column}_{i + 1}": F.get(items, F.lit(i)) for i in range(n)}).drop(column)
+    longest = df.agg(F.max(F.size(items))).first()[0] or 0
+    return df.withColumns(
+        {f"{column}_{i + 1}": F.get(items, F.lit(i)) for i in range(max(1, n or 0, longest))}
+    ).drop(column)
 
 
 # ---------------------------------------------------------------- types, ranges, times

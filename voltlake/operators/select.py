@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlake.functions.expr import as_timestamp, month_key
-from voltlake.operators.sequence import global_row_number
+from voltlake.functions.expr import as_timestamp
+from voltlake.operators.sequence import ROWS_PER_SLICE, global_row_number
 
 
 def where_opt(df: DataFrame, **equal) -> DataFrame:
@@ -19,22 +20,34 @@ def where_opt(df: DataFrame, **equal) -> DataFrame:
     return df
 
 
-def between_time(df: DataFrame, ts: str, start: str | None = None, stop: str | None = None) -> DataFrame:
-    """Start inclusive, stop exclusive."""
+def between_time(
+    df: DataFrame, ts: str, start: str | Column | None = None, stop: str | Column | None = None, day: str = "day",
+) -> DataFrame:
+    """Start inclusive, stop exclusive.  Where the table is stored by ``day``, the days outside are not opened."""
+    stored = day in df.columns
+
+    def moment(value: str | Column) -> Column:
+        return as_timestamp(value) if isinstance(value, str) else value
+
     if start is not None:
-        df = df.where(F.col(ts) >= as_timestamp(start))
+        df = df.where(F.col(ts) >= moment(start))
+        df = df.where(F.col(day) >= moment(start).cast("date")) if stored else df
     if stop is not None:
-        df = df.where(F.col(ts) < as_timestamp(stop))
+        df = df.where(F.col(ts) < moment(stop))
+        df = df.where(F.col(day) <= moment(stop).cast("date")) if stored else df
     return df
 
 
 def last_interval(df: DataFrame, ts: str, as_of: str, days: int) -> DataFrame:
     """Rows of the last ``days`` before the given moment, counted from its midnight."""
-    return df.where(F.col(ts) >= F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz"))
+    return between_time(df, ts, F.date_sub(F.lit(as_of).cast("date"), days).cast("timestamp_ntz"))
 
 
 def in_month(df: DataFrame, ts: str, month: str) -> DataFrame:
-    return df.where(month_key(ts) == month)
+    """Rows of a month, given as yyyy-MM, by its time range."""
+    first = date.fromisoformat(f"{month}-01")
+    after = date(first.year + first.month // 12, first.month % 12 + 1, 1)
+    return between_time(df, ts, f"{first} 00:00:00", f"{after} 00:00:00")
 
 
 def _directed(name: str, descending: bool) -> Column:
@@ -49,9 +62,13 @@ def paginate(
     return df.orderBy(*keys).offset((page - 1) * limit).limit(limit)
 
 
-def paginate_rn(df: DataFrame, sort: str, tiebreak: str, page: int, limit: int, width: float = 1.0) -> DataFrame:
-    """The same page by row number, for pages deep inside a large result."""
-    numbered = global_row_number(df, "row_num", F.col(sort), [tiebreak], width)
+def paginate_rn(
+    df: DataFrame, sort: str, tiebreak: str, page: int, limit: int, width: float = 1.0, order: str = "desc",
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """The same page by row number, for pages deep inside a large result; missing values come last either way."""
+    score = F.col(sort) if order == "desc" else -F.col(sort)
+    numbered = global_row_number(df, "row_num", score, [tiebreak], width, rows_per_slice)
     return numbered.where(F.col("row_num").between((page - 1) * limit + 1, page * limit))
 
 

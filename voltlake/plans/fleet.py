@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from voltlake.operators.align import nearest_to_few
 from voltlake.operators.select import (
     first_value, head_per_key, last_interval, latest_rows, latest_value, where_opt,
 )
-from voltlake.operators.sequence import global_row_number
+from voltlake.operators.sequence import global_row_number, settled
 from voltlake.schema import CAR_TYPES
 
 KEYS = ["car_type", "device_no"]
@@ -134,9 +136,12 @@ def vehicle_summary(
     )
 
 
-def fleet_overview(summary: DataFrame, as_of: str) -> DataFrame:
-    """One row of fleet figures from ``vehicle_summary``."""
+def fleet_overview(summary: DataFrame, as_of: str, car_types: Sequence[str] | None = None) -> DataFrame:
+    """One row of fleet figures from ``vehicle_summary``; a health column for each type, by default all there are."""
     moment = E.as_timestamp(as_of)
+    if car_types is None:
+        seen = summary.where(F.col("vehicle_type").isNotNull()).select("vehicle_type").distinct().collect()
+        car_types = sorted({row[0] for row in seen} | set(CAR_TYPES))
 
     def active(days: int) -> Column:
         return F.count_if(E.seconds_between("last_updated", moment) <= days * 86_400).alias(f"active_vehicles_{days}d")
@@ -156,7 +161,7 @@ def fleet_overview(summary: DataFrame, as_of: str) -> DataFrame:
         *[F.count_if(F.col("risk_level") == r).alias(f"{r}_anomalies") for r in ("critical", "high", "medium")],
         *[
             rounded(F.avg(F.when(F.col("vehicle_type") == t, F.col("composite_health_index"))), 2)
-            .alias(f"{t.lower()}_avg_health") for t in CAR_TYPES
+            .alias(f"{t.lower()}_avg_health") for t in car_types
         ],
         F.count_if(F.col("cell_balance_index") > 1.5).alias("high_imbalance_vehicles"),
         rounded(100.0 * F.count_if(online) / F.nullif(F.count("*"), F.lit(0)), 2).alias("online_5m_pct"),
@@ -307,7 +312,7 @@ def list_devices(rows: DataFrame, car_type: str | None = None) -> DataFrame:
 
 def devices_of_type(rows: DataFrame, bms: DataFrame, car_type: str) -> DataFrame:
     """Rows of the devices that have ever reported as this type."""
-    known = bms.where(F.col("car_type") == car_type).select("device_no").distinct()
+    known = settled(bms.where(F.col("car_type") == car_type).select("device_no").distinct())
     return rows.join(known, "device_no", "left_semi")
 
 
@@ -361,8 +366,11 @@ def device_history(bms: DataFrame, as_of: str, days: int = 30, device_no: str |
 def vehicle_baseline(
     bms: DataFrame, steps: DataFrame, first_days: int = 30, row_id: str = "event_id",
 ) -> DataFrame:
-    """Figures of each vehicle's first days; ``steps`` are the rows of ``driving.efficiency_steps``."""
-    begin = bms.groupBy("device_no").agg(F.min("msg_ts").alias("_first"))
+    """Figures of each vehicle's first days; ``steps`` are the rows of ``driving.efficiency_steps``.
+
+    The first days, one row a vehicle, are written first: their known size decides how they are joined.
+    """
+    begin = settled(bms.groupBy("device_no").agg(F.min("msg_ts").alias("_first")))
     early = E.seconds_between("_first", "msg_ts") < first_days * 86_400
     rows = bms.join(begin, "device_no").where(early)
     base = rows.groupBy("device_no", "car_type").agg(

@@ -161,13 +161,12 @@ def _seasonal_columns(ds: str, origin: str, span_days: float, bends: int, waves:
 
 
 def fit_soh_seasonal(daily: DataFrame, bends: int = 5, waves: int = 3, ridge: float = 1e-4) -> SeasonalModel:
-    """Additive trend and yearly season on the daily fleet mean; less than one period gets no wave."""
+    """Additive trend and yearly season on the daily fleet mean, at any length of history; the ridge keeps small
+    what the history does not show."""
     first, last, count = daily.agg(F.min("ds"), F.max("ds"), F.count("*")).first()
     if count < 2:
         raise ValueError("the seasonal model needs at least two days")
     span = float((last - first).days)
-    waves = waves if span >= YEAR_DAYS / 2 else 0
-    bends = min(bends, max(0, int(count // 10)))
     origin = first.isoformat()
     columns = _seasonal_columns("ds", origin, span, bends, waves)
     frame = daily.select("ds", F.col("y").cast("double"), *columns)

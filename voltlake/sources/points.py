@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltlake.functions.expr import as_timestamp
+from voltlake.operators.select import between_time
 
 
 def scan_points(
@@ -23,10 +23,7 @@ def scan_points(
         out = out.where(F.col("field").isin(*fields))
     if pattern is not None:
         out = out.where(F.col("field").rlike(pattern))
-    if start is not None:
-        out = out.where(F.col("time") >= as_timestamp(start))
-    if stop is not None:
-        out = out.where(F.col("time") < as_timestamp(stop))
+    out = between_time(out, "time", start, stop)
     if car_type is not None:
         out = out.where(F.col("car_type") == car_type.upper())
     if device_no is not None:
