@@ -28,11 +28,13 @@ from voltlake.llm import slices
 from voltlake.llm.token_ids import trim
 
 #: Chunks kept by a Python worker; beyond it the later half goes (common ones come early), which changes no result.
-CACHE = 600_000
+CACHE = 400_000
 #: Words in one numpy batch times their tree size.
 BATCH = 1 << 19
 #: Characters whose chunks are looked up together; longer texts are cut between chunks.
-SECTION = 1 << 22
+SECTION = 1 << 21
+#: Rows of a batch that are in Python's hands at a time.
+ROWS = 1000
 #: Words over so many bytes go through a tree of their own in plain lists, where numpy would do one word a step.
 LONG = 512
 NONE = np.int64(1) << np.int64(62)
@@ -360,7 +362,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             rows = []
             for ids, listed in own.encode_batch([t.as_py() or "" for t in batch.column(1)]):
                 decoded = own.decode(ids.astype(np.int64))

@@ -213,7 +213,7 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end: int = END,
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             rows = []
-            texts = [t.as_py() or "" for t in batch.column(1)]
+            texts = (t.as_py() or "" for t in batch.column(1))
             for doc_id, ids in zip(batch.column(0).to_pylist(), own.encode(texts)):
                 ids += last
                 for number, at in enumerate(range(0, len(ids), 4 * limit)):

@@ -189,7 +189,7 @@ def shards(docs: DataFrame, vocabulary: str, end: int = END, size: int = SHARD)
             }], schema=SCHEMA)
 
         for batch in batches:
-            for doc_id, coded in zip(batch.column(0).to_pylist(), own.encode([t.as_py() for t in batch.column(1)])):
+            for doc_id, coded in zip(batch.column(0).to_pylist(), own.encode(t.as_py() for t in batch.column(1))):
                 doc_ids.append(doc_id)
                 starts.append(done + held)
                 ids += [coded, last]

@@ -9,7 +9,7 @@ of small letters is a small one, as it is to the normalizer.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -17,9 +17,9 @@ import numpy as np
 from voltlake.llm import slices
 
 #: Pieces kept by a Python worker; beyond it the later half goes (common words come early), which changes no result.
-CACHE = 1_000_000
+CACHE = 600_000
 #: Characters whose pieces are looked up together.
-SECTION = 1 << 22
+SECTION = 1 << 21
 _MARK = np.isin(np.arange(256), list(b",.;:!?"))
 # White space of the vocabulary's pattern beyond ASCII. U+001C to U+001F are none, other than for str.split().
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -78,7 +78,7 @@ class Ids:
             ends = (np.cumsum(counts) * 4).tolist()
             yield from (flat[begin:end] for begin, end in zip([0, *ends], ends))
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text in order, as little-endian unsigned 32-bit integers."""
         group: list[bytes] = []
         held = 0
