@@ -90,8 +90,38 @@ def _ingested(s, d):
     return s.read.parquet(f"{place}/clean").withColumn("msg_ts", F.col("msg_ts").cast("timestamp_ntz"))
 
 
+def _mixed_files(s, d):
+    """Battery files below bms/ without the kind in their name, and position files below GPS/, in one folder."""
+    place = f"{shared_folder(s)}/raw/{uuid.uuid4().hex}"
+    rows = _raw(s, d).select(*_RAW_COLUMNS, F.col("car_type").alias("kind")).withColumn("car_type", F.lit(None).cast("string"))
+    rows.write.partitionBy("kind").option("header", True).csv(f"{place}/in/bms")
+    gps = X.gps(s, d).select(F.col("device_no"), F.date_format("time", "yy-MM-dd HH:mm:ss").alias("time"), "lat", "lng", F.col("car_type").alias("kind"))
+    gps.write.partitionBy("kind").option("header", True).csv(f"{place}/in/deep/GPS")
+    return place
+
+
+_GPS_COLUMNS = ["device_no", "time", "lat", "lng"]
+
+
+def _tree_bms(s, d):
+    raw = io.read_tree(s, f"{_mixed_files(s, d)}/in", "bms", _RAW_COLUMNS)
+    return raw.groupBy("car_type").agg(F.count("*").alias("rows"))
+
+
+def _tree_gps(s, d):
+    raw = io.read_tree(s, f"{_mixed_files(s, d)}/in", "gps", _GPS_COLUMNS)
+    return raw.groupBy("car_type").agg(F.count("*").alias("rows"), F.count_distinct("device_no").alias("devices"))
+
+
+def _ingested_mixed(s, d):
+    place = _mixed_files(s, d)
+    for _ in range(2):
+        io.ingest_incremental(s, f"{place}/in", f"{place}/clean", f"{place}/state", "bms", _RAW_COLUMNS)
+    return s.read.parquet(f"{place}/clean").withColumn("msg_ts", F.col("msg_ts").cast("timestamp_ntz"))
+
+
 def _tree(s, d):
-    raw = io.read_tree(s, f"{_raw_files(s, d)}/in", "", _RAW_COLUMNS)
+    raw = io.read_tree(s, f"{_mixed_files(s, d)}/in", "bms", _RAW_COLUMNS)
     return raw.groupBy(io.type_from_path("source_file").alias("path_type"), "car_type").agg(F.count("*").alias("rows"))
 
 
@@ -107,6 +137,9 @@ def _detected(s, d):
 
 CHECKS = [
     check("ingest_incremental", _ingested, with_views(_CLEANED, "bms"), "pack_current soc"),
+    check("ingest_tree_bms", _tree_bms, with_views("SELECT car_type, count(*) AS rows FROM bms GROUP BY 1", "bms")),
+    check("ingest_tree_gps", _tree_gps, with_views("SELECT car_type, count(*) AS rows, count(DISTINCT device_no) AS devices FROM gps GROUP BY 1", "gps")),
+    check("ingest_incremental_mixed", _ingested_mixed, with_views(_CLEANED, "bms"), "pack_current soc"),
     check("read_tree", _tree, with_views("SELECT car_type AS path_type, car_type, count(*) AS rows FROM bms GROUP BY 1, 2", "bms")),
     check("profile", _profile, with_views(f"SELECT * FROM ({_PROFILE})", "bms"), "null_percentage min_val max_val"),
     check("profile_rollup", _rollup,

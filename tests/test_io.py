@@ -82,3 +82,46 @@ def test_points_round_trip(make):
     nan = long.withColumn("value", F.when(F.col("field") == "soh", float("nan")).otherwise(F.col("value")))
     assert points.scan_points(nan, "bms", pattern="^so").count() == 2
     assert points.scan_points(long, stop="2024-01-02 00:00:00", device_no="1").count() == 1
+
+
+def test_kind_comes_from_the_path_and_bad_lines_go_aside(spark, tmp_path):
+    root = tmp_path / "bms_2024" / "raw"  # the folder given says nothing about its files
+    bms_file(root / "BMS" / "gv60", "one.csv", [("1", "23-08-01 00:00:00", "50", "400", "3.5", "3.6", "")])
+    bms_file(root / "gps" / "GV60", "two.csv", [("9", "23-08-01 00:00:00", "50", "400", "3.5", "3.6", "GV60")])
+    bms_file(root / "gps", "x_BMS_3.csv", [("3", "23-08-01 00:00:00", "50", "400", "3.5", "3.6", "BONGO3"), ("4", "broken", "1", "2", "3", "4", "5", "6", "7")])
+    assert {r["device_no"] for r in io.read_tree(spark, str(root), "bms", BMS).where("_corrupt_record is null").collect()} == {"1", "3"}
+    assert {r["device_no"] for r in io.read_tree(spark, str(root), "gps", BMS).collect()} == {"9"}
+    for ingest in ("batch", "incremental"):
+        target = str(tmp_path / ingest)
+        if ingest == "batch":
+            io.ingest_batch(spark, str(root), target, "bms", BMS)
+        else:
+            io.ingest_incremental(spark, str(root), target, f"{target}_state", "bms", BMS)
+        got = {(r["device_no"], r["car_type"]) for r in spark.read.parquet(target).collect()}
+        assert got == {("1", "GV60"), ("3", "BONGO3")}
+        assert [r["line"].split(",")[1] for r in spark.read.parquet(f"{target}_rejects").collect()] == ["broken"]
+
+
+def test_time_filters_open_only_their_days(spark, make, tmp_path):
+    from voltlake.operators import select
+
+    rows = [(i, "GV60", datetime(2024, 1, 1 + i % 28, 12)) for i in range(100)]
+    df = make("id int, car_type string, msg_ts timestamp_ntz", rows).withColumn("day", F.to_date("msg_ts"))
+    io.write_telemetry(df, str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for out in (
+        select.last_interval(stored, "msg_ts", "2024-01-20 08:00:00", 3), select.in_month(stored, "msg_ts", "2024-01"),
+        select.between_time(stored, "msg_ts", "2024-01-05 00:00:00", "2024-01-06 12:00:00"),
+    ):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(day" in plan and "PushedFilters: [IsNotNull(msg_ts)" in plan
+    assert select.in_month(stored, "msg_ts", "2023-12").count() == 0 and select.in_month(stored, "msg_ts", "2024-01").count() == 100
+
+
+def test_small_join_sides_do_not_move_the_rows(spark, make, tmp_path):
+    from voltlake.operators import align
+
+    make("g string, v int", [(str(i % 3), i) for i in range(50)]).write.parquet(str(tmp_path / "t"))
+    out = align.with_group_max(spark.read.parquet(str(tmp_path / "t")), "g", "v", "m")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

@@ -37,17 +37,37 @@ def read_gps_csv(spark: SparkSession, path: str, columns: Iterable[str] | None =
 
 
 def type_from_path(path: Column | str = "_metadata.file_path") -> Column:
-    """Vehicle type named anywhere in the file path."""
+    """Vehicle type named anywhere in the file path, in any case."""
     source = F.col(path) if isinstance(path, str) else path
-    found = F.regexp_extract(source, f"({'|'.join(S.CAR_TYPES)})", 1)
+    found = F.regexp_extract(F.upper(source), f"({'|'.join(S.CAR_TYPES)})", 1)
     return F.when(found != "", found).otherwise("UNKNOWN")
 
 
+def kind_from_path(path: Column | str, root: str) -> Column:
+    """Kind of data that the file name or else the nearest folder below ``root`` names, in any case; NULL if none."""
+    source = F.col(path) if isinstance(path, str) else path
+    below = F.lower(F.substring_index(source, root.rstrip("/").rsplit("/", 1)[-1] + "/", -1))
+    name = F.regexp_extract(below, "(bms|gps)[^/]*$", 1)
+    folder = F.regexp_extract(below, "^(?:.*/)?(bms|gps)/", 1)
+    return F.when(name != "", name).when(folder != "", folder)
+
+
+def _with_origin(raw: DataFrame, root: str, kind: str, unnamed: bool) -> DataFrame:
+    """Rows of the files of one kind, with the source file and the vehicle type where the row has none.
+
+    Files whose path names the other kind are left out; those that name none are taken if ``unnamed``.
+    """
+    found = kind_from_path("_metadata.file_path", root)
+    raw = raw.where((found == kind) | (found.isNull() if unnamed else F.lit(False)))
+    raw = raw.select("*", F.col("_metadata.file_path").alias("source_file"))
+    own = F.nullif(F.trim("car_type"), F.lit("")) if "car_type" in raw.columns else F.lit(None).cast("string")
+    return raw.withColumn("car_type", F.coalesce(own, type_from_path("source_file")))
+
+
 def read_tree(spark: SparkSession, root: str, kind: str, columns: Iterable[str] | None = None) -> DataFrame:
     """All files of one kind below a folder, with the source file and the vehicle type of its path."""
-    reader = _reader(spark.read, kind, columns).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{kind}*.csv")
-    raw = reader.csv(root).select("*", F.col("_metadata.file_path").alias("source_file"))
-    return raw.withColumn("car_type", F.coalesce("car_type", type_from_path("source_file")) if "car_type" in raw.columns else type_from_path("source_file"))
+    raw = _reader(spark.read, kind, columns).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[cC][sS][vV]").csv(root)
+    return _with_origin(raw, root, kind, unnamed=False)
 
 
 def bms_all(*tables: DataFrame) -> DataFrame:
@@ -73,22 +93,51 @@ def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
     write_table(df, path, "parquet", mode, ("car_type", "day"))
 
 
-def ingest_batch(spark: SparkSession, source: str, target: str, kind: str, columns: Iterable[str] | None = None) -> None:
-    """Read, clean and append one set of files; Spark splits large files itself."""
-    raw = _reader(spark.read, kind, columns).csv(source).drop("_corrupt_record")
-    write_telemetry(CLEAN[kind](raw), target)
+def _cleaned(raw: DataFrame, kind: str) -> DataFrame:
+    return CLEAN[kind](raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "source_file"))
+
+
+def _rejected(raw: DataFrame) -> DataFrame:
+    """Spark reads the corrupt record only beside a column of the file."""
+    first = F.col(raw.columns[0]).alias("first_value")
+    return raw.where(F.col("_corrupt_record").isNotNull()).select("source_file", first, F.col("_corrupt_record").alias("line"))
+
+
+def _whole_lines(reader, kind: str, columns: Iterable[str] | None):
+    """All files below a folder; a pruned line is not checked for its number of values."""
+    return _reader(reader, kind, columns).option("recursiveFileLookup", True).option("columnPruning", False)
+
+
+def ingest_batch(
+    spark: SparkSession, source: str, target: str, kind: str, columns: Iterable[str] | None = None,
+    rejects: str | None = None,
+) -> None:
+    """Read, clean and append the files of one kind; Spark splits large files itself.
+
+    Lines that do not fit the layout are appended to ``rejects`` (by default beside the target) with their
+    file and first value, and are not in the table.
+    """
+    raw = _with_origin(_whole_lines(spark.read, kind, columns).csv(source), source, kind, unnamed=True)
+    write_telemetry(_cleaned(raw, kind), target)
+    _rejected(raw).write.mode("append").parquet(rejects or f"{target.rstrip('/')}_rejects")
 
 
 def ingest_incremental(
     spark: SparkSession, source: str, target: str, checkpoint: str, kind: str, columns: Iterable[str] | None = None,
+    rejects: str | None = None,
 ) -> None:
-    """Clean and append the files not seen yet; the checkpoint is the progress record."""
-    raw = _reader(spark.readStream, kind, columns).option("recursiveFileLookup", True).csv(source).drop("_corrupt_record")
-    query = (
-        CLEAN[kind](raw).writeStream.format("parquet").partitionBy("car_type", "day")
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(target)
+    """``ingest_batch`` for the files not seen yet; the checkpoints are the progress record."""
+    def stream() -> DataFrame:
+        raw = _whole_lines(spark.readStream, kind, columns).csv(source)
+        return _with_origin(raw, source, kind, unnamed=True)
+
+    sinks = (
+        (_cleaned(stream(), kind), target, checkpoint, ("car_type", "day")),
+        (_rejected(stream()), rejects or f"{target.rstrip('/')}_rejects", f"{checkpoint.rstrip('/')}_rejects", ()),
     )
-    query.awaitTermination()
+    for rows, path, state, parts in sinks:
+        writer = rows.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True)
+        (writer.partitionBy(*parts) if parts else writer).start(path).awaitTermination()
 
 
 def write_profile(profile_rows: DataFrame, path: str) -> None:
@@ -111,7 +160,8 @@ def materialize(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> D
 
 
 def drop_materialized(spark: SparkSession, name: str) -> None:
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    quoted = ".".join(f"`{part.replace('`', '``')}`" for part in name.split("."))
+    spark.sql(f"DROP TABLE IF EXISTS {quoted}")
 
 
 def list_tables(spark: SparkSession, pattern: str = "*") -> DataFrame:
