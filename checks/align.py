@@ -120,7 +120,7 @@ CHECKS = [
   pack_volt * pack_current / 1000 AS power_kw, (max_cell_volt - min_cell_volt) / pack_volt * 100 AS idx,
   CASE WHEN mod_avg_temp > 80 THEN 'highway' WHEN mod_avg_temp > 40 THEN 'urban_highway' WHEN mod_avg_temp > 20 THEN 'urban' WHEN mod_avg_temp > 5 THEN 'slow_urban' ELSE 'stationary' END AS band,
   CASE WHEN soh > 0 THEN (soc - soh) / soh * 100 ELSE 0 END AS change, CAST(CASE car_type WHEN 'BONGO3' THEN 0 WHEN 'GV60' THEN 1 ELSE 2 END AS INT) AS type_code,
-  CASE WHEN soh >= 95 THEN 'A' WHEN soh >= 85 THEN 'B' WHEN soh >= 70 THEN 'C' ELSE 'D' END AS grade,
+  CASE WHEN soh IS NULL THEN NULL WHEN soh >= 95 THEN 'A' WHEN soh >= 85 THEN 'B' WHEN soh >= 70 THEN 'C' ELSE 'D' END AS grade,
   CAST(hour(msg_ts) AS INT) AS cal_hour, CAST(isodow(msg_ts) - 1 AS INT) AS cal_dow, CAST(month(msg_ts) AS INT) AS cal_month, CAST(0 AS INT) AS cal_season FROM bms""", "bms"),
           "power_kw idx change"),
     check("exact_total", lambda s, d: fleet.fleet_dashboard(X.bms(s, d), X.gps(s, d), exact_total=True).select("car_type", "total_vehicles", "avg_soc"),

@@ -82,12 +82,11 @@ def format_duration(seconds: Name) -> Column:
 
 
 def grade(value: Name, cuts: Sequence[float], labels: Sequence[str], below: bool = False) -> Column:
-    """First label whose cut the value reaches (``>=``, or ``<=`` with below=True), else the last."""
+    """First label whose cut the value reaches (``>=``, or ``<=`` with below=True), else the last; NULL stays NULL."""
     value = c(value)
-    chain = None
+    chain = F.when(value.isNull(), F.lit(None).cast("string"))
     for cut, label in zip(cuts, labels):
-        test = value <= cut if below else value >= cut
-        chain = F.when(test, label) if chain is None else chain.when(test, label)
+        chain = chain.when(value <= cut if below else value >= cut, label)
     return chain.otherwise(labels[len(cuts)])
 
 

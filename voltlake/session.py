@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", name: str = "voltlake", **conf: str) -
         "spark.sql.shuffle.partitions": "8",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         # Checkpoint files go when nothing refers to them any more.
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Python call sites on every column cost more than planning does.

@@ -58,9 +58,9 @@ def align_streams(
 def charging_by_gap(bms: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Charging sessions as runs of charging rows without a pause longer than the gap.
 
-    Rows are merged into sessions inside each input task first, so a busy device sends few sessions.
+    With spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition set in the session, rows are
+    merged into sessions inside each input task first, so a busy device sends few sessions.
     """
-    bms.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     rows = timed(bms.where(F.col("pack_current") > 0), "msg_ts").withWatermark("msg_ts", late)
     return rows.groupBy("device_no", F.session_window("msg_ts", gap)).agg(
         F.count("*").alias("charging_rows"), F.avg("pack_current").alias("avg_current"),
