@@ -150,3 +150,12 @@ def test_runs_depend_on_their_bytes_alone():
 
 def test_shared_folder_is_read_from_the_session(spark):
     assert shared_dir(spark) != shared_dir(spark)
+
+
+def test_registered_sql_agrees(spark):
+    from compare import connect, differences
+    from voltlake.llm import checks
+
+    sf = "/root/testdata/sf0.001"
+    for name, sql in checks.ORACLE_SQL.items():
+        assert differences(checks.QUERIES[name](spark, sf), connect(sf), sql) == []
