@@ -31,7 +31,7 @@ SHARD = 1 << 16
 #: Pairs that occur less often are not replaced.
 LEAST = 8
 #: The least count that is replaced falls by this factor from round to round, down to LEAST.
-RATIO = 10
+RATIO = 30
 #: Replacement ends with a round at LEAST that shortens the sequence by a smaller share.
 GAIN = 0.05
 SCHEMA = pa.schema([
