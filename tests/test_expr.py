@@ -26,7 +26,7 @@ def test_number_keeps_only_finite(make):
 
 def test_grade_edges(make):
     df = make("soh double", [(90.0,), (89.99,), (80.0,), (70.0,), (69.9,), (None,)])
-    assert one(df, E.soh_grade("soh")) == ["우수", "양호", "양호", "보통", "불량", "불량"]
+    assert one(df, E.soh_grade("soh")) == ["우수", "양호", "양호", "보통", "불량", None]
 
 
 def test_temperature_bands(make):
