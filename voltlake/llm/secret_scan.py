@@ -20,16 +20,17 @@ from pyspark.sql import functions as F
 
 from voltlake.llm.common import text_or_empty, unused
 
-# The patterns of the three base kinds, in order of their rank, and their least lengths.
-ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+# The patterns of the three base kinds, in order of their rank, and their least lengths. The last
+# two match whole runs of their letters, where a run that is too short hides no other match, so they ask for the
+# length themselves; too short an assignment takes its place and fails.
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 8, 16, 32
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = "AKIA[A-Z0-9]{%d,}" % (LEAST_ACCESS - 4)
+HEX = "[0-9a-f]{%d,}" % LEAST_HEX
 KINDS = ("assign", "access", "hex", "entropy")
 
 # Cheap tests that hold for every document with a match.
 ASSIGN_WORD = r"(?i:password|passwd|secret|token|api_?key)"
-HEX_RUN = "[0-9a-f]{%d}" % LEAST_HEX
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = 20
@@ -144,7 +145,7 @@ def with_spans(docs: DataFrame, base: str = "_base", every: str = "_all") -> Dat
     text = text_or_empty()
     assign = _spans(text, ASSIGN, text.rlike(ASSIGN_WORD), 0, 2, LEAST_ASSIGN)
     access = _spans(text, ACCESS, text.contains("AKIA"), 1, 0, LEAST_ACCESS)
-    hexed = _spans(text, HEX, text.rlike(HEX_RUN), 2, 0, LEAST_HEX)
+    hexed = _spans(text, HEX, text.rlike(HEX), 2, 0, LEAST_HEX)
     return docs.withColumn(base, F.array_sort(F.concat(assign, access, hexed))).withColumn(
         every, F.array_sort(F.concat(base, _entropy_spans(text))))
 
