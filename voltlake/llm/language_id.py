@@ -26,7 +26,7 @@ BUCKETS = 1 << 15
 SMOOTHING = 0.5
 UNKNOWN = "und"
 #: Texts are scored in pieces of so many code points, so that a long one needs no more memory than a short one.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
