@@ -34,7 +34,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document: its ids and its place in a sequence of at most 2048 tokens."""
-    return pattern_packing.packed(docs, checks.vocabulary("word_bpe_49k.json"), with_ids=True)
+    return pattern_packing.packed(docs, checks.vocabulary("word_bpe_49k.json"), with_ids=True, cache=300_000)
 
 
 STAGES = [

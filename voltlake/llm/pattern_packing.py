@@ -202,13 +202,16 @@ def planned(counts: np.ndarray, limit: int) -> Plan:
     return Plan(sequences, runs)
 
 
-def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, vocabulary: str, limit: int = LIMIT, end: int = END, with_ids: bool = False,
+    cache: int | None = None,
+) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32 (and ids), with its task and number among the
     task's pieces of that length. Null text counts as empty, whose only token is `end`."""
     layout = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long" + ", ids binary" * with_ids
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, task = token_ids.encoder(vocabulary), TaskContext.get().partitionId()
+        own, task = token_ids.encoder(vocabulary, cache), TaskContext.get().partitionId()
         seen = np.zeros(limit + 1, dtype=np.int64)
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
@@ -230,13 +233,17 @@ def pieces(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end: int = END,
     return docs.select("doc_id", "text").mapInArrow(work, layout)
 
 
-def packed(docs: DataFrame, vocabulary: str, limit: int = LIMIT, end: int = END, with_ids: bool = False) -> DataFrame:
+def packed(
+    docs: DataFrame, vocabulary: str, limit: int = LIMIT, end: int = END, with_ids: bool = False,
+    cache: int | None = None,
+) -> DataFrame:
     """One row per piece of `docs`: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     Every document is its token ids and `end`; only one longer than `limit` is cut. Repeated rows are packed
-    as often as they come, other columns are ignored, an empty table gives no rows.
+    as often as they come, other columns are ignored, an empty table gives no rows. `cache` bounds the pieces of
+    text whose ids a Python worker keeps.
     """
-    found = saved(pieces(docs, vocabulary, limit, end, with_ids))
+    found = saved(pieces(docs, vocabulary, limit, end, with_ids, cache))
     by_task = found.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = np.zeros(limit + 1, dtype=np.int64)
     for row in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect():  # `limit` rows at most
