@@ -3,7 +3,7 @@
 import hashlib
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -112,6 +112,26 @@ def test_repetition_is_compressed():
     assert (repair_shards.from_planes(repair_shards.planes(grammar.sequence)) == grammar.sequence).all()
 
 
+def most_places(grammar):
+    return max(Counter(zip(grammar.sequence.tolist(), grammar.sequence[1:].tolist())).values(), default=0)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_rounds_go_on_until_no_pair_is_frequent(seed):
+    # Frequent words among rare ones: late rounds shorten the sequence by little. Runs of one id overlap themselves.
+    rng = np.random.default_rng(seed)
+    ids = np.minimum(rng.zipf(1.2, 60_000), 40_000)
+    ids[rng.random(len(ids)) < 0.1 * seed] = 3
+    grammar = repair_shards.compress(ids, 40_001)
+    assert most_places(grammar) < repair_shards.LEAST
+    assert (grammar.expand(grammar.sequence) == ids).all()
+
+
+def test_pairs_that_share_a_hash_or_overlap_are_replaced():
+    for ids in ([1, 2, 3] * 8, [1] * 9, [0, 1] * 8, [1, 1, 2, 2] * 8, [*range(400)] + [7, 8, 9, 7] * 9):
+        assert most_places(repair_shards.compress(np.array(ids), 400)) < repair_shards.LEAST
+
+
 def test_shards(spark, edge, texts, empty, monkeypatch):
     monkeypatch.setattr(repair_shards, "SHARD", 40)
     path = repair_shards.shared_dir(spark)

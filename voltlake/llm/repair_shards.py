@@ -25,15 +25,12 @@ from voltlake.llm import token_ids
 from voltlake.llm.common import shared_dir, tasks, text_or_empty
 
 END = 2
-#: A shard is closed when it has so many tokens; a longer document fills one alone. Its arrays stay in the
-#: processor's cache, where a round costs a third of what it costs with four times as many.
-SHARD = 1 << 16
-#: Pairs that occur less often are not replaced.
+#: A shard is closed when it has so many tokens; a longer document fills one alone.
+SHARD = 1 << 18
+#: Replacement ends when no pair occurs so often.
 LEAST = 8
 #: The least count that is replaced falls by this factor from round to round, down to LEAST.
-RATIO = 30
-#: Replacement ends with a round at LEAST that shortens the sequence by a smaller share.
-GAIN = 0.05
+RATIO = 6
 SCHEMA = pa.schema([
     ("part", pa.int32()), ("shard", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()),
     ("base", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_starts", pa.list_(pa.int64())),
@@ -111,12 +108,29 @@ def _every_other(at: np.ndarray) -> np.ndarray:
     return (number - np.maximum.accumulate(np.where(starts, number, 0))) % 2 == 0
 
 
+def _most_frequent(sequence: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places, apart from one another, of the most frequent pair at `at` that occurs `least` times; none if none
+    does. All places of a pair are among `at` or none. The second array numbers the pair, 0."""
+    pairs, own, times = np.unique(
+        sequence.take(at).astype(np.uint64) << np.uint64(32) | sequence.take(at + 1), return_inverse=True, return_counts=True)
+    for pair in np.argsort(-times, kind="stable"):
+        if times[pair] < least:
+            break
+        found = at[own == pair]
+        found = found[_every_other(found)]
+        if len(found) >= max(2, least // 2):  # of a symbol's own repeats every other place is free
+            return found, np.zeros(len(found), dtype=np.intp)
+    return at[:0], own[:0]
+
+
 def compress(ids: np.ndarray, base: int, least: int = LEAST) -> Grammar:
     """Re-Pair of one shard, without sorting.
 
     A round counts the hashes of all neighbouring pairs, which finds every pair that may occur often enough.
     One pair a hash is then counted exactly; one that collides with it has its turn in a later round, whose
-    hash differs. Pairs of at least an eighth of the round's highest count are replaced together.
+    hash differs. Pairs of at least 1 / RATIO of the round's highest count are replaced together. A round at
+    `least` that replaces nothing (hashes or overlaps hid every pair) counts the pairs left exactly and replaces
+    the most frequent one, so the loop ends only when no pair occurs `least` times.
     """
     sequence = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
@@ -137,7 +151,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> Grammar:
         if top < least:
             break
         floor = bar = max(least, min(bar, top) // RATIO)
-        at = np.flatnonzero((hashed >= floor).take(slots))
+        heavy = at = np.flatnonzero((hashed >= floor).take(slots))
         own, left, right = slots.take(at), sequence.take(at), sequence.take(at + 1)
         first[own] = np.arange(len(at), dtype=np.int32)
         head = first.take(own)
@@ -158,10 +172,13 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> Grammar:
         worth = uses >= max(2, least // 2)  # overlaps may leave a pair with fewer uses than it has places
         taken = worth.take(own)
         at, own = at[taken], own[taken]
-        if floor == least and len(at) < GAIN * len(sequence):
-            break
         if not len(at):
-            continue
+            if floor > least:
+                continue
+            at, own = _most_frequent(sequence, heavy, least)
+            if not len(at):
+                break
+            worth = np.ones(1, dtype=bool)
         number = np.cumsum(worth) - 1
         new = number.take(own)
         pair = np.empty((int(number[-1]) + 1, 2), dtype=np.int64)
