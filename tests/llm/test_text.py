@@ -197,6 +197,21 @@ def test_secret_spans(make, edge, texts, empty):
     assert secret_scan.scanned(empty).count() == 0
 
 
+def entropy_spans(make, rows):
+    out = {r["doc_id"]: r["spans"] for r in secret_scan.scanned(make("doc_id long, text string", list(enumerate(rows)))).collect()}
+    return [[tuple(map(int, s.split(":")[1:])) for s in out[i].split(",") if s.startswith("entropy:")] for i in range(len(rows))]
+
+
+def test_hex_windows_are_found_in_any_case_and_behind_names(make):
+    key = "b77e90d3593ad699fc1f7cd5bb2e35cb"
+    rows = ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B", f"a {key.upper()} b", f"id={key[:24]}", f"é /x_{key}/", f"name-{key.upper()}", f"{key}-{key.upper()}"]
+    keys = [(0, 40), (2, 34), (3, 27), (5, 37), (5, 37), (0, 32), (33, 65)]
+    spans = entropy_spans(make, [*rows, "order_12345678901234567890", "id=" + "ab" * 20, f"id={key[:19]}"])
+    for found, (begin, end) in zip([*spans[:6], spans[5]], keys):
+        assert any(a <= begin and end <= b for a, b in found)
+    assert spans[6:] == [[], [], []]
+
+
 def test_redaction(edge, make):
     out = secret_scan.redacted(edge)
     assert out.columns == edge.columns and out.count() == edge.count()

@@ -5,9 +5,11 @@ matches gives their lengths, and a running sum of both places every match in cod
 document, so nothing is shuffled; documents without any candidate skip the positional work.
 
 Entropy: a candidate is a run of token characters of CANDIDATE length or more that mixes letters and digits.
-It belongs to the class `hex` or `base64`; in each class a window of fixed length slides over it, its
-character counts change by one in and one out, and the sum of c * log2(c) follows the two changed counts:
-entropy = log2(w) - sum / w. Windows at or over the class's threshold merge into spans of kind `entropy`.
+A window of fixed length slides over it, its character counts change by one in and one out, and the sum of
+c * log2(c) follows the two changed counts: entropy = log2(w) - sum / w. Windows of the whole run are judged by
+the class `base64`, those inside a stretch of hex digits in either case by the class `hex`, wherever in the run
+the stretch lies; a stretch of decimal digits alone is a number. Windows at or over their class's threshold
+merge into spans of kind `entropy`.
 Candidates that match the allow list (identifiers, dates, paths, sample values) are suppressed.
 """
 
@@ -37,6 +39,8 @@ CANDIDATE = 20
 RUN = "[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE
 #: Window length and least entropy in bits a character, by class.
 CLASSES = {"hex": (20, 3.0), "base64": (20, 3.8)}
+#: A whole stretch of hex digits that holds a window and is no number.
+STRETCH = "(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{%d,}" % CLASSES["hex"][0]
 #: Candidates that look random but are no secrets.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
@@ -116,6 +120,31 @@ def hot_windows(run: Column, width: int, least: float) -> Column:
     return F.aggregate(moves, start, step, lambda state: state["found"])
 
 
+def _merged(ranges: Column) -> Column:
+    """(start, end) ranges in order, those that touch or overlap as one."""
+    def step(found: Column, here: Column) -> Column:
+        last = F.try_element_at(found, F.lit(-1))
+        grown = F.concat(F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), F.array(
+            F.struct(last["start"].alias("start"), F.greatest(last["end"], here["end"]).alias("end"))))
+        return F.when(F.coalesce(last["end"], F.lit(-1)) >= here["start"], grown).otherwise(F.array_append(found, here))
+
+    return F.aggregate(F.array_sort(ranges), _none("array<struct<start:bigint,end:bigint>>"), step)
+
+
+def _moved(ranges: Column, by: Column) -> Column:
+    return F.transform(ranges, lambda w: F.struct((by + w["start"]).alias("start"), (by + w["end"]).alias("end")))
+
+
+def _hot(run: Column) -> Column:
+    """Merged (start, end) ranges of the hot windows of `run`, each judged by the class of its own characters."""
+    nothing = _none("array<struct<start:bigint,end:bigint>>")
+    # Of hex digits alone no window is hot in the class `base64` only.
+    whole = F.when(run.rlike("^[0-9A-Fa-f]*$"), nothing).otherwise(hot_windows(run, *CLASSES["base64"]))
+    stretches = _places(F.split(run, STRETCH, -1), F.regexp_extract_all(run, F.lit(f"({STRETCH})"), F.lit(0)))
+    hexed = F.flatten(F.transform(stretches, lambda s: _moved(hot_windows(s["hit"], *CLASSES["hex"]), s["start"])))
+    return F.when(run.rlike(STRETCH), _merged(F.concat(whole, hexed))).otherwise(whole)
+
+
 def _suspicious(run: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOW:
@@ -127,9 +156,7 @@ def _entropy_spans(text: Column) -> Column:
     placed = _places(F.split(text, RUN, -1), F.regexp_extract_all(text, F.lit(f"({RUN})"), F.lit(0)))
 
     def windows(run: Column) -> Column:
-        hot = F.when(run["hit"].rlike("^[0-9a-f]*$"), hot_windows(run["hit"], *CLASSES["hex"])).otherwise(
-            hot_windows(run["hit"], *CLASSES["base64"]))
-        return F.transform(hot, lambda w: F.struct(
+        return F.transform(_hot(run["hit"]), lambda w: F.struct(
             (run["start"] + w["start"]).alias("start"), F.lit(3).alias("rank"), (run["start"] + w["end"]).alias("end")))
 
     found = F.flatten(F.transform(F.filter(placed, lambda run: _suspicious(run["hit"])), windows))
