@@ -119,6 +119,21 @@ def test_repeated_strings(edge, texts, empty, split):
     assert radix_repeats.deduplicated(empty, split=split).count() == 0
 
 
+def test_runs_of_a_frequent_digit_spread(spark):
+    # Digit 7 has 3,000 runs, every tenth of them twice; the other digits have one or two each.
+    runs = spark.range(3300).selectExpr(
+        "7L as digit", "(id % 3000) * 7919 as whole", "id as doc_id", "id as th", "256 as at", "0 as flag").unionByName(
+        spark.range(900).selectExpr("id % 600 + 10 as digit", "id as whole", "id as doc_id", "id as th", "256 as at", "0 as flag"))
+    runs = runs.selectExpr("digit", "whole", "doc_id", "th", "cast(at as bigint) at", "flag")
+    together = Counter(map(tuple, radix_repeats._settled(runs).collect()))
+    spread = radix_repeats._settled(runs, split=100)
+    where = Counter(r["p"] for r in spread.withColumn("p", F.spark_partition_id()).where("digit = 7").collect())
+    assert len(where) >= 3 and max(where.values()) < 1500
+    counts = lambda rows: Counter((d, k) for _, _, _, d, k in rows.elements())
+    assert counts(Counter(map(tuple, spread.collect()))) == counts(together)
+    assert counts(together)[7, radix_repeats.WITNESS] == 300 and counts(together)[7, radix_repeats.OPEN] == 2700
+
+
 def test_periodic_texts_and_section_ends(make, monkeypatch):
     base = "ab" * 300 + "".join(chr(97 + (i * i) % 26) for i in range(900)) + "q" * 500
     rows = [(i, base[i * 37:] + str(i)) for i in range(12)] + [(90, base), (91, base)]

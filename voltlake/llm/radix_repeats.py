@@ -12,7 +12,8 @@ Two suffixes belong together if their first DEPTH bytes agree; nothing beyond is
    exactly the repeated strings.
 
 Tasks combine equal runs before they deal them, so a passage that fills a third of the corpus travels once a
-task. A digit with more than SPLIT different runs is grouped by 128-bit hashes of its single strings instead.
+task. Runs of a digit that more than SPLIT rows have are dealt by their whole bytes too, so that they spread; a
+digit with more than SPLIT different runs is grouped by 128-bit hashes of its single strings instead.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ GRAM = 48
 #: Bytes of a document looked at together, and of all documents whose equal runs a task combines.
 SECTION = 1 << 22
 COMBINE = 1 << 25
-#: Different runs of one digit that one task compares (some 300 bytes each).
+#: Runs of one digit that one task holds, and different ones that it compares (some 300 bytes each).
 SPLIT = 50_000
+#: Digits are counted by their last bits first; only those of a crowded bucket are counted one by one.
+BUCKETS = 1 << 18
 #: Suffixes sorted together.
 SORTED = 1 << 20
 PASS, FRESH, SEEN = 2, 0, 1
@@ -101,9 +104,9 @@ def _runs_of(docs: DataFrame, depth: int) -> DataFrame:
             heads = order[start]
             yield _table(digit[heads], whole[heads], doc.take(pa.array(heads)), th[heads], at[heads], flag[start])
             rest = order[many & ~start]
-            # Places need only reach their document; dealt by document they don't follow a frequent digit.
-            spread = th[rest] ^ (at[rest] * np.int64(0x9E3779B97F4A7C1))
-            yield _table(spread, spread, doc.take(pa.array(rest)), th[rest], at[rest], np.full(len(rest), PASS, dtype=np.int32))
+            # Places need only reach their document.
+            none = np.zeros(len(rest), dtype=np.int64)
+            yield _table(none, none, doc.take(pa.array(rest)), th[rest], at[rest], np.full(len(rest), PASS, dtype=np.int32))
 
         for batch in batches:
             for doc_id, th, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -153,43 +156,55 @@ def _by_group(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(kept)
 
 
-def _settled(all_runs: DataFrame) -> DataFrame:
-    """(doc_id, th, at, digit, kind): runs that repeat as a whole, and those whose digit has other runs."""
-    n = tasks(all_runs.sparkSession)
+def _crowded(rows: DataFrame, split: int) -> DataFrame:
+    """The digits that more than `split` rows have."""
+    bucketed = rows.select("digit", F.col("digit").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket"))
 
-    def of_digits(table: pa.Table) -> pa.RecordBatch:
-        table = table.sort_by([("digit", "ascending"), ("whole", "ascending")])
-        digit, whole = table["digit"].to_numpy(), table["whole"].to_numpy()
-        new_digit = np.ones(len(digit), dtype=bool)
-        new_digit[1:] = digit[1:] != digit[:-1]
-        new_run = new_digit.copy()
-        new_run[1:] |= whole[1:] != whole[:-1]
-        by_digit, by_run = np.cumsum(new_digit) - 1, np.cumsum(new_run) - 1
-        several = (np.bincount(by_digit[new_run]) >= 2)[by_digit]
-        repeated = (np.bincount(by_run, weights=1 + table["flag"].to_numpy()) >= 2)[by_run]
-        whole_rows, first_rows = np.flatnonzero(repeated), np.flatnonzero(several & new_run)
-        kind = np.concatenate([np.full(len(whole_rows), SETTLED), np.where(repeated[first_rows], WITNESS, OPEN)])
-        taken = table.take(pa.array(np.concatenate([whole_rows, first_rows])))
-        return _kinds(taken, np.where(kind == SETTLED, 0, taken["digit"].to_numpy()), kind)
+    def above(frame: DataFrame, column: str) -> DataFrame:
+        return saved(frame.groupBy(column).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > split).select(column))
+
+    return above(bucketed.join(above(bucketed, "bucket"), "bucket", "left_semi"), "digit")
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def dealt() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                passed = batch.column(5).to_numpy() == PASS
-                ready.append(batch.filter(pa.array(passed)))
-                yield batch.filter(pa.array(~passed))
 
-        ready: list[pa.RecordBatch] = []
-        for table in _by_group(dealt(), 0):
-            yield of_digits(table)
-            for batch in ready:
-                yield _kinds(batch, np.zeros(batch.num_rows, dtype=np.int64), np.full(batch.num_rows, SETTLED))
-            ready.clear()
-        for batch in ready:
-            yield _kinds(batch, np.zeros(batch.num_rows, dtype=np.int64), np.full(batch.num_rows, SETTLED))
+def _settled(all_runs: DataFrame, split: int = SPLIT) -> DataFrame:
+    """(doc_id, th, at, digit, kind): runs that repeat as a whole, and those whose digit has other runs.
+
+    Runs of a digit meet in one task if at most `split` rows have it, else those of equal bytes do. A digit with
+    more has several runs, or one that repeats, whose witness then finds nothing.
+    """
+    n = tasks(all_runs.sparkSession)
 
-    return all_runs.repartition(n, "digit").sortWithinPartitions("digit").mapInArrow(
-        work, "doc_id long, th long, at long, digit long, kind int")
+    def settle(rows: DataFrame, keys: list[str], column: int) -> DataFrame:
+        whole_digits = keys == ["digit"]
+
+        def of_groups(table: pa.Table) -> pa.RecordBatch:
+            table = table.sort_by([("digit", "ascending"), ("whole", "ascending")])
+            digit, whole = table["digit"].to_numpy(), table["whole"].to_numpy()
+            new_digit = np.ones(len(digit), dtype=bool)
+            new_digit[1:] = digit[1:] != digit[:-1]
+            new_run = new_digit.copy()
+            new_run[1:] |= whole[1:] != whole[:-1]
+            by_digit, by_run = np.cumsum(new_digit) - 1, np.cumsum(new_run) - 1
+            several = (np.bincount(by_digit[new_run]) >= 2)[by_digit] if whole_digits else np.ones(len(digit), dtype=bool)
+            repeated = (np.bincount(by_run, weights=1 + table["flag"].to_numpy()) >= 2)[by_run]
+            whole_rows, first_rows = np.flatnonzero(repeated), np.flatnonzero(several & new_run)
+            kind = np.concatenate([np.full(len(whole_rows), SETTLED), np.where(repeated[first_rows], WITNESS, OPEN)])
+            taken = table.take(pa.array(np.concatenate([whole_rows, first_rows])))
+            return _kinds(taken, np.where(kind == SETTLED, 0, taken["digit"].to_numpy()), kind)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for table in _by_group(batches, column):
+                yield of_groups(table)
+
+        return rows.repartition(n, *keys).sortWithinPartitions(*reversed(keys)).mapInArrow(
+            work, "doc_id long, th long, at long, digit long, kind int")
+
+    rows = all_runs.where(F.col("flag") != PASS)
+    crowded = _crowded(rows, split)
+    passed = all_runs.where(F.col("flag") == PASS).select(
+        "doc_id", "th", "at", F.lit(0).cast("long").alias("digit"), F.lit(SETTLED).alias("kind"))
+    return settle(rows.join(crowded, "digit", "left_anti").select(all_runs.columns), ["digit"], 0).unionByName(
+        settle(rows.join(crowded, "digit", "left_semi").select(all_runs.columns), ["digit", "whole"], 1)).unionByName(passed)
 
 
 def _kinds(rows, digit: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
@@ -345,7 +360,7 @@ def deduplicated(docs: DataFrame, depth: int = DEPTH, split: int = SPLIT) -> Dat
     ignored; an empty table gives no rows.
     """
     base = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("th"), text_or_empty().alias("text"))
-    marked = saved(_settled(_runs_of(base, depth)))
+    marked = saved(_settled(saved(_runs_of(base, depth)), split))
     lists = marked.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(
         F.collect_list(F.struct("kind", "at", "digit")).alias("runs"))
     layout = [*TOLD, ("th", "long"), ("kind", "int"), ("pending", "binary"), ("settled", "array<bigint>"),
