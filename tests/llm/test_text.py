@@ -212,6 +212,16 @@ def test_hex_windows_are_found_in_any_case_and_behind_names(make):
     assert spans[6:] == [[], [], []]
 
 
+def test_stand_ins_hide_their_own_piece_alone(make):
+    key = "Zq7Lw9Xb2Kd5Rt8Ny1Gc4Hv6Jm3"
+    spans = entropy_spans(make, [
+        f"/examples/{key}", f"sample_id={key}", f"{key}=Placeholder", f"é {key}/example/{key}", f"{key}sample{key}", f"a/{key[:12]}EXAMPLE{key[:9]}/b", f"example-{key[:15]}"])
+    for found, begin in zip(spans, (10, 10, 0, 2)):
+        assert any(a <= begin and begin + len(key) <= b for a, b in found)
+    assert any(a <= 38 and b == 65 for a, b in spans[3])
+    assert spans[4:] == [[], [], []]
+
+
 def test_redaction(edge, make):
     out = secret_scan.redacted(edge)
     assert out.columns == edge.columns and out.count() == edge.count()

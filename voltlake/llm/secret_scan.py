@@ -10,7 +10,8 @@ c * log2(c) follows the two changed counts: entropy = log2(w) - sum / w. Windows
 the class `base64`, those inside a stretch of hex digits in either case by the class `hex`, wherever in the run
 the stretch lies; a stretch of decimal digits alone is a number. Windows at or over their class's threshold
 merge into spans of kind `entropy`.
-Candidates that match the allow list (identifiers, dates, paths, sample values) are suppressed.
+Candidates that match the allow list (identifiers, dates, paths) are suppressed. A piece between separators that
+holds a stand-in word hides the windows that touch it and no others: what is left of its candidate is judged.
 """
 
 from __future__ import annotations
@@ -40,15 +41,16 @@ RUN = "[A-Za-z0-9+/_=-]{%d,}" % CANDIDATE
 #: Window length and least entropy in bits a character, by class.
 CLASSES = {"hex": (20, 3.0), "base64": (20, 3.8)}
 #: A whole stretch of hex digits that holds a window and is no number.
-STRETCH = "(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{%d,}" % CLASSES["hex"][0]
+STRETCH = "(?<![0-9A-Fa-f])(?=[0-9]*[A-Fa-f])[0-9A-Fa-f]{%d,}" % CLASSES["hex"][0]
 #: Candidates that look random but are no secrets.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",  # UUID
     r"^[0-9+=_/-]*$",  # numbers and dates
     r"^[A-Za-z+=_/-]*$",  # words
-    r"(?i)example|sample|placeholder|xxxx",  # stand-ins
     r"^/?([A-Za-z]+|[0-9]+)([/_-]([A-Za-z]+|[0-9]+))+/?$",  # paths and slugs of plain words and numbers
 )
+#: A piece between separators that names itself a stand-in.
+STAND_IN = "(?<![A-Za-z0-9])[A-Za-z0-9]*(?i:example|sample|placeholder|xxxx)[A-Za-z0-9]*"
 
 
 SPANS = "array<struct<start:bigint,rank:int,end:bigint>>"
@@ -152,11 +154,19 @@ def _suspicious(run: Column) -> Column:
     return ~allowed
 
 
+def _unmasked(run: Column) -> Column:
+    """Hot ranges of what lies between the stand-ins of `run`."""
+    names = F.regexp_extract_all(run, F.lit(f"({STAND_IN})"), F.lit(0))
+    rests = _places(F.concat(F.array(F.lit("")), names), F.split(run, STAND_IN, -1))
+    rests = F.filter(rests, lambda r: (F.length(r["hit"]) >= CANDIDATE) & _suspicious(r["hit"]))
+    return F.flatten(F.transform(rests, lambda r: _moved(_hot(r["hit"]), r["start"])))
+
+
 def _entropy_spans(text: Column) -> Column:
     placed = _places(F.split(text, RUN, -1), F.regexp_extract_all(text, F.lit(f"({RUN})"), F.lit(0)))
 
     def windows(run: Column) -> Column:
-        return F.transform(_hot(run["hit"]), lambda w: F.struct(
+        return F.transform(_unmasked(run["hit"]), lambda w: F.struct(
             (run["start"] + w["start"]).alias("start"), F.lit(3).alias("rank"), (run["start"] + w["end"]).alias("end")))
 
     found = F.flatten(F.transform(F.filter(placed, lambda run: _suspicious(run["hit"])), windows))
