@@ -148,6 +148,12 @@ def test_language_edges(edge, empty):
     assert {r["lang_pred"] for r in unlabelled.collect()} == {"und"}
 
 
+def test_texts_with_letters_stay_where_no_language_is_known(edge):
+    rows = edge.selectExpr(*[c if c != "lang" else "cast(null as string) lang" for c in edge.columns])
+    kept = language_id.recognised(rows)
+    assert kept.columns == edge.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, 8, 9, 10, 12, None, 13, -4}
+
+
 def plain_spans(text):
     spans = [(m.start(), 0, m.end()) for m in re.finditer(
         r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[2]) >= 8]

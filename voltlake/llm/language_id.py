@@ -150,7 +150,14 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def recognised(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose text has a language; rejected are texts that are null or have no letter."""
+    """The rows of `docs`, all columns, whose text has a language; rejected are texts that are null or have no letter.
+
+    The model names the language of every other text and rejects none, however low the posterior. Where no row
+    that is not held out has a label it knows no language, and the letters alone decide.
+    """
+    model = train(docs.where(~held_out()))
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     lang, posterior = unused(docs, "_lang"), unused(docs, "_posterior")
-    scored = predicted(docs, train(docs.where(~held_out())), lang, posterior)
+    scored = predicted(docs, model, lang, posterior)
     return scored.where(F.col(lang) != UNKNOWN).select(*docs.columns)
