@@ -48,7 +48,7 @@ def _mean_within(s, d):
 def _lineitem_page(s, d):
     rows = X.table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
     keyed = rows.withColumn("line", F.format_string("%012d-%d", "l_orderkey", "l_linenumber"))
-    return D.paginate_rn(keyed, "l_extendedprice", "line", 40, 100, width=100.0)
+    return D.paginate_rn(keyed, "l_extendedprice", "line", 40, 100)
 
 
 _LABELS = {"charging": "Charging", "discharging": "Driving"}
@@ -82,6 +82,13 @@ CHECKS = [
   JOIN (SELECT gps_id, 'hot' AS device_no, TIMESTAMP '2024-01-10 00:00:00' + to_seconds(gps_id % 200) AS time FROM gps
     UNION ALL SELECT gps_id, device_no, time FROM gps) g ON g.device_no = CASE WHEN b.event_id % 100 = 0 THEN 'hot' ELSE b.device_no END
   AND abs(epoch_us(CASE WHEN b.event_id % 100 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' ELSE b.msg_ts END) - epoch_us(g.time)) <= 300000000""", "bms", "gps")),
+    check("interval_join_hot_left", lambda s, d: align.interval_join(_few(s, d), _crowd(s, d).where("gps_id % 200 between 60 and 90"), ["device_no"], "msg_ts", "time", 75, ["gps_id"], rows_per_task=50),
+          with_views("""SELECT b.event_id, b.device_no, b.msg_ts, g.gps_id
+  FROM (SELECT event_id, CASE WHEN event_id % 100 = 0 THEN 'hot' ELSE device_no END AS device_no,
+    CASE WHEN event_id % 100 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' ELSE msg_ts END AS msg_ts FROM bms WHERE event_id % 50 = 0) b
+  LEFT JOIN (SELECT gps_id, 'hot' AS device_no, TIMESTAMP '2024-01-10 00:00:00' + to_seconds(gps_id % 200) AS time FROM gps WHERE gps_id % 200 BETWEEN 60 AND 90
+    UNION ALL SELECT gps_id, device_no, time FROM gps WHERE gps_id % 200 BETWEEN 60 AND 90) g
+  ON g.device_no = b.device_no AND abs(epoch_us(b.msg_ts) - epoch_us(g.time)) < 75000000""", "bms", "gps")),
     check("mean_within", _mean_within,
           with_views("""SELECT s.span, s.device_no, s.start_time, s.end_time, avg(b.soc) AS mean_soc, avg(b.pack_volt) AS mean_pack_volt FROM spans s JOIN bms_dense b ON b.device_no = s.device_no
   AND b.msg_ts BETWEEN s.start_time - INTERVAL 60 SECOND AND s.end_time + INTERVAL 60 SECOND GROUP BY 1, 2, 3, 4""", "bms_dense", spans=_SPANS), "mean_soc mean_pack_volt"),
@@ -103,8 +110,10 @@ CHECKS = [
           with_views("SELECT event_id, device_no, msg_ts, soc, soh FROM bms QUALIFY row_number() OVER (PARTITION BY device_no ORDER BY msg_ts DESC, event_id DESC) = 1", "bms")),
     check("paginate", lambda s, d: D.paginate(X.table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey", "desc", 3, 50),
           "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 100"),
-    check("paginate_rn_ascending", lambda s, d: D.paginate_rn(X.bms(s, d).select("event_id", "soc"), "soc", "event_id", 3, 50, order="asc", rows_per_slice=64),
+    check("paginate_rn_ascending", lambda s, d: D.paginate_rn(X.bms(s, d).select("event_id", "soc"), "soc", "event_id", 3, 50, order="asc", ranges=7),
           with_views("SELECT * FROM (SELECT event_id, soc, row_number() OVER (ORDER BY soc NULLS LAST, event_id) AS row_num FROM bms) WHERE row_num BETWEEN 101 AND 150", "bms")),
+    check("paginate_after", lambda s, d: D.paginate_after(X.bms(s, d).select("event_id", "soc"), "soc", "event_id", (52.3, 1931), "asc", 70),
+          with_views("SELECT event_id, soc FROM bms WHERE soc IS NULL OR (soc, event_id) > (52.3, 1931) ORDER BY soc NULLS LAST, event_id LIMIT 70", "bms")),
     check("paginate_rn", _lineitem_page,
           "SELECT * FROM (SELECT l_orderkey, l_linenumber, l_extendedprice, format('{:012d}-{}', l_orderkey, l_linenumber) AS line, row_number() OVER (ORDER BY l_extendedprice DESC, format('{:012d}-{}', l_orderkey, l_linenumber)) AS row_num FROM lineitem) WHERE row_num BETWEEN 3901 AND 4000"),
     check("order_by_labels", lambda s, d: D.order_by_labels(X.bms(s, d).groupBy(E.operation_mode().alias("mode")).agg(F.count("*").alias("n")), "mode", ["charging", "idle"]),

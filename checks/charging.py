@@ -39,7 +39,7 @@ def _sessions(s, d):
 
 
 CHECKS = [
-    check("charging_patterns", lambda s, d: charging.charging_patterns(X.bms(s, d), X.gps(s, d)),
+    check("charging_patterns", lambda s, d: charging.charging_patterns(X.bms(s, d), X.gps(s, d), fan_out=True),
           with_views(f"SELECT b.event_id, b.device_no, b.car_type, b.msg_ts, b.soc, b.pack_current, b.pack_volt, {_MODE} AS charging_status, g.speed, g.lat, g.lng, g.fuel_pct FROM bms b {fan('<')} WHERE b.pack_current IS NOT NULL", "bms", "gps"), "lat lng"),
     check("charging_by_hour", lambda s, d: charging.charging_by_hour(X.bms(s, d), AS_OF),
           with_views("SELECT CAST(hour(msg_ts) AS INT) AS hour, count(*) FILTER (pack_current > 0) AS charging_rows, avg(pack_current) FILTER (pack_current > 0) AS avg_charging_current, avg(soc) FILTER (pack_current > 0) AS avg_charging_soc FROM bms WHERE msg_ts >= TIMESTAMP '2024-01-01' GROUP BY 1", "bms"),

@@ -2,6 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from voltlake.operators import align
 
@@ -70,6 +71,27 @@ def test_nearest_is_exact_and_keeps_every_left_row(make, rows_per_slice):
         assert got[i] == (min(near)[2] if near else None)
 
 
+@pytest.mark.parametrize("rows_per_slice, seconds", [(64, 600), (1_000_000, 3600), (128, 30)])
+def test_lags_and_frames_in_the_pass_of_the_nearest(make, rows_per_slice, seconds):
+    """Lag and frame run along the device whatever the type, the match within device and type."""
+    a, b = cloud(8, 500, 3 * 3600), cloud(9, 300, 3 * 3600)
+    a += [(2000 + i, None, "hot", s(i)) for i in range(20)] + [(3000, "GV60", None, s(0)), (3001, "GV60", "hot", None)]
+    out = align.nearest_join(
+        make(LEFT, a), make(RIGHT, b), KEYS, "msg_ts", "time", "id", "gid", ["gid"], seconds=seconds, rows_per_slice=rows_per_slice,
+        keys=["device_no"], lags={"prev": "id"}, back=4, frames={"total": lambda w: F.sum("id").over(w.rowsBetween(-4, 0))})
+    assert out.columns == ["id", "car_type", "device_no", "msg_ts", "prev", "total", "gid"]
+    got = {r["id"]: (r["prev"], r["total"], r["gid"]) for r in out.collect()}
+    assert len(got) == len(a)
+    by_device = {}
+    for row in sorted((r for r in a if r[2] and r[3]), key=lambda r: (r[3], r[0])):
+        by_device.setdefault(row[2], []).append(row)
+    for line in by_device.values():
+        for i, (id, kind, device, t) in enumerate(line):
+            near = [(abs((u - t).total_seconds()), u, g) for g, k, d, u in b if (k, d) == (kind, device) and abs((u - t).total_seconds()) <= 60]
+            assert got[id] == (line[i - 1][0] if i else None, sum(r[0] for r in line[max(0, i - 4):i + 1]), min(near)[2] if near else None)
+    assert got[3000] == got[3001] == (None, None, None)
+
+
 @pytest.mark.parametrize("gap, closed, want", [(299, False, 1), (300, False, None), (300, True, 1), (301, True, None), (-300, True, 1)])
 def test_interval_edges(make, gap, closed, want):
     left, right = make(LEFT, [(7, "GV60", "d", s(0))]), make(RIGHT, [(1, "BONGO3", "d", s(gap))])
@@ -89,6 +111,22 @@ def test_interval_join_finds_every_pair_once(make, rows_per_task):
     assert got == sorted(want)
 
 
+@pytest.mark.parametrize("closed", [False, True])
+def test_left_interval_join_with_an_overfull_right_side(make, closed):
+    """Cells cut by their right rows: rows without a match come out once each, also where they repeat."""
+    a = cloud(5, 120, 3600) + [(500 + i, "GV60", "hot", s(9000 + i)) for i in range(30)]
+    a += a[-10:] + [(900, "GV60", None, s(0)), (901, "GV60", "hot", None)]
+    b = cloud(6, 60, 3600) + [(1000 + i, "GV60", "hot", s(8400 + i % 310)) for i in range(400)]
+    b += [(2000, "GV60", "hot", s(9320)), (2001, "GV60", None, s(0))]
+    out = align.interval_join(make(LEFT, a), make(RIGHT, b), ["device_no"], "msg_ts", "time", 300, ["gid"], closed, rows_per_task=20)
+    want = []
+    for i, _, device, t in a:
+        hits = [] if not device or not t else [g for g, _, d, u in b if d == device and (abs((u - t).total_seconds()) < 300 or closed and abs((u - t).total_seconds()) == 300)]
+        want += [(i, g) for g in hits] or [(i, None)]
+    key = lambda p: (p[0], p[1] is None, p[1] or 0)
+    assert sorted(((r["id"], r["gid"]) for r in out.collect()), key=key) == sorted(want, key=key)
+
+
 def test_mean_within_long_and_short_spans(make):
     rnd = random.Random(5)
     samples = [("d" if i % 4 else "e", s(rnd.randrange(5000)), float(rnd.randrange(50)) if i % 7 else None) for i in range(500)]

@@ -22,6 +22,35 @@ def test_no_nested_loops_and_no_python(spark, name):
         assert word not in plan
 
 
+def scans(spark, name: str) -> int:
+    """Scans in a plan, without those of slice borders and hot cells (no row where nothing is overfull)."""
+    plan = all_checks()[name].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    return sum("FileScan" in line and not re.search("_cuts|_salts|_parts", line) for line in plan.splitlines())
+
+
+@pytest.mark.parametrize("name, bms, gps", [
+    ("driving_patterns", 2, 1), ("battery_health", 2, 1), ("cell_balance_daily", 1, 1), ("driving_performance", 1, 1),
+    ("nearest_join", 1, 1), ("bms_response", 2, 0), ("temp_volt_response", 2, 0), ("forecast_soh_linear", 2, 0),
+    ("interval_join", 2, 2), ("cell_balance", 2, 2),
+])
+def test_ordered_passes_read_their_input_at_most_twice(spark, name, bms, gps):
+    assert scans(spark, name) <= bms + gps
+
+
+@pytest.mark.parametrize("name, most", [("charging_sessions_by_current", 3), ("vehicle_rankings", 5), ("health_rank", 5), ("paginate_rn", 2)])
+def test_written_passes_are_scanned_little(spark, name, most):
+    assert scans(spark, name) <= most
+
+
+def test_global_order_has_no_constant_key(spark):
+    """One task sees at most one row per range."""
+    plan = all_checks()["vehicle_rankings"].run(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "SinglePartition" in line:
+            assert "HashAggregate(keys=[_range" in lines[i + 1]
+
+
 def test_scans_read_only_what_a_query_needs(spark):
     plan = X.bms(spark, SF).where("soc > 50").select("soc")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"ReadSchema: struct<event_id:bigint>", plan)

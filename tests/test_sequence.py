@@ -97,9 +97,26 @@ def test_nearest_value(spark, rows):
 
 def test_row_number_over_everything(spark, rows):
     df = spark.createDataFrame(rows, LAYOUT).select("id", "v")
-    got = Q.global_row_number(df, "rn", F.col("v"), ["id"], 5.0, rows_per_slice=64)
-    mine = [r["id"] for r in sorted(got.collect(), key=lambda r: r["rn"])]
-    assert mine == [r[2] for r in sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[2]))]
+    order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
+    want = [r[2] for r in sorted(rows, key=lambda r: (r[3] is None, -(r[3] or 0), r[2]))]
+    for ranges in (1, 7, 300):
+        got = Q.global_row_number(df, "rn", order, "n", ranges).collect()
+        assert [r["id"] for r in sorted(got, key=lambda r: r["rn"])] == want
+        assert sorted(r["rn"] for r in got) == list(range(1, len(rows) + 1)) and {r["n"] for r in got} == {len(rows)}
+    assert Q.global_row_number(df.where("false"), "rn", order).count() == 0
+
+
+def test_one_value_of_most_rows_still_spreads(spark):
+    df = spark.range(20_000).select((F.col("id") % 10 == 0).cast("int").alias("v"), "id")
+    sizes = [r["count"] for r in Q.in_ranges(df, [F.col("v").asc(), F.col("id").asc()], 8).groupBy("_range").count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 6_000
+
+
+def test_lag_over_slices(placed, rows):
+    got = {r["id"]: (r["prev"], r["prev_id"]) for r in Q.lagged(placed, ["k"], ["ts", "id"], {"prev": "v", "prev_id": "id"}).collect()}
+    for series in in_order(rows).values():
+        for i, row in enumerate(series):
+            assert got[row[2]] == ((series[i - 1][3], series[i - 1][2]) if i else (None, None))
 
 
 def test_rows_without_key_or_time_stay_without_a_place(spark):

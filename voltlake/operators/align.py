@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.functions.expr import micros
 from voltlake.operators.sequence import (
-    ROWS_PER_SLICE, SLICE_SECONDS, carried, in_sequence, nearest_in_stream, settled, sliced, unsliced, with_slices,
+    ROWS_PER_SLICE, SLICE_SECONDS, carried, has_place, in_reach, in_sequence, in_slices, row_before, settled,
+    slice_cuts, slice_keys, sliced, tails_handed_on, unsliced,
 )
 from voltlake.schema import NEAR_SECONDS
 
@@ -25,31 +26,62 @@ def one_per_instant(df: DataFrame, on: Sequence[str], time: str, order: Sequence
 def nearest_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], left_time: str, right_time: str,
     left_id: str, right_id: str, take: Sequence[str], tolerance_s: float = NEAR_SECONDS,
-    seconds: int = SLICE_SECONDS, rows_per_slice: int = ROWS_PER_SLICE,
+    seconds: int = SLICE_SECONDS, rows_per_slice: int = ROWS_PER_SLICE, keys: Sequence[str] | None = None,
+    lags: Mapping[str, str] | None = None, frames: Mapping[str, Callable] | None = None, back: int = 0,
 ) -> DataFrame:
     """Left rows, each with the ``take`` columns of its nearest right row within the tolerance.
 
-    Left join, one output row per left row; one without a key or a time has no match.  Equal distance: the earlier right row; equal instant: the
-    smallest right id.  Both inputs are put into one stream and read once forwards and once backwards, so
-    the work is linear in the rows and no pair of rows is ever built.
+    Left join, one output row per left row; one without a key or a time has no match.  Equal distance: the
+    earlier right row; equal instant: the smallest right id.
+
+    ``lags`` (``{"prev": "soc"}``) and ``frames`` (window columns that look back at most ``back`` rows, as in
+    ``sequence.framed``) look back along the left rows of ``keys``, a part of ``on``, in the same pass.
+
+    Both inputs make one stream, cut into slices by ``keys`` and time and shuffled once.  A right row goes to each
+    slice that holds times within the tolerance, so no match crosses a border.  Right rows are read once, left
+    rows once, and once more, narrow, for the rows that lags and frames carry over the borders.  The work is
+    linear in the rows and no pair of rows is ever built.
     """
+    keys, lags, frames = list(keys or on), dict(lags or {}), dict(frames or {})
+    reach, width = round(tolerance_s * 1_000_000), seconds * 1_000_000
     found = one_per_instant(
-        in_sequence(right, *on, right_time).select(*on, right_time, right_id, *[n for n in take if n not in (right_time, right_id)]),
+        in_sequence(right, *on, right_time).select(*on, right_time, right_id, *[n for n in take if n not in (*on, right_time, right_id)]),
         on, right_time, [right_id],
-    ).select(
-        *on, micros(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(0).alias("_id"),
-        F.struct(*take).alias("_right"),
-    )
-    asked = left.select(
-        *on, micros(left_time).alias("_t"), F.lit(1).alias("_side"), F.xxhash64(left_id).alias("_id"),
-        F.struct(*left.columns).alias("_left"),
-    )
-    stream = asked.unionByName(found, allowMissingColumns=True)
-    order = ["_t", "_side", "_id"]
-    placed = with_slices(stream, on, order, F.floor(F.col("_t") / (seconds * 1_000_000)), rows_per_slice)
-    matched = nearest_in_stream(placed, on, order, "_t", {"_near": "_right"}, tolerance_s * 1_000_000)
-    return matched.where(F.col("_side") == 1).select(
-        "_left.*", *[F.col("_near")[name].alias(name if name not in left.columns else f"right_{name}") for name in take]
+    ).select(*on, micros(right_time).alias("_t"), F.struct(*take).alias("_right"))
+    asked = left.withColumns({"_t": micros(left_time), "_side": F.lit(1), "_id": F.col(left_id)})
+    order, bucket = ["_t", "_side", "_id"], F.floor(F.col("_t") / width)
+    instants = right.select(*keys, micros(right_time).alias("_t"), F.lit(0).alias("_side"))
+    cuts = slice_cuts(
+        asked.select(*keys, *order).unionByName(instants, allowMissingColumns=True), keys, order, bucket, rows_per_slice)
+    rows = in_slices(asked, keys, order, bucket, cuts)
+    copies = in_reach(found, keys, "_t", reach, width, cuts).withColumn("_side", F.lit(0))
+    own = Window.partitionBy(*slice_keys(keys), "_side").orderBy("_t", "_id")
+    stream = rows.withColumn("_halo", F.lit(False))
+    if frames:
+        halo = tails_handed_on(rows, keys, order, back).withColumn("_halo", F.lit(True))
+        stream = stream.unionByName(halo)
+    stream = stream.unionByName(copies, allowMissingColumns=True)
+    if lags:
+        sources = list(dict.fromkeys(lags.values()))
+        stream = stream.join(row_before(rows, keys, order, sources), slice_keys(keys), "left").withColumn(
+            "_before", F.coalesce(F.lag(F.struct(*[F.col(name) for name in sources])).over(own), F.col("_border")))
+    # Right rows stand before left rows of their instant, on the way forth and on the way back.
+    kind = Window.partitionBy(*slice_keys(keys), *[name for name in on if name not in keys])
+    forth, back_again = kind.orderBy("_t", "_side"), kind.orderBy(F.col("_t").desc(), F.col("_side"))
+    seen = F.when(F.col("_right").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_right").alias("v")))
+    matched = stream.withColumns({
+        **{name: make(own) for name, make in frames.items()},
+        "_previous": F.last(seen, ignorenulls=True).over(forth.rowsBetween(Window.unboundedPreceding, 0)),
+        "_following": F.last(seen, ignorenulls=True).over(back_again.rowsBetween(Window.unboundedPreceding, 0)),
+    }).where((F.col("_side") == 1) & ~F.col("_halo"))
+    ago, ahead = F.col("_t") - F.col("_previous.t"), F.col("_following.t") - F.col("_t")
+    near = F.when(has_place() & (ago <= reach) & (ahead.isNull() | (ago <= ahead)), F.col("_previous.v")).when(
+        has_place() & (ahead <= reach), F.col("_following.v"))
+    return matched.withColumn("_near", near).select(
+        *left.columns,
+        *[F.when(has_place(), F.col("_before")[source]).alias(name) for name, source in lags.items()],
+        *[F.when(has_place(), F.col(name)).alias(name) for name in frames],
+        *[F.col("_near")[name].alias(name if name not in left.columns else f"right_{name}") for name in take],
     )
 
 
@@ -111,17 +143,19 @@ def interval_join(
 
     The pairs are the result here.  They are found on (key, time cell) with cells as wide as the interval,
     so the join tests about 1.5 candidates per pair.  A cell too full by its left rows or by its pairs is
-    salted: its left rows are spread, its right rows repeated once per salt.  An inner join also cuts one with
-    too many right rows the other way round; in a left join these stay with each share of left rows.
+    salted: its left rows are spread, its right rows repeated once per salt.  A cell with too many right rows is
+    cut the other way round: its right rows are dealt into shares, its left rows repeated once per share.  A share
+    cannot tell whether a left row has a match in another, so in a left join the rows of such cells that have none
+    come from one pass of ``nearest_join`` over these cells.
     """
-    width = int(seconds * 1_000_000)
+    width = round(seconds * 1_000_000)
     cell = F.floor(F.col("_lt") / width)
     placed = left.withColumn("_lt", micros(left_time)).withColumn("_cell", cell)
     # Either side alone may be what fills a cell; its pairs are about as many as the product of both.
-    at_home = F.floor(micros(right_time) / width)
+    around = F.explode(F.array(F.col("_home") - 1, F.col("_home"), F.col("_home") + 1))
     others = (
-        right.select(*on, F.explode(F.array(at_home - 1, at_home, at_home + 1)).alias("_cell"))
-        .groupBy(*on, "_cell").agg(F.count("*").alias("_others"))
+        right.groupBy(*on, F.floor(micros(right_time) / width).alias("_home")).agg(F.count("*").alias("_n"))
+        .select(*on, "_n", around.alias("_cell")).groupBy(*on, "_cell").agg(F.sum("_n").alias("_others"))
     )
     own, across = F.col("_own"), F.coalesce(F.col("_others"), F.lit(0))
     load = F.greatest(own, F.sqrt(own * across))
@@ -131,16 +165,14 @@ def interval_join(
         .select(*on, "_cell", F.ceil(load / rows_per_task).cast("int").alias("_salts"),
                 F.greatest(F.lit(1), F.ceil(across / rows_per_task)).cast("int").alias("_parts"))
     )
-    salts = F.coalesce(F.col("_salts"), F.lit(1))
-    # A left row without a match in one part of its cell may have one in another, so a left join has one part.
-    parts = F.coalesce(F.col("_parts"), F.lit(1)) if how == "inner" else F.lit(1)
+    salts, parts = F.coalesce(F.col("_salts"), F.lit(1)), F.coalesce(F.col("_parts"), F.lit(1))
 
     def dealt(columns: Sequence[str], n: Column) -> Column:
         return F.when(n > 1, F.pmod(F.xxhash64(*columns), n)).otherwise(F.lit(0)).cast("int")
 
     spread = (
         placed.join(hot, [*on, "_cell"], "left").withColumn("_salt", dealt(left.columns, salts))
-        .withColumn("_share", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_salts", "_parts")
+        .withColumn("_split", parts > 1).withColumn("_share", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_salts", "_parts")
     )
     home = F.floor(F.col("_rt") / width)
     copies = (
@@ -157,9 +189,25 @@ def interval_join(
     test = gap <= width if closed else gap < width
     for key in keys:
         test = (F.col(f"a.{key}") == F.col(f"b.{key}")) & test
+    named = {name: name if name not in left.columns else f"right_{name}" for name in take}
     out = [F.col(f"a.{name}").alias(name) for name in left.columns]
-    out += [F.col(f"b._r_{name}").alias(name if name not in left.columns else f"right_{name}") for name in take]
-    return a.join(b, test, how).select(*out)
+    out += [F.col(f"b._r_{name}").alias(new) for name, new in named.items()]
+    joined = a.join(b, test, how)
+    if how == "inner":
+        return joined.select(*out)
+    pairs = joined.where(~F.col("a._split") | F.col("b._rt").isNotNull()).select(*out)
+    split = hot.where(F.col("_parts") > 1).select(*on, "_cell")
+    asked = placed.join(split, [*on, "_cell"], "left_semi").select(*left.columns)
+    near_split = split.withColumn("_home", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1))).drop("_cell").distinct()
+    answers = (
+        right.withColumn("_home", F.floor(micros(right_time) / width)).join(near_split, [*on, "_home"], "left_semi")
+        .select(*on, micros(right_time).alias("_rt"), F.col(right_time).alias("_at"))
+    )
+    alone = nearest_join(
+        asked, answers, on, left_time, "_at", left_time, "_rt", ["_rt"], (width if closed else width - 1) / 1_000_000
+    ).where(F.col("_rt").isNull()).drop("_rt")
+    none = right.select(*[F.col(name).alias(new) for name, new in named.items()]).schema
+    return pairs.unionByName(alone.select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in none]))
 
 
 def mean_within(

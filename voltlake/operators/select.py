@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.functions.expr import as_timestamp
-from voltlake.operators.sequence import ROWS_PER_SLICE, global_row_number
+from voltlake.operators.sequence import global_row_number, settled
 
 
 def where_opt(df: DataFrame, **equal) -> DataFrame:
@@ -63,13 +63,38 @@ def paginate(
 
 
 def paginate_rn(
-    df: DataFrame, sort: str, tiebreak: str, page: int, limit: int, width: float = 1.0, order: str = "desc",
-    rows_per_slice: int = ROWS_PER_SLICE,
+    df: DataFrame, sort: str, tiebreak: str, page: int, limit: int, order: str = "desc", ranges: int | None = None,
 ) -> DataFrame:
-    """The same page by row number, for pages deep inside a large result; missing values come last either way."""
-    score = F.col(sort) if order == "desc" else -F.col(sort)
-    numbered = global_row_number(df, "row_num", score, [tiebreak], width, rows_per_slice)
-    return numbered.where(F.col("row_num").between((page - 1) * limit + 1, page * limit))
+    """The same page by row number, for pages deep inside a large result; missing values come last either way.
+
+    Only the two order columns are sorted and written; the page's rows, ``limit`` of them, then meet the table.
+    The tie-break must tell rows apart.
+    """
+    keys = df.select(F.col(sort).alias("_sort"), F.col(tiebreak).alias("_tie"))
+    numbered = global_row_number(keys, "row_num", [_directed("_sort", order == "desc"), F.col("_tie").asc()], ranges=ranges)
+    wanted = settled(numbered.where(F.col("row_num").between((page - 1) * limit + 1, page * limit)))
+    met = df[sort].eqNullSafe(wanted["_sort"]) & df[tiebreak].eqNullSafe(wanted["_tie"])
+    return df.join(wanted, met).select(*[df[name] for name in df.columns], "row_num")
+
+
+def paginate_after(
+    df: DataFrame, sort: str, tiebreak: str, after: tuple | None = None, order: str = "desc", limit: int = 50,
+) -> DataFrame:
+    """The page behind a cursor: the (sort value, tie-break) of the last row seen, None for the first page.
+
+    The cursor is a filter, which reaches the scan, and each task keeps ``limit`` rows however deep the page lies.
+    Missing sort values come last; the tie-break must tell rows apart and not be missing.
+    """
+    down = order == "desc"
+    if after is not None:
+        value, tie = after
+        s, later = F.col(sort), F.col(tiebreak) > F.lit(tie)
+        if value is None:
+            df = df.where(s.isNull() & later)
+        else:
+            beyond = s < F.lit(value) if down else s > F.lit(value)
+            df = df.where(beyond | ((s == F.lit(value)) & later) | s.isNull())
+    return df.orderBy(_directed(sort, down), F.col(tiebreak).asc()).limit(limit)
 
 
 def page_info(df: DataFrame, limit: int) -> DataFrame:

@@ -4,10 +4,12 @@ A window over a whole device puts that device's history into one task; with a hu
 one vehicle that sends a third of all rows, that task never ends.  Here every stream is cut into
 slices (key, time bucket, part).  Windows run inside a slice; what must cross a slice border is one
 small row per slice (a total, a last value, the last n rows), which is combined per key and handed
-back.  Results equal those of the plain window over the whole key.
+back.  Results equal those of the plain window over the whole key.  A pass reads its input at most twice:
+once for its rows, once, narrow and partially aggregated, for what crosses the borders.
 
 Parts split a bucket that is too full.  Their borders come from a hash sample of the order values,
 so they are the same on every recomputation, and ties of time are split by the later order columns.
+They are written before the pass is planned: a few rows, none where no bucket is too full.
 
 A row without a key or a time has no place in a sequence.  It stays in the result, with NULL in every
 column that a sequence would give it; ``in_sequence`` drops such rows where a rule needs the place.
@@ -16,7 +18,7 @@ column that a sequence would give it; ``in_sequence`` drops such rows where a ru
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,31 +53,26 @@ def has_place() -> Column:
     return F.col(BUCKET).isNotNull()
 
 
-def with_slices(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
-    rows_per_slice: int = ROWS_PER_SLICE,
+def slice_cuts(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, rows_per_slice: int = ROWS_PER_SLICE,
 ) -> DataFrame:
-    """Add the slice of each row.  ``bucket`` must not decrease along ``order``.
+    """(keys, bucket, _cuts, _width) of overfull buckets, written: the order values at which they are cut.
 
-    Rows without a key or a bucket get no bucket, and a part by hash, so that many of them spread.  The
-    borders of a bucket are kept in about sqrt(n) runs, so a row is compared with 2 * sqrt(n) of them.
-    They meet the rows on (key, bucket), where adaptive execution decides by their measured size.
+    The borders of a bucket are kept in about sqrt(n) runs, so a row is compared with 2 * sqrt(n) of them.
+    Only keys and order columns are read; equal rows count once.
     """
-    placed = df.withColumn(BUCKET, bucket)
-    for key in keys:
-        placed = placed.withColumn(BUCKET, F.when(F.col(key).isNotNull(), F.col(BUCKET)))
+    placed = _bucketed(df, keys, bucket).where(has_place())
     at = F.struct(*[F.col(name) for name in order])
     modulus = max(1, rows_per_slice // SAMPLES_PER_SLICE)
     sample = (
-        placed.where(has_place() & (F.pmod(F.xxhash64(*keys, *order), F.lit(modulus)) == 0))
-        .select(*keys, BUCKET, at.alias("_at"))
+        placed.where(F.pmod(F.xxhash64(*keys, *order), F.lit(modulus)) == 0).select(*keys, BUCKET, at.alias("_at")).distinct()
     )
     group = Window.partitionBy(*keys, BUCKET)
     ranked = sample.select(
         "*", F.row_number().over(group.orderBy("_at")).alias("_rn"), F.count("*").over(group).alias("_n")
     )
     step = SAMPLES_PER_SLICE
-    cuts = (
+    return settled(
         ranked.where((F.col("_rn") % step == 0) & (F.col("_rn") < F.col("_n")))
         .groupBy(*keys, BUCKET).agg(F.array_sort(F.collect_list("_at")).alias("_borders"))
         .withColumn("_width", F.ceil(F.sqrt(F.size("_borders"))).cast("int"))
@@ -84,15 +81,50 @@ def with_slices(
             lambda i: F.slice(F.col("_borders"), i * F.col("_width") + 1, F.col("_width"))))
         .drop("_borders")
     )
-    run = F.size(F.filter(F.col("_cuts"), lambda borders: F.get(borders, F.lit(0)) < at)) - 1
-    inside = F.size(F.filter(F.get(F.col("_cuts"), run), lambda border: border < at))
-    part = F.when(run < 0, 0).otherwise(run * F.col("_width") + inside)
-    return (
-        placed.join(cuts, [*keys, BUCKET], "left").select(*[placed[name] for name in placed.columns], "_cuts", "_width")
-        .withColumn(PART, F.when(~has_place(), F.pmod(F.xxhash64(*keys, *order), F.lit(APART)).cast("int"))
-                    .when(F.col("_cuts").isNull(), 0).otherwise(part))
-        .drop("_cuts", "_width")
-    )
+
+
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: Column) -> DataFrame:
+    """The bucket of each row; rows without a key or a bucket have none."""
+    for key in keys:
+        bucket = F.when(F.col(key).isNotNull(), bucket)
+    return df.withColumn(BUCKET, bucket)
+
+
+def _borders_before(test: Callable[[Column], Column]) -> Column:
+    """How many borders pass a test that holds for the first borders of a bucket and for none behind them."""
+    run = F.size(F.filter(F.col("_cuts"), lambda borders: test(F.get(borders, F.lit(0))))) - 1
+    inside = F.size(F.filter(F.get(F.col("_cuts"), run), test))
+    return F.when(F.col("_cuts").isNull() | (run < 0), 0).otherwise(run * F.col("_width") + inside)
+
+
+def in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, cuts: DataFrame) -> DataFrame:
+    """Add the slice of each row.  Rows without a key or a bucket get no bucket, and a part by hash, so that many
+    of them spread.  Cuts meet the rows on (key, bucket); they are written, so Spark knows how few they are."""
+    placed = _bucketed(df, keys, bucket)
+    at = F.struct(*[F.col(name) for name in order])
+    spread = F.pmod(F.xxhash64(*keys, *order), F.lit(APART)).cast("int")
+    return placed.join(cuts, [*keys, BUCKET], "left").select(
+        *[placed[name] for name in placed.columns],
+        F.when(~has_place(), spread).otherwise(_borders_before(lambda border: border < at)).alias(PART))
+
+
+def in_reach(df: DataFrame, keys: Sequence[str], at: str, reach: int, width: int, cuts: DataFrame) -> DataFrame:
+    """Every row once in each slice that can hold rows at most ``reach`` away by the numeric column ``at``, which
+    is the first order column of the cuts.  Slices far wider than the reach make few copies."""
+    low, high = F.col(at) - reach, F.col(at) + reach
+    near = df.withColumn(BUCKET, F.explode(F.sequence(F.floor(low / width), F.floor(high / width))))
+    first = _borders_before(lambda border: border[at] < low)
+    last = _borders_before(lambda border: border[at] <= high)
+    return near.join(cuts, [*keys, BUCKET], "left").select(
+        *[near[name] for name in near.columns], F.explode(F.sequence(first, last)).alias(PART))
+
+
+def with_slices(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column,
+    rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Slices of a stream.  ``bucket`` must not decrease along ``order``."""
+    return in_slices(df, keys, order, bucket, slice_cuts(df, keys, order, bucket, rows_per_slice))
 
 
 def sliced(
@@ -133,8 +165,11 @@ def _across(keys: Sequence[str], *order: Column):
 # ---------------------------------------------------------------- bounded frames
 
 
-def _with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """Every slice, preceded by the n rows that come before it in its key (``_halo`` marks those)."""
+def tails_handed_on(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The n rows that come before each slice in its key, marked with that slice.
+
+    Spark keeps n rows a slice in every task before it shuffles them.
+    """
     tails = (
         df.where(has_place()).withColumn("_rn", F.row_number().over(_backward(keys, order))).where(F.col("_rn") <= n)
         .drop("_rn")
@@ -152,8 +187,7 @@ def _with_halo(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int)
         .where(F.col("_last_slice") < F.col("_here"))  # the first tail row of a slice
         .select(BUCKET, PART, F.explode("_before").alias("_row"))
     )
-    halo = before.select("_row.*", BUCKET, PART, F.lit(True).alias("_halo"))
-    return df.withColumn("_halo", F.lit(False)).unionByName(halo)
+    return before.select("_row.*", BUCKET, PART)
 
 
 def framed(
@@ -165,16 +199,26 @@ def framed(
     ``{"prev": lambda w: F.lag("soc").over(w)}``.
     """
     window = _forward(keys, order)
-    whole = _with_halo(df, keys, order, n)
+    halo = tails_handed_on(df, keys, order, n).withColumn("_halo", F.lit(True))
+    whole = df.withColumn("_halo", F.lit(False)).unionByName(halo)
     made = {name: F.when(has_place(), make(window)) for name, make in columns.items()}
     return whole.withColumns(made).where(~F.col("_halo")).drop("_halo")
 
 
+def row_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(slice, _border): the columns of the last row in front of each slice, from one partial aggregate a slice."""
+    at, last = F.struct(*[F.col(name) for name in order]), F.struct(*[F.col(name) for name in columns])
+    ends = df.where(has_place()).groupBy(*slice_keys(keys)).agg(F.max_by(last, at).alias("_end"))
+    return ends.select(*slice_keys(keys), F.lag("_end").over(_across(keys, F.col(BUCKET), F.col(PART))).alias("_border"))
+
+
 def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Mapping[str, str]) -> DataFrame:
-    """Previous row's values: ``{"prev_soc": "soc"}``."""
-    return framed(df, keys, order, 1, {
-        name: (lambda w, source=source: F.lag(source).over(w)) for name, source in columns.items()
-    })
+    """Previous row's values: ``{"prev_soc": "soc"}``.  The first row of a slice takes them from the slice before."""
+    sources = list(dict.fromkeys(columns.values()))
+    inside = F.lag(F.struct(*[F.col(name) for name in sources])).over(_forward(keys, order))
+    joined = df.withColumn("_inside", inside).join(row_before(df, keys, order, sources), slice_keys(keys), "left")
+    before = F.when(has_place(), F.coalesce("_inside", "_border"))
+    return joined.select(*[df[name] for name in df.columns], *[before[source].alias(name) for name, source in columns.items()])
 
 
 # ---------------------------------------------------------------- unbounded frames
@@ -240,27 +284,41 @@ def running(
     return carried(df, keys, order, sums=sums, lasts=lasts)
 
 
-def nearest_in_stream(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, columns: Mapping[str, str],
-    tolerance: float,
-) -> DataFrame:
-    """``carried`` for nearest values only: ``columns`` maps the new name to the source column."""
-    return carried(df, keys, order, nearest=columns, time=time, tolerance=tolerance)
+# ---------------------------------------------------------------- whole-table order
 
 
-# ---------------------------------------------------------------- whole-table order
+RANGE, PLACE = "_range", "_place"
+
+
+def in_ranges(df: DataFrame, order: Sequence[Column], ranges: int | None = None) -> DataFrame:
+    """The rows in whole-table order, written: range of each row and its place in it, both from 0.
+
+    Spark takes the borders of the ranges from a sample of the whole order, ties included, so no value of the
+    first column can fill a range that the later columns could split.  One shuffle; each task sorts one range.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_rows = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    # An id from the row's partition, in its upper bits, and its place there.
+    numbered = sorted_rows.withColumn("_id", F.monotonically_increasing_id())
+    return settled(numbered.select(
+        *df.columns, F.shiftright("_id", 33).cast("int").alias(RANGE), F.col("_id").bitwiseAND((1 << 33) - 1).alias(PLACE)))
+
+
+def range_starts(placed: DataFrame) -> DataFrame:
+    """(_range, _start, _total): rows in front of each range and in all; one row per range, which one task adds up."""
+    sizes = placed.groupBy(RANGE).agg((F.max(PLACE) + 1).alias("_size"))
+    whole = Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    upto = F.sum("_size").over(Window.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return sizes.select(RANGE, (upto - F.col("_size")).alias("_start"), F.sum("_size").over(whole).alias("_total"))
 
 
 def global_row_number(
-    df: DataFrame, name: str, score: Column, tiebreak: Sequence[str], width: float,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    df: DataFrame, name: str, order: Sequence[Column], total: str | None = None, ranges: int | None = None,
 ) -> DataFrame:
-    """Number all rows by descending score, then tie-break, without one task seeing all rows.
+    """Number all rows from 1 along ``order``, which must tell all rows apart, without one task seeing all rows.
 
-    ``width`` is the score span of one bucket; missing scores come last.
+    ``total`` names a column for the count of all rows.
     """
-    keyed = df.withColumn("_all", F.lit(0)).withColumn("_down", F.coalesce(-score, F.lit(float("inf"))))
-    bucket = F.when(F.col("_down") == float("inf"), F.lit(2**62)).otherwise(F.floor(F.col("_down") / width))
-    order = ["_down", *tiebreak]
-    placed = with_slices(keyed, ["_all"], order, bucket, rows_per_slice)
-    return unsliced(running(placed, ["_all"], order, sums={name: F.lit(1)})).drop("_all", "_down")
+    placed = in_ranges(df, order, ranges)
+    more = [F.col("_total").alias(total)] if total else []
+    return placed.join(range_starts(placed), RANGE).select(*df.columns, (F.col("_start") + F.col(PLACE) + 1).alias(name), *more)

@@ -17,13 +17,17 @@ POSITION = ["speed", "lat", "lng", "fuel_pct"]
 
 def with_position(
     rows: DataFrame, gps: DataFrame, fan_out: bool, closed: bool = False, take=POSITION,
-    tolerance_s: float = FAN_SECONDS, row_id: str = "event_id", gps_id: str = "gps_id",
+    tolerance_s: float = FAN_SECONDS, row_id: str = "event_id", gps_id: str = "gps_id", **looks,
 ) -> DataFrame:
-    """Battery rows with position columns: every match within five minutes, or the nearest one only."""
+    """Battery rows with position columns: every match within five minutes, or the nearest one only.
+
+    ``looks`` adds lags and frames along the device to the pass that finds the nearest (see ``nearest_join``).
+    """
     if fan_out:
         return interval_join(rows, gps, ["device_no"], "msg_ts", "time", tolerance_s, take, closed)
     return nearest_join(
-        rows, gps, ["car_type", "device_no"], "msg_ts", "time", row_id, gps_id, take, tolerance_s
+        rows, gps, ["car_type", "device_no"], "msg_ts", "time", row_id, gps_id, take, tolerance_s,
+        keys=["device_no"], **looks,
     )
 
 
@@ -32,7 +36,7 @@ def balanced_rows(bms: DataFrame) -> DataFrame:
     return rows.withColumn("cell_balance_index", E.cell_balance_index(None))
 
 
-def cell_balance(bms: DataFrame, gps: DataFrame, fan_out: bool = True, row_id: str = "event_id") -> DataFrame:
+def cell_balance(bms: DataFrame, gps: DataFrame, fan_out: bool = False, row_id: str = "event_id") -> DataFrame:
     """Balance index per battery row and matched position, with the condition it coincides with."""
     rows = balanced_rows(bms).select(
         row_id, "device_no", "car_type", "msg_ts", "soc", "pack_current", "mod_avg_temp", "cell_balance_index",
@@ -97,7 +101,7 @@ def balance_trend(bms: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     )
 
 
-def trends(bms: DataFrame, gps: DataFrame, fan_out: bool = True, row_id: str = "event_id") -> DataFrame:
+def trends(bms: DataFrame, gps: DataFrame, fan_out: bool = False, row_id: str = "event_id") -> DataFrame:
     rows = bms.where(F.col("soc").isNotNull() | F.col("soh").isNotNull()).select(
         row_id, "device_no", "car_type", "msg_ts", "soc", "soh", "pack_volt", "pack_current", "mod_avg_temp",
         "max_cell_volt", "min_cell_volt",
@@ -145,22 +149,24 @@ def battery_health(
     rows = bms.where(F.col("soh").isNotNull()).select(
         row_id, "device_no", "car_type", "msg_ts", "soc", "soh", "pack_volt", "mod_avg_temp", "max_cell_volt", "min_cell_volt",
     )
-    rolled = framed(
-        sliced(rows, ["device_no"], "msg_ts", [row_id]), ["device_no"], ["msg_ts", row_id], 10,
-        {"_std": lambda w: F.stddev_samp("pack_volt").over(w.rowsBetween(-10, Window.currentRow))},
-    )
-    scored = unsliced(rolled).withColumns({
-        "balance_score": E.balance_score(), "temperature_score": E.temperature_score(),
-        "voltage_stability_score": E.voltage_stability_score("_std"),
-    })
-    kept = scored.select(
-        row_id, "device_no", "car_type", "msg_ts", "soc", "soh",
-        rounded(E.composite_health("components"), 2).alias("composite_health_index"),
-        "balance_score", "temperature_score", "voltage_stability_score",
-    )
+    spread = {"_std": lambda w: F.stddev_samp("pack_volt").over(w.rowsBetween(-10, Window.currentRow))}
+
+    def scored(rolled: DataFrame, *more: str) -> DataFrame:
+        return rolled.withColumns({
+            "balance_score": E.balance_score(), "temperature_score": E.temperature_score(),
+            "voltage_stability_score": E.voltage_stability_score("_std"),
+        }).select(
+            row_id, "device_no", "car_type", "msg_ts", "soc", "soh",
+            rounded(E.composite_health("components"), 2).alias("composite_health_index"),
+            "balance_score", "temperature_score", "voltage_stability_score", *more,
+        )
+
     if latest_only:
-        kept = latest_rows(kept, ["device_no"], "msg_ts", row_id)
-    placed = with_position(kept, gps, False, row_id=row_id, gps_id=gps_id)
+        order = ["msg_ts", row_id]
+        rolled = unsliced(framed(sliced(rows, ["device_no"], "msg_ts", [row_id]), ["device_no"], order, 10, spread))
+        placed = with_position(latest_rows(scored(rolled), ["device_no"], "msg_ts", row_id), gps, False, row_id=row_id, gps_id=gps_id)
+    else:
+        placed = scored(with_position(rows, gps, False, row_id=row_id, gps_id=gps_id, frames=spread, back=10), *POSITION)
     return placed.withColumn("health_grade", E.health_grade("composite_health_index"))
 
 

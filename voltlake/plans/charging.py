@@ -16,7 +16,7 @@ from voltlake.plans.battery import with_position
 DEVICE = ["device_no"]
 
 
-def charging_patterns(bms: DataFrame, gps: DataFrame, fan_out: bool = True, row_id: str = "event_id") -> DataFrame:
+def charging_patterns(bms: DataFrame, gps: DataFrame, fan_out: bool = False, row_id: str = "event_id") -> DataFrame:
     rows = bms.where(F.col("pack_current").isNotNull()).select(
         row_id, "device_no", "car_type", "msg_ts", "soc", "pack_current", "pack_volt",
         E.operation_mode().alias("charging_status"),
@@ -52,10 +52,10 @@ def charging_sessions_by_current(
         "_start": F.coalesce((now >= threshold) & (before < threshold), F.lit(False)),
         "_end": F.coalesce((now < threshold) & (before >= threshold), F.lit(False)),
     })
-    numbered = running(marked, DEVICE, order, sums={"session_id": F.col("_start").cast("int")})
-    inside = settled(unsliced(numbered).where((F.col("session_id") > 0) & ((now >= threshold) | F.col("_end"))))
-    placed = with_position(inside, gps, False, take=["speed", "fuel_pct"], row_id=row_id, gps_id=gps_id)
-    folded = placed.groupBy("device_no", "car_type", "session_id").agg(
+    inside = settled(marked.where((now >= threshold) | F.col("_end")))
+    numbered = unsliced(running(inside, DEVICE, order, sums={"session_id": F.col("_start").cast("int")}))
+    placed = with_position(numbered, gps, False, take=["speed", "fuel_pct"], row_id=row_id, gps_id=gps_id)
+    folded = placed.where(F.col("session_id") > 0).groupBy("device_no", "car_type", "session_id").agg(
         F.min(F.when(F.col("_start"), F.col("msg_ts"))).alias("charge_start_time"),
         F.max(F.when(F.col("_end"), F.col("msg_ts"))).alias("charge_end_time"),
         F.min(F.when(F.col("_start"), F.col("soc"))).alias("start_soc"),

@@ -179,7 +179,8 @@ def vehicle_comparison(summary: DataFrame, car_type: str) -> DataFrame:
 
 def health_rank(summary: DataFrame) -> DataFrame:
     kept = summary.select("vehicle_id", "vehicle_type", "latest_soh", "composite_health_index", "cell_balance_index")
-    return global_row_number(kept, "health_rank", F.col("composite_health_index"), ["vehicle_id"], 0.01)
+    order = [F.col("composite_health_index").desc_nulls_last(), F.col("vehicle_id").asc()]
+    return global_row_number(kept, "health_rank", order)
 
 
 def type_comparison(summary: DataFrame) -> DataFrame:

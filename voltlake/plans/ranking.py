@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voltlake.functions import expr as E
 from voltlake.functions.expr import rounded
 from voltlake.operators.select import latest_value, top_k, where_opt
-from voltlake.operators.sequence import global_row_number, running, settled, unsliced, with_slices
+from voltlake.operators.sequence import global_row_number, settled
 
 CATEGORIES = ("TOP_10", "HIGH_PERFORMANCE", "AVERAGE", "NEEDS_ATTENTION")
 
@@ -18,29 +18,25 @@ def overall_score() -> Column:
     return rounded(F.col("latest_soh") * 0.50 + F.col("latest_soc") * 0.30 + balance * 0.20, 2)
 
 
-def percentile(df: DataFrame, score: str, name: str) -> DataFrame:
-    """PERCENT_RANK * 100 through counts per distinct score of settled rows: no task orders the vehicles."""
-    total = df.count()
-    counts = df.groupBy(score).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
-    placed = with_slices(counts, ["_all"], [score], F.floor(F.coalesce(F.col(score), F.lit(-1e9))))
-    below = unsliced(running(placed, ["_all"], [score], sums={"_upto": F.col("_n")}))
-    place = (F.col("_upto") - F.col("_n")) / (total - 1) * 100 if total > 1 else F.lit(0.0)
-    return df.join(below.select(score, place.alias(name)), score, "left")
+def percentile(ranked: DataFrame, score: str, rank: str, total: str, name: str) -> DataFrame:
+    """PERCENT_RANK * 100 from row numbers along falling scores: the rows behind the last of a score's ties."""
+    below = ranked.groupBy(F.col(score).alias("_score")).agg(F.max(rank).alias("_last"))
+    place = F.when(F.col(total) > 1, (F.col(total) - F.col("_last")) / (F.col(total) - 1) * 100).otherwise(0.0)
+    return ranked.join(below, F.col(score).eqNullSafe(F.col("_score"))).withColumn(name, place).drop("_score", "_last")
 
 
 def vehicle_rankings(vehicles: DataFrame) -> DataFrame:
     """Ranks by score, SOH and SOC (ties by vehicle id) and a percentile category."""
-    scored = settled(vehicles.where(F.col("latest_soh").isNotNull()).select(
+    ranked = settled(vehicles.where(F.col("latest_soh").isNotNull()).select(
         "vehicle_id", "vehicle_type", "latest_soh", "latest_soc",
         F.col("cell_balance_index").alias("avg_efficiency"), overall_score().alias("overall_score"),
     ))
-    ranked = percentile(scored, "overall_score", "_pct")
-    for name, column in (("overall_rank", "overall_score"), ("soh_rank", "latest_soh"), ("soc_rank", "latest_soc")):
-        place = global_row_number(scored.select("vehicle_id", column), name, F.col(column), ["vehicle_id"], 0.01)
-        ranked = ranked.join(place.select("vehicle_id", name), "vehicle_id")
-    return ranked.withColumn(
+    for name, column in (("soh_rank", "latest_soh"), ("soc_rank", "latest_soc"), ("overall_rank", "overall_score")):
+        order = [F.col(column).desc_nulls_last(), F.col("vehicle_id").asc()]
+        ranked = global_row_number(ranked, name, order, total="_total" if name == "overall_rank" else None)
+    return percentile(ranked, "overall_score", "overall_rank", "_total", "_pct").withColumn(
         "performance_category", E.grade("_pct", (90, 75, 50), CATEGORIES)
-    ).drop("_pct")
+    ).drop("_pct", "_total")
 
 
 def top_vehicles(
