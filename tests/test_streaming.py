@@ -59,16 +59,28 @@ def test_unmatched_rows_come_after_the_watermark(spark, feed, make, tmp_path):
     assert got == [(1, 9.0), (2, None), (3, 8.0)]
 
 
-def test_refresh_replaces_only_touched_days(spark, feed, tmp_path):
-    place = str(tmp_path / "result")
+def test_refresh_merges_partials_of_touched_days(spark, feed, make, tmp_path):
+    place, measures = str(tmp_path / "result"), {"id": F.col("event_id")}
+
+    def days(rows):
+        return rows.withColumn("day", F.to_date("msg_ts"))
+
+    def stored():
+        return {str(r["day"]): (r["data_points"], r["id_sum"], r["id_min"], r["id_max"], r["avg_id"]) for r in streams.refreshed(spark, place, measures).collect()}
+
+    def go(rows):
+        streams.refresh_result(days(feed(rows)), place, str(tmp_path / "state"), ["device_no"], measures)
+        return stored()
+
+    assert go([row(1, 0), row(2, 5), row(3, 1500)]) == {"2024-01-01": (2, 3, 1, 2, 1.5), "2024-01-02": (1, 3, 3, 3, 3.0)}
+    files = {p.name for p in (tmp_path / "result" / "day=2024-01-01").iterdir()}
+    after = go([row(4, 1600)])
+    assert after == {"2024-01-01": (2, 3, 1, 2, 1.5), "2024-01-02": (2, 7, 3, 4, 3.5)}
+    assert {p.name for p in (tmp_path / "result" / "day=2024-01-01").iterdir()} == files  # left alone
+    # the second batch again, and a batch of which only one day had been stored
+    streams.merge_batch(days(make(LAYOUT, [row(4, 1600)])), 1, place, ["device_no"], measures)
+    assert stored() == after
+    streams.merge_batch(days(make(LAYOUT, [row(9, 0), row(4, 1600)])), 1, place, ["device_no"], measures)
+    assert stored() == {"2024-01-01": (3, 12, 1, 9, 4.0), "2024-01-02": (2, 7, 3, 4, 3.5)}
+    assert not any(p.is_dir() and p.name.startswith("batch=") for p in tmp_path.rglob("*"))
 
-    def counts(rows):
-        return rows.groupBy("day").agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
-
-    def go(stream):
-        rows = stream.withColumn("day", F.to_date("msg_ts"))
-        streams.refresh_result(rows, str(tmp_path / "rows"), place, str(tmp_path / "state"), counts)
-        return {str(r["day"]): (r["n"], r["last"]) for r in spark.read.parquet(place).collect()}
-
-    assert go(feed([row(1, 0), row(2, 5), row(3, 1500)])) == {"2024-01-01": (2, 2), "2024-01-02": (1, 3)}
-    assert go(feed([row(4, 1600)])) == {"2024-01-01": (2, 2), "2024-01-02": (2, 4)}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.functions import expr as E
+from voltlake.operators.sequence import settled
 from voltlake.plans.anomaly import rule_anomalies
 
 
@@ -101,27 +102,58 @@ def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
     query.awaitTermination()
 
 
-def refresh_result(
-    stream: DataFrame, rows_path: str, result_path: str, checkpoint: str,
-    plan: Callable[[DataFrame], DataFrame], day: str = "day",
+def partials(rows: DataFrame, keys: Sequence[str], measures: Mapping[str, Column], day: str = "day") -> DataFrame:
+    """What can be merged later, per day and keys: rows, and sum, count, least and largest of every measure."""
+    parts = [F.count(F.lit(1)).alias("data_points")]
+    for name, value in measures.items():
+        parts += [F.sum(value).alias(f"{name}_sum"), F.count(value).alias(f"{name}_count"), F.min(value).alias(f"{name}_min"), F.max(value).alias(f"{name}_max")]
+    return rows.groupBy(day, *keys).agg(*parts)
+
+
+def _merged(parts: DataFrame, keys: Sequence[str], day: str) -> DataFrame:
+    merge = {"_min": F.min, "_max": F.max}
+    values = [name for name in parts.columns if name not in (day, *keys)]
+    return parts.groupBy(day, *keys).agg(*[merge.get(name[-4:], F.sum)(name).alias(name) for name in values])
+
+
+def merge_batch(
+    batch: DataFrame, batch_id: int, path: str, keys: Sequence[str], measures: Mapping[str, Column], day: str = "day",
 ) -> None:
-    """Keep a stored per-day result current: only the days a batch touches are recomputed and replaced.
+    """Merge one batch into the partials stored by day; only its days are replaced.
 
-    Batches are stored under their id, so a batch that is repeated after a failure replaces itself.
+    Each stored day names the last batch merged into it. A batch that comes again, after a failure between the
+    days, is merged only into the days that lack it.
     """
+    spark = batch.sparkSession
+    fresh = settled(partials(batch, keys, measures, day))
+    layout = fresh.withColumn("last_batch", F.lit(0).cast("long"))
+    layout.where("false").write.mode("ignore").partitionBy(day).parquet(path)
+    stored = spark.read.schema(layout.schema).parquet(path)
+    done = stored.where(F.col("last_batch") >= batch_id).select(day).distinct()
+    missing = fresh.join(done, day, "left_anti")
+    touched = stored.drop("last_batch").join(missing.select(day).distinct(), day, "left_semi")
+    merged = settled(_merged(touched.unionByName(missing), keys, day))
+    (
+        merged.withColumn("last_batch", F.lit(batch_id).cast("long")).write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    )
+
+
+def refresh_result(
+    stream: DataFrame, path: str, checkpoint: str, keys: Sequence[str], measures: Mapping[str, Column], day: str = "day",
+) -> None:
+    """Keep per-day statistics of a stream current from stored partials; no raw row is kept or read again."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").partitionBy(day).parquet(f"{rows_path}/batch={batch_id}")
-        days = spark.read.parquet(f"{rows_path}/batch={batch_id}").select(day).distinct()
-        stored = spark.read.option("recursiveFileLookup", False).parquet(rows_path).drop("batch")
-        touched = stored.join(days, day, "left_semi")
-        (
-            plan(touched).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy(day).parquet(result_path)
-        )
+        merge_batch(batch, batch_id, path, keys, measures, day)
 
     stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def refreshed(spark: SparkSession, path: str, measures: Sequence[str], day: str = "day") -> DataFrame:
+    """The stored partials with the mean of every measure."""
+    found = spark.read.parquet(path).drop("last_batch")
+    return found.withColumns({f"avg_{m}": F.col(f"{m}_sum") / F.nullif(F.col(f"{m}_count"), F.lit(0)) for m in measures})
+
+
 def read_result(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
