@@ -30,6 +30,44 @@ _REPORT = """SELECT device_no, CAST(30 AS INT) AS prediction_days, f.predicted_s
   LEFT JOIN (SELECT device_no, CAST(least(30, count(*)) AS INT) AS history_rows FROM bms_long WHERE soh > 0 GROUP BY 1) h USING (device_no)"""
 
 
+# The seasonal model: a row of columns per day, their Gram matrix, Gauss and Jordan's elimination on it.
+_BENDS, _WAVES, _RIDGE = 5, 3, 0.0001
+_COLUMNS = ["1.0", "t", *[f"greatest(0.0, t - 0.8 * {i + 1} / {_BENDS + 1})" for i in range(_BENDS)],
+            *[f"{wave}(day * (2 * pi() * {k + 1} / {forecast.YEAR_DAYS}))" for k in range(_WAVES) for wave in ("sin", "cos")]]
+_K = len(_COLUMNS)
+_DAILY = "SELECT CAST(msg_ts AS DATE) AS ds, avg(soh) AS y FROM bms_long WHERE soh IS NOT NULL GROUP BY 1 HAVING count(*) >= 5"
+_FRAME = "SELECT min(ds) AS origin, CAST(greatest(max(ds) - min(ds), 1) AS DOUBLE) AS span FROM daily"
+
+
+def _columns_of(date: str, rows: str) -> str:
+    day = f"SELECT *, CAST({date} - origin AS DOUBLE) AS day FROM {rows}, frame"
+    return f"SELECT *, CAST([{', '.join(_COLUMNS)}] AS DOUBLE[]) AS x FROM (SELECT *, day / span AS t FROM ({day}))"
+
+
+_AHEAD = """(SELECT device_no, CAST(k AS INT) AS days_from_now, CAST(CAST(max(msg_ts) AS DATE) + to_days(CAST(k AS INT)) AS DATE) AS date
+    FROM bms_long, range(1, 31) n(k) WHERE soh IS NOT NULL GROUP BY device_no, k)"""
+_DESIGN = f"SELECT list_append(x, y) AS x FROM ({_columns_of('ds', 'daily')})"
+_GRAM = f"""SELECT list(line ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS line FROM (
+    SELECT i, j, sum(x[i] * x[j]) AS v FROM design, range(1, {_K + 2}) a(i), range(1, {_K + 2}) b(j) GROUP BY ALL) GROUP BY i)"""
+_SOLVED = f"""SELECT 1 AS k, list_transform(range(1, {_K + 1}), lambda i: list_transform(range(1, {_K + 2}),
+    lambda j: m[i][j] + CASE WHEN i = j AND i > 1 THEN {_RIDGE} * m[1][1] ELSE 0 END)) AS a FROM gram
+  UNION ALL SELECT k + 1, list_transform(range(1, {_K + 1}), lambda i: list_transform(range(1, {_K + 2}),
+    lambda j: CASE WHEN i = k THEN a[k][j] / a[k][k] ELSE a[i][j] - a[i][k] * a[k][j] / a[k][k] END)) FROM solved WHERE k <= {_K}"""
+_MODEL = f"SELECT list_transform(range(1, {_K + 1}), lambda i: a[i][{_K + 1}]) AS b FROM solved WHERE k = {_K + 1}"
+_SIGMA = f"SELECT sqrt(avg((x[{_K + 1}] - list_dot_product(x[1:{_K}], b)) ** 2)) AS sigma FROM design, model"
+_SEASONAL_ROWS = f"""SELECT device_no, date, days_from_now, {r('greatest(0, least(100, p))', 2)} AS predicted_soh,
+    {r(f'greatest(0, least(100, p - {forecast.Z80} * sigma))', 2)} AS lower_bound, {r(f'greatest(0, least(100, p + {forecast.Z80} * sigma))', 2)} AS upper_bound
+  FROM (SELECT *, list_dot_product(x, b) AS p FROM ({_columns_of('date', _AHEAD)}), model, sigma)"""
+_SEASONAL = {
+    "daily": _DAILY, "frame": _FRAME, "design": _DESIGN, "gram": _GRAM, "solved": _SOLVED, "model": _MODEL, "sigma": _SIGMA,
+    "seasonal": _SEASONAL_ROWS,
+}
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 def _report(s, d):
     rows = X.bms_long(s, d)
     out = forecast.soh_report(rows, forecast.forecast_soh_linear(rows, 30))
@@ -43,7 +81,8 @@ def _seasonal(s, d):
 
 
 def _seasonal_report(s, d):
-    return forecast.soh_report(X.bms_long(s, d), _seasonal(s, d)).withColumn("history", F.size("history"))
+    out = forecast.soh_report(X.bms_long(s, d), _seasonal(s, d))
+    return out.withColumn("history_rows", F.size("history")).drop("history", "message")
 
 
 def _features(s, d):
@@ -79,8 +118,11 @@ CHECKS = [
           "predicted_soh degradation_rate average_degradation_rate confidence"),
     check("recent_history", lambda s, d: forecast.recent_history(X.bms_long(s, d)),
           with_views("SELECT device_no, car_type, event_id, msg_ts, soh FROM bms_long WHERE soh > 0 QUALIFY row_number() OVER (PARTITION BY device_no ORDER BY msg_ts DESC, event_id DESC) <= 30", "bms_long")),
-    check("forecast_soh_seasonal", _seasonal),
-    check("soh_report_seasonal", _seasonal_report),
+    check("forecast_soh_seasonal", _seasonal, _recursive(with_views("SELECT * FROM seasonal", "bms_long", **_SEASONAL))),
+    check("soh_report_seasonal", _seasonal_report,
+          _recursive(with_views("SELECT * FROM report", "bms_long", rates=_RATES, compared=_COMPARED, conf=_CONF, **_SEASONAL,
+                                linear="SELECT device_no, days_from_now, predicted_soh FROM seasonal", report=_REPORT)),
+          "degradation_rate average_degradation_rate confidence"),
     check("energy_features", _features,
           with_views(f"""SELECT time, device_no, car_type, {', '.join(energy.SENSORS)}, pack_volt * pack_current AS instant_power_w, pack_volt * pack_current / 1000 AS instant_power_kw,
   CAST(hour(time) AS INT) AS hour, CAST(isodow(time) - 1 AS INT) AS day_of_week, CAST(month(time) AS INT) AS month, CAST(month(time) % 12 // 3 AS INT) AS season,

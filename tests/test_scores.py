@@ -83,6 +83,16 @@ def test_paging(make):
     assert tuple(D.page_info(df, 20).first()) == (51, 3)
 
 
+@pytest.mark.parametrize("order", ["asc", "desc"])
+def test_cursor_walks_all_pages(make, order):
+    df = make("id int, v double", [(i, float(i // 7)) for i in range(40)] + [(90 + i, None) for i in range(9)])
+    whole, after, seen = [r["id"] for r in D.paginate(df, "v", "id", order, 1, 99).collect()], None, []
+    while page := D.paginate_after(df, "v", "id", after, order, 6).collect():
+        seen += [r["id"] for r in page]
+        after = (page[-1]["v"], page[-1]["id"])
+    assert seen == whole
+
+
 # ---------------------------------------------------------------- forecasts and models
 
 

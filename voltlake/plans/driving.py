@@ -22,9 +22,8 @@ def driving_patterns(
     rows = bms.where(F.col("soc").isNotNull()).select(
         row_id, "device_no", "car_type", "msg_ts", "soc", "mod_avg_temp", rounded(E.power_w(), 2).alias("power_w"),
     )
-    order = ["msg_ts", row_id]
-    stepped = unsliced(lagged(sliced(rows, DEVICE, "msg_ts", [row_id]), DEVICE, order, {"prev_soc": "soc"}))
-    placed = with_position(stepped, gps, False, take=["speed"], tolerance_s=S.NEAR_SECONDS, row_id=row_id, gps_id=gps_id)
+    placed = with_position(
+        rows, gps, False, take=["speed"], tolerance_s=S.NEAR_SECONDS, row_id=row_id, gps_id=gps_id, lags={"prev_soc": "soc"})
     drop = F.when(F.col("prev_soc") > F.col("soc"), E.safe_div(F.col("prev_soc") - F.col("soc"), F.abs("power_w")) * 1000)
     return placed.groupBy("device_no", "car_type", E.driving_mode("speed", "above").alias("driving_mode")).agg(
         F.avg("power_w").alias("avg_power"), F.stddev_samp("power_w").alias("power_variability"),
@@ -166,17 +165,27 @@ def segments(
     def at(test: Column, name: str) -> Column:
         return F.max(F.when(test, F.col(name)))
 
-    folded = shared.where(F.col("_seg") > 0).groupBy("device_no", "_seg").agg(
-        at(opens, "msg_ts").alias("start_time"), at(closes, "msg_ts").alias("end_time"),
-        at(opens, "soc").alias("soc_start"), at(closes, "soc").alias("soc_end"),
-        at(opens, "near_soh").alias("soh"),
-        ((at(opens, "near_pack_volt") + at(closes, "near_pack_volt")) / 2).alias("pack_volt"),
-        ((at(opens, "near_pack_current") + at(closes, "near_pack_current")) / 2).alias("_edge_current"),
-        # Upper median: sorted[n div 2], one pre-aggregated histogram per segment.
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY pack_current DESC)").alias("_median"),
-        F.count("odometer").alias("_odo_rows"),
-        F.greatest(F.lit(0.0), at(closes, "near_odometer") - at(opens, "near_odometer")).alias("_edge_km"),
+    ends = {
+        "start_time": (opens, "msg_ts"), "end_time": (closes, "msg_ts"), "soc_start": (opens, "soc"), "soc_end": (closes, "soc"),
+        "soh": (opens, "near_soh"), "_volt_a": (opens, "near_pack_volt"), "_volt_b": (closes, "near_pack_volt"),
+        "_amps_a": (opens, "near_pack_current"), "_amps_b": (closes, "near_pack_current"),
+        "_km_a": (opens, "near_odometer"), "_km_b": (closes, "near_odometer"),
+    }
+    # A row per segment and current first: the histogram in which the upper median, sorted[n div 2], is found.
+    # It is sorted on disk where it is large; no task holds a segment's currents in a buffer.
+    bars = shared.where(F.col("_seg") > 0).groupBy("device_no", "_seg", "pack_current").agg(
+        *[at(test, column).alias(name) for name, (test, column) in ends.items()],
+        F.count("odometer").alias("_odo_rows"), F.count("pack_current").alias("_n"),
     )
+    segment = Window.partitionBy("device_no", "_seg")
+    upto = F.sum("_n").over(segment.orderBy("pack_current").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    folded = bars.withColumns({"_upto": upto, "_all": F.sum("_n").over(segment)}).groupBy("device_no", "_seg").agg(
+        *[F.max(name).alias(name) for name in ends], F.sum("_odo_rows").alias("_odo_rows"),
+        F.min(F.when(F.col("_upto") > F.floor(F.col("_all") / 2), F.col("pack_current"))).alias("_median"),
+    ).withColumns({
+        "pack_volt": (F.col("_volt_a") + F.col("_volt_b")) / 2, "_edge_current": (F.col("_amps_a") + F.col("_amps_b")) / 2,
+        "_edge_km": F.greatest(F.lit(0.0), F.col("_km_b") - F.col("_km_a")),
+    })
     minutes = E.seconds_between("start_time", "end_time") / 60
     change = F.col("soc_end") - F.col("soc_start")
     kept = (

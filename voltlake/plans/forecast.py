@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
+from functools import reduce
 
-from pyspark.ml import PipelineModel
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlake.functions import expr as E
 from voltlake.functions.expr import rounded
 from voltlake.operators.select import head_per_key
-from voltlake.operators.sequence import in_sequence, running, sliced, unsliced
+from voltlake.operators.sequence import in_sequence, running, settled, sliced, unsliced
 
 YEAR_DAYS = 365.25
 Z80 = 1.2815515655446004  # half-width of an 80 % normal interval, in deviations
@@ -33,14 +31,23 @@ def daily_soh(bms: DataFrame, min_points: int = 5) -> DataFrame:
     ).where(F.col("data_count") >= min_points)
 
 
-def degradation_rates(bms: DataFrame, row_id: str = "event_id") -> DataFrame:
-    """SOH lost per day between the first and last reading of each device with at least two."""
+def _soh_ends(row_id: str) -> list[Column]:
+    """Aggregates: first and last reading, the days between them, their number."""
     at = F.struct("msg_ts", row_id)
-    ends = bms.where(F.col("soh").isNotNull()).groupBy("device_no", "car_type").agg(
+    return [
         F.min_by("soh", at).alias("first_soh"), F.max_by("soh", at).alias("last_soh"),
         (E.seconds_between(F.min("msg_ts"), F.max("msg_ts")) / 86_400).alias("days"), F.count("*").alias("points"),
-    ).where(F.col("points") >= 2)
-    return ends.withColumn("degradation_rate", E.safe_div(F.col("first_soh") - F.col("last_soh"), "days"))
+    ]
+
+
+def _rate() -> Column:
+    return E.safe_div(F.col("first_soh") - F.col("last_soh"), "days")
+
+
+def degradation_rates(bms: DataFrame, row_id: str = "event_id") -> DataFrame:
+    """SOH lost per day between the first and last reading of each device with at least two."""
+    ends = bms.where(F.col("soh").isNotNull()).groupBy("device_no", "car_type").agg(*_soh_ends(row_id))
+    return ends.where(F.col("points") >= 2).withColumn("degradation_rate", _rate())
 
 
 def compare_to_fleet(rates: DataFrame) -> DataFrame:
@@ -57,16 +64,18 @@ def compare_to_fleet(rates: DataFrame) -> DataFrame:
     )
 
 
+def _confidence(points: str, spread: Column) -> Column:
+    amount, steady = F.least(F.lit(1.0), F.col(points) / 50), F.greatest(F.lit(0.1), 1 - spread / 10)
+    return F.when(F.col(points) < 10, 0.3).otherwise(rounded(amount * 0.6 + steady * 0.4, 2))
+
+
 def forecast_confidence(bms: DataFrame) -> DataFrame:
     """Confidence from the number and spread of SOH readings; 0.3 below ten readings."""
     base = bms.where(F.col("soh") > 0).groupBy("device_no").agg(
         F.count("*").alias("points"), F.stddev_pop("soh").alias("_std")
     )
-    amount = F.least(F.lit(1.0), F.col("points") / 50)
-    steady = F.greatest(F.lit(0.1), 1 - F.col("_std") / 10)
-    score = F.when(F.col("points") < 10, 0.3).otherwise(rounded(amount * 0.6 + steady * 0.4, 2))
     return base.select(
-        "device_no", "points", score.alias("confidence"),
+        "device_no", "points", _confidence("points", F.col("_std")).alias("confidence"),
         rounded(F.least(F.lit(1.0), F.col("points") / 100), 2).alias("count_confidence"),
     )
 
@@ -111,26 +120,40 @@ def recent_history(bms: DataFrame, n: int = 30, row_id: str = "event_id") -> Dat
     return head_per_key(rows, ["device_no"], [F.col("msg_ts").desc(), F.col(row_id).desc()], n)
 
 
-def soh_report(bms: DataFrame, forecast: DataFrame, row_id: str = "event_id") -> DataFrame:
-    """One row per device: current SOH, last forecast, degradation, confidence, comparison, advice, history."""
+def soh_report(bms: DataFrame, forecast: DataFrame, row_id: str = "event_id", readings: int = 30) -> DataFrame:
+    """One row per device: current SOH, last forecast, degradation, confidence, comparison, advice, history.
+
+    Current value, ends, count and spread come from one grouped pass, written because the comparison with the type
+    reads it again; the last readings are kept to ``readings`` a device before they are shuffled.
+    """
     final = forecast.groupBy("device_no").agg(
         F.max("days_from_now").alias("prediction_days"), F.max_by("predicted_soh", "days_from_now").alias("predicted_soh")
     )
-    now = _soh_rows(bms, row_id).groupBy("device_no").agg(F.max_by("soh", F.struct("msg_ts", row_id)).alias("current_soh"))
-    rates = degradation_rates(bms, row_id)
-    history = recent_history(bms, 30, row_id).groupBy("device_no").agg(
+    at, positive = F.struct("msg_ts", row_id), F.when(F.col("soh") > 0, F.col("soh"))
+    by_type = settled(bms.where(F.col("soh").isNotNull()).groupBy("device_no", "car_type").agg(
+        *_soh_ends(row_id), F.max_by(positive, F.when(F.col("soh") > 0, at)).alias("_now"),
+        F.max(F.when(F.col("soh") > 0, at)).alias("_at"), F.count(positive).alias("_n"), F.sum(positive).alias("_sum"),
+        F.sum(positive * positive).alias("_squares"),
+    ))
+    rates = by_type.where(F.col("points") >= 2).withColumn("degradation_rate", _rate())
+    # A device counts once for its value and its confidence, whatever types its rows name.
+    whole = by_type.groupBy("device_no").agg(
+        F.max_by("_now", "_at").alias("current_soh"), F.sum("_n").alias("_n"),
+        F.sum("_sum").alias("_sum"), F.sum("_squares").alias("_squares"))
+    history = recent_history(bms, readings, row_id).groupBy("device_no").agg(
         F.sort_array(F.collect_list(F.struct("msg_ts", row_id, "soh"))).alias("history")
     )
     out = (
-        final.join(now, "device_no")
+        final.join(whole.where(F.col("current_soh").isNotNull()), "device_no")
         .join(rates.select("device_no", "degradation_rate"), "device_no", "left")
         .join(compare_to_fleet(rates).select("device_no", "average_degradation_rate", "comparison"), "device_no", "left")
-        .join(forecast_confidence(bms).select("device_no", "confidence"), "device_no", "left")
         .join(history, "device_no", "left")
     )
-    return out.withColumn("comparison", F.coalesce("comparison", F.lit("unknown"))).withColumn(
-        "_advice", recommend()
-    ).select("*", "_advice.*").drop("_advice")
+    mean = F.col("_sum") / F.col("_n")
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_squares") / F.col("_n") - mean * mean))
+    return out.withColumns({
+        "comparison": F.coalesce("comparison", F.lit("unknown")), "confidence": _confidence("_n", spread),
+    }).withColumn("_advice", recommend()).select("*", "_advice.*").drop("_advice", "_n", "_sum", "_squares")
 
 
 # ---------------------------------------------------------------- seasonal fleet model
@@ -138,9 +161,9 @@ def soh_report(bms: DataFrame, forecast: DataFrame, row_id: str = "event_id") ->
 
 @dataclass(frozen=True)
 class SeasonalModel:
-    """Trend with bends plus a yearly wave, fitted by ridge regression."""
+    """Trend with bends plus a yearly wave, fitted by ridge regression; the first coefficient is the level."""
 
-    pipeline: PipelineModel
+    coefficients: tuple[float, ...]
     origin: str
     span_days: float
     sigma: float
@@ -152,31 +175,37 @@ def _seasonal_columns(ds: str, origin: str, span_days: float, bends: int, waves:
     day = F.datediff(F.col(ds), F.lit(origin).cast("date")).cast("double")
     t = day / max(span_days, 1.0)
     # Bends lie in the first 80 % of the history, so the last slope rests on data.
-    hinges = [F.greatest(F.lit(0.0), t - 0.8 * (i + 1) / (bends + 1)).alias(f"hinge_{i}") for i in range(bends)]
+    hinges = [F.greatest(F.lit(0.0), t - 0.8 * (i + 1) / (bends + 1)) for i in range(bends)]
     year = [
-        wave(day * (2 * math.pi * (k + 1) / YEAR_DAYS)).alias(f"{name}_{k}")
-        for k in range(waves) for name, wave in (("sin", F.sin), ("cos", F.cos))
+        wave(day * (2 * math.pi * (k + 1) / YEAR_DAYS)) for k in range(waves) for wave in (F.sin, F.cos)
     ]
-    return [t.alias("t"), *hinges, *year]
+    return [t, *hinges, *year]
 
 
 def fit_soh_seasonal(daily: DataFrame, bends: int = 5, waves: int = 3, ridge: float = 1e-4) -> SeasonalModel:
     """Additive trend and yearly season on the daily fleet mean, at any length of history; the ridge keeps small
-    what the history does not show."""
+    what the history does not show.
+
+    The normal equations are one aggregate: products of all pairs of columns, summed over the days in each task.
+    The driver solves them, one equation for each column, however long the history is. ``ridge`` times the number
+    of days is added to the squares of all columns but the level's.
+    """
     first, last, count = daily.agg(F.min("ds"), F.max("ds"), F.count("*")).first()
     if count < 2:
         raise ValueError("the seasonal model needs at least two days")
-    span = float((last - first).days)
-    origin = first.isoformat()
-    columns = _seasonal_columns("ds", origin, span, bends, waves)
-    frame = daily.select("ds", F.col("y").cast("double"), *columns)
-    names = [name for name in frame.columns if name not in ("ds", "y")]
-    pipeline = Pipeline(stages=[
-        VectorAssembler(inputCols=names, outputCol="features"),
-        LinearRegression(featuresCol="features", labelCol="y", predictionCol="yhat", regParam=ridge, elasticNetParam=0.0),
-    ]).fit(frame)
-    sigma = pipeline.transform(frame).agg(F.stddev_pop(F.col("y") - F.col("yhat"))).first()[0]
-    return SeasonalModel(pipeline, origin, span, float(sigma), bends, waves)
+    span, origin = float((last - first).days), first.isoformat()
+    columns = [F.lit(1.0), *_seasonal_columns("ds", origin, span, bends, waves), F.col("y").cast("double")]
+    row = daily.where(F.col("y").isNotNull()).select(*[column.alias(f"x{i}") for i, column in enumerate(columns)])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
+    sums = row.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")) for i, j in pairs]).first()
+    gram = np.zeros((len(columns), len(columns)))
+    for (i, j), value in zip(pairs, sums):
+        gram[i, j] = gram[j, i] = value
+    inner, right, days = gram[:-1, :-1], gram[:-1, -1], gram[0, 0]
+    penalty = np.diag([0.0] + [ridge * days] * (len(inner) - 1))
+    found = np.linalg.solve(inner + penalty, right)
+    error = gram[-1, -1] - 2 * found @ right + found @ inner @ found
+    return SeasonalModel(tuple(found.tolist()), origin, span, math.sqrt(max(error, 0.0) / days), bends, waves)
 
 
 def forecast_soh_seasonal(model: SeasonalModel, starts: DataFrame, days: int) -> DataFrame:
@@ -184,12 +213,13 @@ def forecast_soh_seasonal(model: SeasonalModel, starts: DataFrame, days: int) ->
     ahead = starts.withColumn("days_from_now", F.explode(F.sequence(F.lit(1), F.lit(days))))
     dated = ahead.withColumn("date", F.date_add(F.col("last_date"), F.col("days_from_now")))
     columns = _seasonal_columns("date", model.origin, model.span_days, model.bends, model.waves)
-    scored = model.pipeline.transform(dated.select("device_no", "date", "days_from_now", *columns))
+    level, *slopes = model.coefficients
+    expected = reduce(lambda total, part: total + part[0] * F.lit(part[1]), zip(columns, slopes), F.lit(level))
 
     def value(shift: float) -> Column:
-        return rounded(E.clamp(F.col("yhat") + shift * model.sigma, 0.0, 100.0), 2)
+        return rounded(E.clamp(F.col("_expected") + shift * model.sigma, 0.0, 100.0), 2)
 
-    return scored.select(
+    return dated.withColumn("_expected", expected).select(
         "device_no", "date", "days_from_now", value(0.0).alias("predicted_soh"),
         value(-Z80).alias("lower_bound"), value(Z80).alias("upper_bound"),
     )
@@ -205,19 +235,15 @@ def last_dates(bms: DataFrame) -> DataFrame:
     return bms.where(F.col("soh").isNotNull()).groupBy("device_no").agg(F.to_date(F.max("msg_ts")).alias("last_date"))
 
 
-def save_model(model: SeasonalModel, path: str) -> None:
-    """Pipeline beside one JSON row with the frame it was fitted on."""
-    model.pipeline.write().overwrite().save(f"{path}/pipeline")
-    from pyspark.sql import SparkSession
+_MODEL = "coefficients array<double>, origin string, span_days double, sigma double, bends int, waves int"
+
 
-    row = [(model.origin, model.span_days, model.sigma, model.bends, model.waves)]
-    meta = SparkSession.active().createDataFrame(row, "origin string, span_days double, sigma double, bends int, waves int")
-    meta.write.mode("overwrite").json(f"{path}/meta")
+def save_model(model: SeasonalModel, path: str) -> None:
+    """One JSON row."""
+    row = {**asdict(model), "coefficients": list(model.coefficients)}
+    SparkSession.active().createDataFrame([row], _MODEL).coalesce(1).write.mode("overwrite").json(path)
 
 
 def load_model(path: str) -> SeasonalModel:
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.active()
-    row = spark.read.schema("origin string, span_days double, sigma double, bends int, waves int").json(f"{path}/meta").first()
-    return SeasonalModel(PipelineModel.load(f"{path}/pipeline"), *row)
+    row = SparkSession.active().read.schema(_MODEL).json(path).first().asDict()
+    return SeasonalModel(**{**row, "coefficients": tuple(row["coefficients"])})
