@@ -125,3 +125,30 @@ def test_small_join_sides_do_not_move_the_rows(spark, make, tmp_path):
     out = align.with_group_max(spark.read.parquet(str(tmp_path / "t")), "g", "v", "m")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_clustered_rows_stay_where_they_are(spark, make, tmp_path):
+    """Lag, totals and carried values read a clustered table in place: only border rows are exchanged."""
+    from voltlake.operators import sequence as Q
+
+    rows = [(i, "hot" if i % 3 else f"d{i % 7}", datetime(2024, 1, 1 + i % 27, i % 24), float(i % 50)) for i in range(600)]
+    df = make("msg_id int, device_no string, msg_ts timestamp_ntz, soc double", rows + [(900, None, datetime(2024, 1, 1), 1.0), (901, "hot", None, 2.0)])
+    name, order, key = "volt_clustered", ["msg_ts", "msg_id"], ["device_no"]
+    stored = io.write_clustered(df, name, str(tmp_path / "c"), buckets=6, rows_per_slice=64)
+    try:
+        passes = {
+            "lag": lambda t: Q.lagged(t, key, order, {"prev": "soc"}),
+            "sum": lambda t: Q.running(t, key, order, sums={"n": F.lit(1)}),
+            "last": lambda t: Q.carried(t, key, order, lasts={"last": F.when(F.col("soc") > 20, F.col("soc"))}),
+        }
+        plain = Q.sliced(df, key, "msg_ts", ["msg_id"])
+        for name_of, run in passes.items():
+            plan = run(stored)._jdf.queryExecution().executedPlan().toString()
+            assert "Bucketed: true" in plan
+            lines = plan.splitlines()
+            for i, line in enumerate(lines):  # every exchange stands over the partial aggregate of a slice or its one row
+                if "Exchange hashpartitioning" in line:
+                    assert "HashAggregate" in lines[i + 1] or "SortAggregate" in lines[i + 1] or "ObjectHashAggregate" in lines[i + 1], line
+            assert sorted(map(str, Q.unsliced(run(stored)).collect())) == sorted(map(str, Q.unsliced(run(plain)).collect()))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from voltlake import schema as S
 from voltlake.functions.expr import as_timestamp
 from voltlake.operators.clean import clean_bms, clean_gps
+from voltlake.operators.sequence import ROWS_PER_SLICE, SLICE_SECONDS, slice_keys, sliced
 
 
 def _text_schema(names: Iterable[str]) -> T.StructType:
@@ -93,6 +94,25 @@ def write_telemetry(df: DataFrame, path: str, mode: str = "append") -> None:
     write_table(df, path, "parquet", mode, ("car_type", "day"))
 
 
+def write_clustered(
+    df: DataFrame, name: str, path: str | None = None, keys: Sequence[str] = ("device_no",), ts: str = "msg_ts",
+    row_id: str = "msg_id", buckets: int | None = None, seconds: int = SLICE_SECONDS, rows_per_slice: int = ROWS_PER_SLICE,
+) -> DataFrame:
+    """Store a stream for ordered work and read it back: rows in their slices (device, time bucket, part), bucketed
+    by slice and sorted by time.
+
+    Ordered passes over the table (``sequence.lagged``, ``running``, ``carried``) find each slice whole in one bucket,
+    so they move only one row per slice. Slices are at most ``rows_per_slice`` rows, so no device fills a bucket.
+    ``buckets`` is also the number of tasks that read the table; without ``path`` the table is the warehouse's.
+    """
+    order, by = [ts, row_id], slice_keys(keys)
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = sliced(df, keys, ts, [row_id], seconds, rows_per_slice).repartition(buckets, *by)
+    writer = placed.write.mode("overwrite").format("parquet").bucketBy(buckets, *by).sortBy(*by, *order)
+    (writer.option("path", path) if path else writer).saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
 def _cleaned(raw: DataFrame, kind: str) -> DataFrame:
     return CLEAN[kind](raw.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record", "source_file"))
 
