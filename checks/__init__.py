@@ -4,7 +4,7 @@ from importlib import import_module
 
 from checks.base import Check
 
-MODULES = ("fleet", "battery", "driving", "charging", "forecast", "quality", "align", "streams")
+MODULES = ("fleet", "battery", "driving", "charging", "forecast", "quality", "align", "streams", "stored")
 
 
 def all_checks(*modules: str) -> dict[str, Check]:

@@ -268,7 +268,6 @@ FROM (SELECT * REPLACE ({r('anomaly_severity', 6)} AS anomaly_severity) FROM jud
           with_views("SELECT * FROM zfound", "bms", **_Z_CTES)),
     check("anomaly_distribution", lambda s, d: anomaly.anomaly_distribution(_zscores(s, d)),
           with_views(f"SELECT anomaly_type, count(*) AS total, {', '.join(f'''count(*) FILTER (risk_level = '{x}') AS {x}''' for x in ('critical', 'high', 'medium', 'low'))} FROM zfound GROUP BY 1", "bms", **_Z_CTES)),
-    check("explain_anomaly", lambda s, d: _zscores(s, d).select("device_no", "anomaly_description")),
     check("score_vehicle", lambda s, d: ranking.score_vehicle(X.bms(s, d, odometer=True), AS_OF),
           with_views(f"""SELECT device_no, car_type, soh, soc, pack_volt, pack_current, mod_avg_temp, odometer, cell_balance_index,
   health AS composite_health_index, last_updated, overall_score, {graded('overall_score', (90, 80, 70, 60), ('우수', '양호', '보통', '주의', '불량'))} AS performance_grade

@@ -125,16 +125,6 @@ def _tree(s, d):
     return raw.groupBy(io.type_from_path("source_file").alias("path_type"), "car_type").agg(F.count("*").alias("rows"))
 
 
-def _detected(s, d):
-    """Lists in two thirds of the values of one column, in a third of another's."""
-    e = F.col("event_id")
-    rows = X.bms(s, d).select(
-        F.when(e % 3 > 0, F.concat_ws("|", "soc", "soh", "pack_volt")).otherwise("one").alias("cells"),
-        F.when(e % 3 == 0, F.concat_ws(";", "soc", "pack_volt")).otherwise("one").alias("rare"),
-    )
-    return s.createDataFrame(list(clean.detect_list_columns(rows).items()), "column_name string, delimiter string")
-
-
 CHECKS = [
     check("ingest_incremental", _ingested, with_views(_CLEANED, "bms"), "pack_current soc"),
     check("ingest_tree_bms", _tree_bms, with_views("SELECT car_type, count(*) AS rows FROM bms GROUP BY 1", "bms")),
@@ -168,8 +158,6 @@ FROM files GROUP BY 1, 3""", "bms", files=_FILES), "mean_null_percentage"),
     check("expand_list_wide", lambda s, d: clean.expand_list(
         X.bms(s, d).select("event_id", F.concat_ws("|", "event_id", "soc", "soh", "pack_volt").alias("cells")), "cells", "|", 2),
           with_views("""SELECT event_id, cells[1] AS cells_1, cells[2] AS cells_2, cells[3] AS cells_3, cells[4] AS cells_4 FROM (SELECT event_id, string_split(concat_ws('|', event_id, soc, soh, pack_volt), '|') AS cells FROM bms)""", "bms")),
-    check("detect_list_columns", lambda s, d: _detected(s, d),
-          "SELECT 'cells' AS column_name, '|' AS delimiter FROM events LIMIT 1"),
     check("family_counts", lambda s, d: clean.add_family_counts(X.bms(s, d).select(
         "event_id", F.array("soc", "soh", "pack_volt").alias("cell_volt"), F.col("soc").alias("mod_temp_1"), F.col("mod_avg_temp").alias("mod_temp_2"),
     )).select("event_id", "cell_volt_count", "mod_temp_count"),

@@ -170,6 +170,11 @@ def test_energy_model(spark, make, tmp_path):
     names = [r["feature"] for r in energy.feature_importance(model, spark).collect()]
     assert names[0] == "pack_current" and len(names) == len(energy.FEATURES)
     assert not set(energy.LEAKING) & set(energy.train_energy_model(train, leak_free=True, trees=2, depth=2).stages[0].getInputCols())
+    errors = energy.holdout_errors(model, train, test).first()
+    assert errors["holdout_rows"] == test.count() and errors["model_error"] == pytest.approx(energy.rmse(model, test))
+    assert errors["model_error"] < 0.6 * errors["mean_error"]
+    dealt = {r["feature"]: r["importance"] for r in energy.permutation_importance(model, test).collect()}
+    assert max(dealt, key=dealt.get) == "pack_current" and abs(dealt["soh"]) < 0.05 * dealt["pack_current"]
     energy.save_model(model, str(tmp_path / "e"))
     again = energy.load_model(str(tmp_path / "e"))
     first = [r["predicted_kw"] for r in energy.predict_energy(model, test).orderBy("time").collect()]

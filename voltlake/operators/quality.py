@@ -56,6 +56,21 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = F
     )
 
 
+def distinct_sketches(df: DataFrame, columns: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """(by, column_name, sketch): a sketch of fixed size of each column's values, to be stored beside a file's profile.
+
+    Counts of distinct values cannot be added up over files, these sketches can.
+    """
+    sketches = [F.struct(F.lit(n).alias("column_name"), F.hll_sketch_agg(F.col(n).cast("string")).alias("sketch")) for n in columns]
+    return df.groupBy(*by).agg(F.array(*sketches).alias("_sketches")).select(*by, F.inline("_sketches"))
+
+
+def rollup_distinct(sketches: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Distinct values over all files of a group, from their sketches; off by about 1.6 % (one deviation)."""
+    merged = sketches.groupBy(*by, "column_name").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select(*by, "column_name", F.hll_sketch_estimate("sketch").alias("unique_count"))
+
+
 def profile_rollup(profiles: DataFrame) -> DataFrame:
     """File profiles (with car_type, kind, file, size_mb) rolled up by type, kind and column."""
     return profiles.groupBy("car_type", "kind", "column_name").agg(

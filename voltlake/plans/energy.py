@@ -6,10 +6,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlake.functions import expr as E
+from voltlake.operators.sequence import global_row_number, settled
 from voltlake.sources.points import pivot_points
 
 SENSORS = ("soc", "soh", "pack_volt", "pack_current", "mod_avg_temp", "odometer")
@@ -44,8 +45,9 @@ def train_energy_model(
 
 
 def split_features(features: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Train and hold-out rows by a hash of the row key, the same on every run."""
-    place = F.pmod(F.xxhash64("device_no", "time"), F.lit(1000))
+    """Train and hold-out rows by a hash of the row key, the same on every run and in every engine."""
+    digest = F.md5(F.encode(F.concat_ws("|", "device_no", E.micros("time").cast("string")), "utf-8"))
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 1000
     return features.where(place < int(share * 1000)), features.where(place >= int(share * 1000))
 
 
@@ -53,6 +55,35 @@ def rmse(model: PipelineModel, features: DataFrame) -> float:
     return RegressionEvaluator(labelCol=LABEL, predictionCol="predicted_kw", metricName="rmse").evaluate(model.transform(features))
 
 
+def holdout_errors(model: PipelineModel, train: DataFrame, test: DataFrame) -> DataFrame:
+    """One row: root mean square error of the model on held-out rows, beside that of the training mean."""
+    mean = train.agg(F.avg(LABEL).alias("_mean"), F.count("*").alias("train_rows"))
+
+    def error(guess: str) -> Column:
+        return F.sqrt(F.avg(F.pow(F.col(LABEL) - F.col(guess), 2)))
+
+    scored = model.transform(test).select(LABEL, "predicted_kw").join(mean)  # one row
+    return scored.agg(
+        F.max("train_rows").alias("train_rows"), F.count("*").alias("holdout_rows"),
+        error("predicted_kw").alias("model_error"), error("_mean").alias("mean_error"))
+
+
+def permutation_importance(model: PipelineModel, test: DataFrame, seed: int = 42) -> DataFrame:
+    """(feature, importance): how much the held-out error grows when a feature's values are dealt anew among the rows.
+
+    The rows are put into one random order by a hash; each row takes the value of the row behind it there, the last
+    one that of the first. One order serves all features.
+    """
+    order = [F.xxhash64(F.lit(seed), "device_no", "time").asc(), F.col("device_no").asc(), F.col("time").asc()]
+    names = list(model.stages[0].getInputCols())
+    placed = settled(global_row_number(test.select("device_no", "time", LABEL, *names), "_nth", order, total="_all"))
+    behind = placed.select((F.when(F.col("_nth") == 1, F.col("_all")).otherwise(F.col("_nth") - 1)).alias("_nth"), *[F.col(n).alias(f"_{n}") for n in names])
+    both = settled(placed.join(behind, "_nth"))
+    whole = rmse(model, both)
+    rows = [(name, rmse(model, both.withColumn(name, F.col(f"_{name}"))) - whole) for name in names]
+    return test.sparkSession.createDataFrame(rows, "feature string, importance double").orderBy(F.col("importance").desc(), "feature")
+
+
 def feature_importance(model: PipelineModel, spark) -> DataFrame:
     names = model.stages[0].getInputCols()
     values = model.stages[-1].featureImportances.toArray()
