@@ -199,6 +199,19 @@ def test_plans_use_every_piece_and_are_nearly_full(seed):
     assert (used == counts).all() and total <= 1.02 * least + 1
 
 
+@pytest.mark.parametrize("shape, scale", [(4, 300), (9, 76), (2, 500), (30, 23)])
+def test_plans_are_never_worse_than_best_fit(shape, scale):
+    lengths = np.clip(np.random.default_rng(shape).gamma(shape, scale, 20_000).astype(int), 1, 2048)
+    counts = np.bincount(lengths, minlength=2049)
+    plain = pattern_packing._plain(counts, 2048).groups()
+    chosen = pattern_packing.packed_lengths(counts, 2048)
+    assert sum(times for _, times in chosen) <= sum(times for _, times in plain)
+    used = np.zeros(2049, dtype=int)
+    for own, times in chosen:
+        np.add.at(used, list(own), times)
+    assert (used == counts).all()
+
+
 def test_repeat_counts_fit_an_exact_histogram():
     lengths = np.array([1, 2, 3, 5])
     rows = pattern_packing.patterns(lengths, 8)

@@ -123,6 +123,9 @@ class _Sequences:
             insort(self.spaces, space)
         self.open.setdefault(space, []).append((shape, times))
 
+    def groups(self) -> list[tuple[tuple[int, ...], int]]:
+        return self.done + [group for space in self.spaces for group in self.open[space]]
+
     def fit_patterns(self, over: int) -> None:
         """Patterns whose longest piece has more than `over` tokens, as often as the least-squares fit says."""
         lengths = np.flatnonzero(self.left)
@@ -168,19 +171,33 @@ class _Sequences:
                 self.left[length] -= taken
 
 
-def packed_lengths(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in a sequence, number of such sequences) that use every piece once; counts[i] is of length i.
-
-    Pieces of over half a sequence need one each, so patterns with them come first, and the spaces that such
-    pieces leave where no pattern fitted are filled before shorter pieces get sequences of their own.
-    """
+def _by_patterns(counts: np.ndarray, limit: int) -> _Sequences:
+    """Pieces of over half a sequence need one each, so patterns with them come first, and the spaces that such
+    pieces leave where no pattern fitted are filled before shorter pieces get sequences of their own."""
     own = _Sequences(counts[:limit + 1], limit)
     own.fit_patterns(limit // 2)
     own.best_fit(limit // 2 + 1, fresh=True)
     own.best_fit(1, fresh=False)
     own.fit_patterns(0)
     own.best_fit(1, fresh=True)
-    return own.done + [group for space in own.spaces for group in own.open[space]]
+    return own
+
+
+def _plain(counts: np.ndarray, limit: int) -> _Sequences:
+    """The residual packer alone: best fit of everything, longest first."""
+    own = _Sequences(counts[:limit + 1], limit)
+    own.best_fit(1, fresh=True)
+    return own
+
+
+def packed_lengths(counts: np.ndarray, limit: int) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in a sequence, number of such sequences) that use every piece once; counts[i] is of length i.
+
+    Patterns are fitted and the rest is packed by best fit. The same best fit without any pattern is planned too,
+    both on the histogram; where rounding the fit cost more sequences than it saved, that plan is taken.
+    """
+    plans = [own.groups() for own in (_by_patterns(counts, limit), _plain(counts, limit))]
+    return min(plans, key=lambda groups: sum(times for _, times in groups))
 
 
 def planned(counts: np.ndarray, limit: int) -> Plan:
