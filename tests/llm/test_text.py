@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -135,6 +137,78 @@ def test_language_counts_equal_a_plain_model(make):
     assert lang == "x" and math.isclose(score, float(np.exp(total[0]) / np.exp(total).sum()))
 
 
+def plain_buckets(text, buckets=language_id.BUCKETS):
+    """N-grams of one to three code points, one at a time, hashed with Python's numbers."""
+    folded = " " + "".join(c if c.isalpha() or unicodedata.category(c).startswith("M") else "\0" for c in text.lower())
+    folded = re.sub("\0+", " ", folded).strip().join("  ")
+    found = Counter()
+    for n in (1, 2, 3):
+        for i in range(len(folded) - n + 1):
+            h = n
+            for c in folded[i:i + n]:
+                h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            found[h % buckets] += 1
+    return found
+
+
+def plain_language(rows):
+    """(doc_id, text, lang) to {doc_id: (held out, language, posterior)}, a language and a bucket at a time."""
+    held = {i: zlib.crc32(b"" if i is None else str(i).encode()) % 4 == 2 for i, _, _ in rows}
+    counts, docs = defaultdict(Counter), Counter()
+    for i, text, lang in rows:
+        if lang is not None and not held[i]:
+            docs[lang] += 1
+            counts[lang].update(plain_buckets(text) if text is not None else {})
+    out = {}
+    for i, text, _ in rows:
+        if text is None or not docs or not any(c.isalpha() for c in text):
+            out[i] = (held[i], "und", 0.0)
+            continue
+        score = {}
+        for lang in sorted(docs):
+            size = sum(counts[lang].values()) + 0.5 * language_id.BUCKETS
+            score[lang] = math.log(docs[lang] / sum(docs.values())) + sum(
+                n * (math.log(counts[lang][b] + 0.5) - math.log(size)) for b, n in plain_buckets(text).items())
+        best = max(score, key=lambda x: (score[x], [-ord(c) for c in x]))
+        out[i] = (held[i], best, 1 / sum(math.exp(v - score[best]) for v in score.values()))
+    return out
+
+
+@pytest.mark.parametrize("section, group", [(1 << 18, 1 << 21), (7, 40)])
+def test_language_query_equals_plain_loops(make, monkeypatch, section, group):
+    monkeypatch.setattr(language_id, "SECTION", section)
+    monkeypatch.setattr(language_id, "GROUP", group)
+    rng = random.Random(4)
+    words = {"en": "the of and house tree water", "de": "der die und Haus Bäume Wasser", "xx": "漢字 かな e\u0301te\u0301 ΣΑΣ İstanbul"}
+    rows = []
+    for i in range(60):
+        lang = rng.choice(list(words))
+        text = " ".join(rng.choice(words[lang].split()) for _ in range(rng.choice([1, 5, 40]))) + rng.choice(["", ".", " 12 !"])
+        rows.append((i, rng.choice([text] * 8 + [None, "", "1 2 3"]), rng.choice([lang] * 5 + [None])))
+    rows.append((99, " ".join(words["de"].split() * 300), "de"))
+    got = {r["doc_id"]: (r["held_out"], r["lang_pred"], r["score"]) for r in language_id.identified(make("doc_id long, text string, lang string", rows)).collect()}
+    want = plain_language(rows)
+    assert {i: v[:2] for i, v in got.items()} == {i: v[:2] for i, v in want.items()}
+    assert all(math.isclose(got[i][2], want[i][2], rel_tol=1e-6, abs_tol=1e-9) for i in want)
+
+
+@pytest.mark.parametrize("section", [1, 2, 3, 10, 1000])
+def test_counts_do_not_depend_on_sections(monkeypatch, section):
+    text = "Stra\u00dfe e\u0301 ΣΑΣ — 12 x" * 20
+    whole = np.bincount(language_id.bucket_ids(text), minlength=language_id.BUCKETS)
+    monkeypatch.setattr(language_id, "SECTION", section)
+    assert (language_id.sparse_counts(text) == whole).all()
+    assert {int(b): int(n) for b, n in enumerate(whole) if n} == plain_buckets(text)
+
+
+def test_missing_labels_are_filled_by_the_model(make):
+    rows = [(i, "the house and the tree of water", "en") for i in range(20)] + [(100 + i, "der Baum und das Haus am Wasser", "de") for i in range(20)]
+    rows += [(200, "das Wasser und der Baum", None), (201, "the water and the house", None), (202, "12 34", None), (203, None, "en"), (204, "das Haus und der Baum", "en")]
+    kept = {r["doc_id"]: r["lang"] for r in language_id.recognised(make("doc_id long, text string, lang string", rows)).collect()}
+    assert kept[200] == "de" and kept[201] == "en" and 202 not in kept and 203 not in kept and kept[204] == "en"
+
+
 def test_language_edges(edge, empty):
     got = language_id.identified(edge).collect()
     assert len(got) == edge.count()
@@ -243,7 +317,7 @@ def plain_split(run, counts, total):
     for end in range(1, len(run) + 1):
         for start in range(end):
             part = run[start:end]
-            n = counts.get(part, 0) if len(part) <= url_filter.LONGEST else 0
+            n = counts.get(part, 0)
             if n or len(part) == 1:
                 value = best[start][0] + (math.log(n / total) if n else math.log(0.1 / total))
                 if end not in best or value > best[end][0]:
@@ -259,7 +333,7 @@ PAGES = [
 
 
 def plain_judgement(rows, texts, rules):
-    counts = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()) if len(w) <= url_filter.LONGEST)
+    counts = Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
     total = max(1, sum(counts.values()))
     parsed = []
     for page, url in rows:
@@ -288,6 +362,19 @@ def plain_judgement(rows, texts, rules):
     return out
 
 
+def test_long_corpus_words_stay_whole_in_hosts(make):
+    """German compounds of 30 letters and more, beside the short words that they are made of."""
+    whole = "donaudampfschifffahrtsgesellschaftskapitaen"
+    texts = make("text string", [(f"{whole} {whole} donau dampf schiff fahrt kapitaen",), ("a" * 400,)] + [("der die das",)] * 5)
+    runs = make("run string", [(whole,), ("donaukapitaen",), ("derdampf" + whole,), ("xx",)])
+    got = {r["run"]: r["words"] for r in url_filter.segmented(runs, url_filter.word_counts(texts)).collect()}
+    assert got == {whole: [whole], "donaukapitaen": ["donau", "kapitaen"], "derdampf" + whole: ["der", "dampf", whole], "xx": ["x", "x"]}
+    counts = Counter({whole: 2, "donau": 1, "dampf": 1, "schiff": 1, "fahrt": 1, "kapitaen": 1, "a" * 400: 1, "der": 5, "die": 5, "das": 5})
+    assert all(words == plain_split(run, counts, sum(counts.values())) for run, words in got.items())
+    none = url_filter.segmented(runs, url_filter.word_counts(texts.where("false")))
+    assert {r["run"]: r["words"] for r in none.collect()}["xx"] == ["x", "x"]
+
+
 def test_url_filter(make, spark):
     texts = ["free bets and best news", "the free press", None, "bets bets best", "shop"]
     frame = make("page_id long, url string, token string, rule string", [(*p, "clash", "x") for p in PAGES])

@@ -4,12 +4,13 @@ Every text is lower-cased, runs of anything but letters become one space, and it
 points, hashed into BUCKETS, are counted with numpy. Training counts come from all training rows: each task
 adds up its rows per language and Spark sums the (language, bucket) counts of the tasks. The matrix of
 smoothed log probabilities, one row a language, is bounded by BUCKETS and the number of languages; it is
-broadcast, and each document's score is the sum over the buckets that it has.
+broadcast. Documents are scored many at a time: their buckets and counts stand in one sparse matrix, whose rows
+meet the log probabilities in one gather and one segmented sum.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,38 +26,43 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
 UNKNOWN = "und"
-#: Texts are scored in pieces of so many code points, so that a long one needs no more memory than a short one.
-PIECE = 1 << 18
+#: N-grams of so many starting places are hashed at a time, so that a long text needs little more than itself.
+SECTION = 1 << 18
+#: Entries of the sparse matrix scored at a time.
+GROUP = 1 << 21
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
-def bucket_ids(text: str, orders=ORDERS, buckets: int = BUCKETS) -> np.ndarray:
-    """Hashed n-grams of a text in order, with repeats."""
+def bucket_sections(text: str, orders=ORDERS, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
+    """Hashed n-grams of a whole text with repeats, a section of starting places at a time.
+
+    The text is folded whole and n-grams reach over the end of their section, so sections change no count.
+    """
     folded = " " + _OTHER.sub(" ", text.lower()).strip() + " "
-    points = np.frombuffer(folded.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    found = []
-    for n in orders:
-        if len(points) < n:
-            continue
-        mixed = np.full(len(points) - n + 1, n, dtype=np.uint64)
-        for i in range(n):
-            mixed = (mixed ^ points[i:len(points) - n + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-            mixed ^= mixed >> np.uint64(29)
-        found.append((mixed % np.uint64(buckets)).astype(np.int64))
-    return np.concatenate(found)
+    points = np.frombuffer(folded.encode("utf-32-le"), dtype=np.uint32)
+    for begin in range(0, len(points), SECTION):
+        for n in orders:
+            end = min(begin + SECTION, len(points) - n + 1)
+            if end <= begin:
+                continue
+            mixed = np.full(end - begin, n, dtype=np.uint64)
+            for i in range(n):
+                mixed = (mixed ^ points[begin + i:end + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                mixed ^= mixed >> np.uint64(29)
+            yield (mixed % np.uint64(buckets)).astype(np.int64)
 
 
-def pieces(text: str, size: int = PIECE) -> Iterator[str]:
-    for at in range(0, len(text), size):
-        yield text[at:at + size]
+def bucket_ids(text: str, orders=ORDERS, buckets: int = BUCKETS) -> np.ndarray:
+    """Hashed n-grams of a text, with repeats."""
+    return np.concatenate(list(bucket_sections(text, orders, buckets)))
 
 
 def sparse_counts(text: str, buckets: int = BUCKETS) -> np.ndarray:
     """Counts by bucket of a whole text."""
     total = np.zeros(buckets, dtype=np.int64)
-    for piece in pieces(text):
-        total += np.bincount(bucket_ids(piece, buckets=buckets), minlength=buckets)
+    for ids in bucket_sections(text, buckets=buckets):
+        total += np.bincount(ids, minlength=buckets)
     return total
 
 
@@ -68,14 +74,40 @@ class Model:
 
     def score(self, text: str | None) -> tuple[str, float]:
         """Most probable language and its posterior; the first in name order wins a tie."""
-        if text is None or not self.languages or not _LETTER.search(text):
-            return UNKNOWN, 0.0
-        total = self.log_priors.copy()
-        for piece in pieces(text):
-            ids, counts = np.unique(bucket_ids(piece, buckets=self.log_probs.shape[1]), return_counts=True)
-            total += self.log_probs[:, ids] @ counts
-        best = int(np.argmax(total))
-        return self.languages[best], float(1.0 / np.exp(total - total[best]).sum())
+        return self.score_all([text])[0]
+
+    def score_all(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """`score` of each text, in groups of about GROUP entries of the sparse matrix."""
+        found: list[tuple[str, float]] = []
+        rows: list[tuple[np.ndarray, np.ndarray]] = []
+        places: list[int] = []
+        entries = 0
+        for text in texts:
+            found.append((UNKNOWN, 0.0))
+            if text is None or not self.languages or not _LETTER.search(text):
+                continue
+            counts = sparse_counts(text, self.log_probs.shape[1])
+            at = np.flatnonzero(counts)
+            rows.append((at, counts[at]))
+            places.append(len(found) - 1)
+            entries += len(at)
+            if entries >= GROUP:
+                self._fill(found, places, rows)
+                rows, places, entries = [], [], 0
+        if rows:
+            self._fill(found, places, rows)
+        return found
+
+    def _fill(self, found: list, places: list[int], rows: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """Scores of the rows of a sparse matrix: (buckets, counts) each, never empty."""
+        buckets, counts = (np.concatenate(part) for part in zip(*rows))
+        starts = np.cumsum([0, *(len(at) for at, _ in rows[:-1])])
+        total = np.stack([np.add.reduceat(probs[buckets] * counts, starts) for probs in self.log_probs]) + self.log_priors[:, None]
+        best = np.argmax(total, axis=0)
+        peak = total[best, np.arange(len(rows))]
+        posterior = 1.0 / np.exp(total - peak).sum(axis=0)
+        for place, language, value in zip(places, best.tolist(), posterior.tolist()):
+            found[place] = (self.languages[language], value)
 
 
 def train(docs: DataFrame, buckets: int = BUCKETS) -> Model:
@@ -92,8 +124,8 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> Model:
                 if name not in sums:
                     sums[name], seen[name] = np.zeros(buckets, dtype=np.int64), 0
                 seen[name] += 1
-                for piece in pieces(text or ""):
-                    sums[name] += np.bincount(bucket_ids(piece, buckets=buckets), minlength=buckets)
+                if text is not None:
+                    sums[name] += sparse_counts(text, buckets)
         for name, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays(
@@ -123,10 +155,10 @@ def predicted(docs: DataFrame, model: Model, lang: str = "lang_pred", posterior:
     """`docs` with columns `lang` and `posterior`, from the text alone; `und` and 0 for a text that is null or
     has no letter.
 
-    Rows are scored one by one, so repeated rows agree; an empty table gives no rows. Columns of those names
-    are replaced, all others kept.
+    A row's score is a sum over its own buckets, so repeated rows agree; an empty table gives no rows. Columns of
+    those names, in any case, are replaced, all others kept.
     """
-    kept = docs.select(*[c for c in docs.columns if c not in (lang, posterior)])
+    kept = docs.select(*[c for c in docs.columns if c.lower() not in (lang.lower(), posterior.lower())])
     layout = T.StructType([*kept.schema.fields, T.StructField(lang, T.StringType()), T.StructField(posterior, T.DoubleType())])
     at = kept.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -134,7 +166,7 @@ def predicted(docs: DataFrame, model: Model, lang: str = "lang_pred", posterior:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            found = [model.score(text.as_py()) for text in batch.column(at)]
+            found = model.score_all(text.as_py() for text in batch.column(at))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 names=[*batch.schema.names, lang, posterior])
@@ -152,12 +184,14 @@ def identified(docs: DataFrame) -> DataFrame:
 def recognised(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, all columns, whose text has a language; rejected are texts that are null or have no letter.
 
-    The model names the language of every other text and rejects none, however low the posterior. Where no row
-    that is not held out has a label it knows no language, and the letters alone decide.
+    The model names the language of every other text: where `lang` is null its prediction is filled in, a given
+    label stays. It rejects none, however low the posterior. Where no row that is not held out has a label it knows
+    no language, and the letters alone decide. Empty texts go, repeated rows share their fate, an empty table gives
+    no rows.
     """
     model = train(docs.where(~held_out()))
     if not model.languages:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     lang, posterior = unused(docs, "_lang"), unused(docs, "_posterior")
     scored = predicted(docs, model, lang, posterior)
-    return scored.where(F.col(lang) != UNKNOWN).select(*docs.columns)
+    return scored.where(F.col(lang) != UNKNOWN).withColumn("lang", F.coalesce("lang", lang)).select(*docs.columns)

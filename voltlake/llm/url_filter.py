@@ -1,8 +1,8 @@
 """URL filter: longest matching rule, else naive Bayes over segmented host names and path tokens.
 
 Word counts of the corpus text give a unigram model. The letter runs of every distinct host are looked up in
-it by all their substrings (a join, so neither the word list nor the hosts need fit anywhere whole), and
-Viterbi picks the split of highest probability. Naive Bayes learns from the pages that a rule decides: words
+it by all their substrings of such lengths as words have (a join, so neither the word list nor the hosts need fit
+anywhere whole), and Viterbi picks the split of highest probability. Naive Bayes learns from the pages that a rule decides: words
 of the host (without its last label, which the rules name) and tokens of the path. All of it is done for
 distinct hosts and distinct (host, path); pages meet their verdict in one join at the end.
 """
@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 from voltlake.llm.common import saved, text_or_empty
 
 ALLOW, BLOCK = "allow", "block"
-#: Longest word that the unigram model knows; longer ones in the corpus are no words of a host name.
-LONGEST = 24
 SMOOTHING = 1.0
 LETTERS = r"[^\p{L}]+"
 
@@ -47,9 +45,9 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) of the lower-case letter runs of at most LONGEST letters in column text, over all rows."""
+    """(word, n) of the lower-case letter runs in column text, over all rows and of any length."""
     words = texts.select(F.explode(F.split(F.lower(text_or_empty()), LETTERS)).alias("word"))
-    return words.where((F.col("word") != "") & (F.length("word") <= LONGEST)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.where(F.col("word") != "").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[str]:
@@ -61,11 +59,13 @@ def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[
     total = max(total, 1)
     unknown = math.log(0.1 / total)
     score, back = [0.0] + [-math.inf] * len(run), [0] * (len(run) + 1)
+    ending: dict[int, list[int]] = {}
+    for start, size in sorted(known):
+        ending.setdefault(start + size, []).append(start)
     for end in range(1, len(run) + 1):
-        for start in range(max(0, end - LONGEST), end):
+        starts = ending.get(end, [])
+        for start in starts if end - 1 in starts else [*starts, end - 1]:
             n = known.get((start, end - start), 0)
-            if not n and end - start > 1:
-                continue
             value = score[start] + (math.log(n / total) if n else unknown)
             if value > score[end]:
                 score[end], back[end] = value, start
@@ -77,11 +77,18 @@ def best_split(run: str, known: dict[tuple[int, int], int], total: int) -> list[
 
 
 def segmented(runs: DataFrame, words: DataFrame) -> DataFrame:
-    """(run, words) of the distinct letter runs in `runs`, split by the counts in `words`."""
+    """(run, words) of the distinct letter runs in `runs`, split by the counts in `words`.
+
+    The driver learns which word lengths there are up to the longest run, one number each; only substrings of these
+    lengths are looked up. Longer words count in the total and cannot stand in a run.
+    """
     words = saved(words)
     total = words.agg(F.sum("n")).first()[0] or 0
+    longest = runs.agg(F.max(F.length("run"))).first()[0] or 0
+    sizes = sorted(r[0] for r in words.select(F.length("word").alias("size")).where(F.col("size") <= longest).distinct().collect())
     spots = runs.select("run", F.explode(F.sequence(F.lit(1), F.length("run"))).alias("start")).select(
-        "run", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - F.col("start") + 1))).alias("size"))
+        "run", "start", F.explode(F.array(*[F.lit(n) for n in sizes]).cast("array<int>")).alias("size")
+    ).where(F.col("size") <= F.length("run") - F.col("start") + 1)
     parts = spots.select("run", "start", "size", F.expr("substring(run, start, size)").alias("word"))
     met = parts.join(words, "word").groupBy("run").agg(F.collect_list(F.struct("start", "size", "n")).alias("known"))
     ready = runs.join(met, "run", "left")
