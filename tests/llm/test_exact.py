@@ -1,9 +1,14 @@
 """Digest index, multiset hash, repeated strings: against plain loops."""
 
 import hashlib
+import math
+import random
+import re
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -75,6 +80,85 @@ def test_multiset_hash_edits(edge, texts, empty):
     assert multiset_hash.compared(empty).count() == 0
 
 
+def hashed(text, *more):
+    """Spark's 64-bit hash: the text's XXH64 with seed 42, then each number's with the hash so far as seed."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    for number in more:
+        h = xxhash.xxh64_intdigest(struct.pack("<I", number), h)
+    return h
+
+
+def signed(h):
+    return h - 2**64 if h >= 2**63 else h
+
+
+def plain_cut(units, glue):
+    ends = [u + "\n" * (signed(hashed(u)) % multiset_hash.PICKED == 0 and (i + 1 == len(units) or units[i + 1] != u)) for i, u in enumerate(units)]
+    return glue.join(ends)
+
+
+def plain_paragraphs(text):
+    out = []
+    for line in re.split("\n+", text):
+        line = line.strip(" ")
+        if len(line) > multiset_hash.LONG:
+            words = re.split(r"[ \t\n\x0b\f\r]+", line)
+            words = [plain_cut(list(w), "") if len(w) > multiset_hash.LONG else w for w in words]
+            out += plain_cut(words, " ").split("\n")
+        else:
+            out.append(line)
+    return [p.strip(" ") for p in out if p.strip(" ")]
+
+
+def plain_vector(text):
+    """64 lanes: sums of the 8-bit values of the paragraphs; the low lanes first, then the high ones."""
+    found = plain_paragraphs(text)
+    low, high = [0] * 32, [0] * 32
+    for paragraph in found:
+        for j in range(1, 33):
+            h = hashed(paragraph, j)
+            low[j - 1] += h & 0xFF
+            high[j - 1] += h >> 32 & 0xFF
+    return len(found), low + high
+
+
+def plain_likeness(a, b):
+    a, b = plain_vector(a), plain_vector(b)
+    if a == b:
+        return 1.0
+    x, y = ([v - 127.5 * n for v in lanes] for n, lanes in (a, b))
+    size = math.sqrt(sum(v * v for v in x) * sum(v * v for v in y))
+    return max(0.0, min(1.0, sum(v * w for v, w in zip(x, y)) / size)) if size else 0.0
+
+
+def test_vectors_and_likeness_against_plain_loops(make):
+    rng = random.Random(3)
+    texts = ["", "short", "漢字の文。" * 40, "word " * 60, "one\n\n two  three\tfour " * 9, "a. b! c? d… e。f", "x" * 200]
+    texts += [" ".join(rng.choice(["alpha", "beta,", "gamma.", "delta", "Ω", "line\nend"]) + str(rng.randrange(9)) for _ in range(n)) for n in (3, 20, 90, 400)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in multiset_hash.compared(make("doc_id long, text string", rows)).collect()}
+    for i, text in rows:
+        after = texts[i - 1]  # descending ids, the last after the first
+        third = len(text) // 3
+        edited = text[:len(text) - third] + after[:third]
+        for name, of in (("fingerprint", text), ("edited_fingerprint", edited)):
+            n, lanes = plain_vector(of)
+            assert got[i][name] == f"{n:016x}" + "".join(f"{lanes[32 + k]:08x}{lanes[k]:08x}" for k in range(32))
+        assert math.isclose(got[i]["near_edited"], plain_likeness(text, edited), abs_tol=1e-9)
+        assert math.isclose(got[i]["near_next"], plain_likeness(text, after), abs_tol=1e-9)
+
+
+def test_likeness_is_graded_for_every_kind_of_text(spark, make):
+    chinese = "".join(chr(0x4E00 + i * 7 % 3000) for i in range(900))
+    rows = [(1, " ".join(f"w{i}" for i in range(900))), (2, chinese), (3, "。".join(f"漢字文{i}章" for i in range(90))), (0, " ".join(f"z{i}" for i in range(900)))]
+    for r in multiset_hash.compared(make("doc_id long, text string", rows)).collect():
+        assert 0.25 < r["near_edited"] < 0.98 and r["near_next"] < 0.4  # two thirds and nothing, give or take 1/8
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    long_enough = docs.where(F.size(F.split("text", r"\s+")) >= 20).select("doc_id")
+    near = [r[0] for r in multiset_hash.compared(docs).join(long_enough, "doc_id").select("near_edited").collect()]
+    assert sum(v < 0.3 for v in near) < 0.01 * len(near)
+
+
 def test_single_document_is_its_own_next(make):
     row = multiset_hash.compared(make("doc_id long, text string", [(1, "abc def")])).collect()[0]
     assert row["near_next"] == 1.0 and row["edited_sha256"] == sha("abc dab")
