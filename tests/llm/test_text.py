@@ -228,6 +228,32 @@ def test_texts_with_letters_stay_where_no_language_is_known(edge):
     assert kept.columns == edge.columns and {r["doc_id"] for r in kept.collect()} == {4, 5, 6, 7, 8, 9, 10, 12, None, 13, -4}
 
 
+def suspicious(run):
+    return not any(re.search(p, run) for p in secret_scan.ALLOW)
+
+
+def plain_windows(run, kind):
+    width, least = secret_scan.CLASSES[kind]
+    for i in range(len(run) - width + 1):
+        if -sum(c / width * math.log2(c / width) for c in Counter(run[i:i + width]).values()) >= least - 1e-9:
+            yield i, i + width
+
+
+def plain_hot(run):
+    """Hot windows of the whole run and of its stretches of hex digits, each entropy counted anew, merged."""
+    hot = [] if re.fullmatch("[0-9A-Fa-f]*", run) else list(plain_windows(run, "base64"))
+    for m in re.finditer("[0-9A-Fa-f]{20,}", run):
+        if re.search("[A-Fa-f]", m[0]):
+            hot += [(m.start() + i, m.start() + j) for i, j in plain_windows(m[0], "hex")]
+    merged = []
+    for i, j in sorted(hot):
+        if merged and merged[-1][1] >= i:
+            merged[-1][1] = max(j, merged[-1][1])
+        else:
+            merged.append([i, j])
+    return merged
+
+
 def plain_spans(text):
     spans = [(m.start(), 0, m.end()) for m in re.finditer(
         r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.A) if len(m[2]) >= 8]
@@ -235,18 +261,13 @@ def plain_spans(text):
     spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     base = sorted(spans)
     for m in re.finditer(secret_scan.RUN, text):
-        if any(re.search(p, m[0]) for p in secret_scan.ALLOW):
-            continue
-        width, least = secret_scan.CLASSES["hex" if re.fullmatch("[0-9a-f]*", m[0]) else "base64"]
-        merged = []
-        for i in range(len(m[0]) - width + 1):
-            h = -sum(c / width * math.log2(c / width) for c in Counter(m[0][i:i + width]).values())
-            if h >= least - 1e-9:
-                if merged and merged[-1][1] >= i:
-                    merged[-1][1] = i + width
-                else:
-                    merged.append([i, i + width])
-        spans += [(m.start() + a, 3, m.start() + b) for a, b in merged]
+        if suspicious(m[0]):
+            at = 0
+            for name in [*re.finditer(secret_scan.STAND_IN, m[0]), None]:  # what lies between the stand-ins
+                rest = m[0][at:name.start() if name else len(m[0])]
+                if len(rest) >= secret_scan.CANDIDATE and suspicious(rest):
+                    spans += [(m.start() + at + i, 3, m.start() + at + j) for i, j in plain_hot(rest)]
+                at = name.end() if name else at
     return base, sorted(spans)
 
 
@@ -302,6 +323,36 @@ def test_stand_ins_hide_their_own_piece_alone(make):
     assert spans[4:] == [[], [], []]
 
 
+def test_random_candidates_against_plain_loops(make):
+    """Keys in either case, behind names, beside stand-ins and paths, words and numbers, many in a text."""
+    rng = random.Random(8)
+
+    def key(letters, n):
+        return "".join(rng.choice(letters) for _ in range(n))
+
+    base64, upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789ABCDEF", "0123456789abcdef"
+    makes = [
+        lambda: key(base64, rng.randint(18, 60)), lambda: key(upper, rng.randint(18, 50)), lambda: key(lower, rng.randint(18, 50)),
+        lambda: "id=" + key(lower, 24), lambda: "user_name-" + key(upper, 22) + "/" + key(base64, 25), lambda: "example_" + key(base64, 30),
+        lambda: key(base64, 26) + "/samples/" + key(base64, 26), lambda: "xxxx" + key(lower, 30), lambda: key("0123456789", 40),
+        lambda: "/usr/share/doc/some-package/2024", lambda: "token: " + key(base64, rng.randint(5, 30)), lambda: "AKIA" + key(upper, rng.randint(8, 20)),
+        lambda: "a" * 40 + key(base64, 22) + "b" * 40 + key(base64, 22), lambda: "plain words é漢", lambda: key("ab", 60),
+    ]
+    texts = [rng.choice([" ", "\n", ", ", "é "]).join(rng.choice(makes)() for _ in range(rng.choice([1, 3, 12, 120]))) for _ in range(60)]
+    rows = make("doc_id long, text string", list(enumerate(texts)))
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scanned(rows).collect()}
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redacted(rows).collect()}
+    for i, text in enumerate(texts):
+        spans = plain_spans(text)[1]
+        assert got[i] == ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans)
+        out, at = "", 0
+        for a, _, b in spans:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert clean[i] == out + text[at:]
+
+
 def test_redaction(edge, make):
     out = secret_scan.redacted(edge)
     assert out.columns == edge.columns and out.count() == edge.count()

@@ -17,6 +17,7 @@ holds a stand-in word hides the windows that touch it and no others: what is lef
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,8 +61,35 @@ def _none(layout: str) -> Column:
     return F.expr("array()").cast(layout)
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """`then` of a value that is worked out a single time, however often `then` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _in_blocks(items: Column, start: Column, step: Callable[[Column, Column], Column], layout: str) -> Column:
+    """Walk over `items` from the number `start`; `step` gets (number so far, a block of items) and gives a struct of
+    the next number, `at`, and what the block adds, `found`, an array of the given layout. (at, found) of all.
+
+    An append copies its array. Blocks of about the square root of the items keep these copies short.
+    """
+    def walk(all_: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(all_))).cast("int"))
+        blocks = F.transform(
+            F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / width).cast("int")),
+            lambda k: F.slice(all_, k * width + 1, width))
+        return F.aggregate(
+            blocks, F.struct(start.alias("at"), _none(f"array<{layout}>").alias("found")),
+            lambda state, block: _once(step(state["at"], block), lambda inner: F.struct(
+                inner["at"].alias("at"), F.array_append(state["found"], inner["found"]).alias("found"))),
+            lambda state: F.struct(state["at"].alias("at"), F.flatten(state["found"]).alias("found")))
+
+    return _once(items, walk)
+
+
 def _places(gaps: Column, hits: Column) -> Column:
     """(start, hit) of every hit, from the gaps around them. Both arrays are inputs of the walk, so made once."""
+    layout = "array<struct<start:bigint,hit:string>>"
+
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["gap"])
         place = F.struct(begin.alias("start"), pair["hit"].alias("hit"))
@@ -70,9 +98,10 @@ def _places(gaps: Column, hits: Column) -> Column:
             F.when(pair["hit"].isNull(), state["found"]).otherwise(F.array_append(state["found"], place)).alias("found"),
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), _none("array<struct<start:bigint,hit:string>>").alias("found"))
-    pairs = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))
-    return F.aggregate(pairs, start, step, lambda state: state["found"])
+    def block(at: Column, pairs: Column) -> Column:
+        return F.aggregate(pairs, F.struct(at.alias("at"), _none(layout).alias("found")), step)
+
+    return _in_blocks(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), F.lit(0).cast("long"), block, layout)["found"]
 
 
 def _spans(text: Column, pattern: str, test: Column, rank: int, group: int, least: int) -> Column:
@@ -109,28 +138,41 @@ def hot_windows(run: Column, width: int, least: float) -> Column:
         # The tolerance keeps sums of rounded logarithms on the same side of the threshold.
         hot = (at >= width) & (F.lit(log_w) - total / width >= least - 1e-9)
         here = F.struct((at - width).alias("start"), at.alias("end"))
-        last = F.try_element_at(state["found"], F.lit(-1))
-        grown = F.concat(F.slice(state["found"], F.lit(1), F.greatest(F.size(state["found"]) - 1, F.lit(0))),
-                         F.array(F.struct(last["start"].alias("start"), at.alias("end"))))
-        found = F.when(~hot, state["found"]).when(F.coalesce(last["end"], F.lit(-1)) >= at - width, grown).otherwise(
-            F.array_append(state["found"], here))
-        return F.struct(at.alias("at"), counts.alias("n"), total.alias("s"), found.alias("found"))
+        joined = F.when(hot, _joined(state["ranges"], here)).otherwise(state["ranges"])
+        return F.struct(at.alias("at"), counts.alias("n"), total.alias("s"), joined.alias("ranges"))
 
     start = F.struct(
         F.lit(0).cast("long").alias("at"), F.array_repeat(F.lit(0), len(ALPHABET)).alias("n"), F.lit(0.0).alias("s"),
-        _none("array<struct<start:bigint,end:bigint>>").alias("found"))
-    return F.aggregate(moves, start, step, lambda state: state["found"])
+        _no_ranges().alias("ranges"))
+    return F.aggregate(moves, start, step, lambda state: _closed(state["ranges"]))
+
+
+# Ranges are gathered with the last one apart, so that only a range that is over is appended.
+_RANGES = "array<struct<start:bigint,end:bigint>>"
+
+
+def _no_ranges() -> Column:
+    nothing = F.lit(-1).cast("long")
+    return F.struct(_none(_RANGES).alias("over"), nothing.alias("start"), nothing.alias("end"))
+
+
+def _closed(ranges: Column) -> Column:
+    last = F.struct(ranges["start"].alias("start"), ranges["end"].alias("end"))
+    return F.when(ranges["start"] < 0, ranges["over"]).otherwise(F.array_append(ranges["over"], last))
+
+
+def _joined(ranges: Column, here: Column) -> Column:
+    """The ranges with one more, which starts no earlier than any of them."""
+    grows = (ranges["start"] >= 0) & (ranges["end"] >= here["start"])
+    return F.struct(
+        F.when(grows, ranges["over"]).otherwise(_closed(ranges)).alias("over"),
+        F.when(grows, ranges["start"]).otherwise(here["start"]).alias("start"),
+        F.when(grows, F.greatest(ranges["end"], here["end"])).otherwise(here["end"]).alias("end"))
 
 
 def _merged(ranges: Column) -> Column:
     """(start, end) ranges in order, those that touch or overlap as one."""
-    def step(found: Column, here: Column) -> Column:
-        last = F.try_element_at(found, F.lit(-1))
-        grown = F.concat(F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), F.array(
-            F.struct(last["start"].alias("start"), F.greatest(last["end"], here["end"]).alias("end"))))
-        return F.when(F.coalesce(last["end"], F.lit(-1)) >= here["start"], grown).otherwise(F.array_append(found, here))
-
-    return F.aggregate(F.array_sort(ranges), _none("array<struct<start:bigint,end:bigint>>"), step)
+    return F.aggregate(F.array_sort(ranges), _no_ranges(), _joined, _closed)
 
 
 def _moved(ranges: Column, by: Column) -> Column:
@@ -207,19 +249,31 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """All rows of `docs`, every merged span in text replaced by `mark`; n_chars follows where the column exists."""
+    """All rows of `docs`, every merged span in text replaced by `mark`; n_chars follows where the column exists.
+
+    Null and empty texts and texts without a span stay as they are, repeated rows change alike, an empty table gives
+    no rows.
+    """
     base, every, fresh = (unused(docs, name) for name in ("_base", "_all", "_clean"))
     text = text_or_empty()
 
-    def step(state: Column, s: Column) -> Column:
-        part = F.substring(text, (state["at"] + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] >= state["at"], F.concat(state["out"], part, F.lit(mark))).otherwise(state["out"]).alias("out"),
-        )
+    def block(at: Column, spans: Column) -> Column:
+        """The block's part of the text is cut out once; what stays of it, each piece with a mark behind it."""
+        end = F.greatest(at, F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), at))
+
+        def cut(region: Column) -> Column:
+            def step(state: Column, s: Column) -> Column:
+                stays = F.substring(region, (state["at"] - at + 1).cast("int"), (s["start"] - state["at"]).cast("int"))
+                grown = F.array_append(state["found"], F.concat(stays, F.lit(mark)))
+                return F.struct(F.greatest(state["at"], s["end"]).alias("at"),
+                                F.when(s["start"] >= state["at"], grown).otherwise(state["found"]).alias("found"))
+
+            return F.aggregate(spans, F.struct(at.alias("at"), _none("array<string>").alias("found")), step)
+
+        return _once(F.substring(text, (at + 1).cast("int"), (end - at).cast("int")), cut)
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(every, start, step, lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))))
+    walked = _in_blocks(F.col(every), F.lit(0).cast("long"), block, "array<string>")
+    clean = _once(walked, lambda w: F.concat(F.array_join(w["found"], ""), F.substring(text, (w["at"] + 1).cast("int"), F.length(text))))
     out = with_spans(docs, base, every).withColumn(fresh, F.when(F.size(every) == 0, F.col("text")).otherwise(clean))
     swaps = {"text": F.col(fresh)}
     if "n_chars" in docs.columns:
