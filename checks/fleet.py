@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
-    ANOMALIES, AS_OF, GRADES, INDEX, LATEST, VEHICLES, check, graded, near, r, with_views,
+    ANOMALIES, AS_OF, GRADES, HEALTH_INDEX, INDEX, LATEST, VEHICLES, check, graded, health_scores, near, r, with_views,
 )
 from voltlake import fixtures as X
 from voltlake.functions import expr as E
@@ -76,13 +76,10 @@ _RANK_CTES = dict(latest=LATEST, vehicles=VEHICLES, ranked=_RANKED, rankings=_RA
 
 _HEALTH = f"""SELECT device_no, car_type, health AS composite_health_index,
     {graded('health', (95, 90, 85, 80), ('excellent', 'very_good', 'good', 'fair', 'needs_attention'))} AS health_grade
-  FROM (SELECT device_no, car_type,
-      {r('''soh * 0.40 + CASE WHEN max_cell_volt IS NOT NULL AND min_cell_volt IS NOT NULL AND pack_volt > 0 THEN greatest(0, 100 - (max_cell_volt - min_cell_volt) / pack_volt * 1000) ELSE 100 END * 0.25
-        + CASE WHEN mod_avg_temp BETWEEN 15 AND 35 THEN 100 WHEN mod_avg_temp BETWEEN 10 AND 40 THEN 80
-            WHEN mod_avg_temp BETWEEN 5 AND 45 THEN 60 ELSE 40 END * 0.20 + greatest(0, 100 - std * 10) * 0.15''', 2)} AS health
+  FROM (SELECT device_no, car_type, {HEALTH_INDEX} AS health FROM (SELECT *, {health_scores('std')}
     FROM (SELECT *, stddev_samp(pack_volt) OVER (PARTITION BY car_type, device_no ORDER BY msg_ts, event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS std,
         row_number() OVER (PARTITION BY car_type, device_no ORDER BY msg_ts DESC, event_id DESC) AS rn
-      FROM bms WHERE soh IS NOT NULL) WHERE rn = 1)"""
+      FROM bms WHERE soh IS NOT NULL) WHERE rn = 1))"""
 _JUDGED = ANOMALIES.replace("FROM bms WHERE", "FROM latest WHERE")
 _SUMMARY = f"""SELECT b.device_no AS vehicle_id, b.car_type AS vehicle_type, b.soc AS latest_soc, b.soh AS latest_soh,
     b.odometer AS total_odometer, b.pack_volt, b.pack_current, b.pack_volt * b.pack_current AS power_w, b.mod_avg_temp,
