@@ -72,7 +72,11 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 
 def distinct_documents(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The rows of `docs` that stay, once each and with all their columns."""
+    """The rows of `docs` that stay, once each and with all their columns.
+
+    Null and empty texts are equal. Of rows that repeat id and text, and of a text's rows without any id, one stays;
+    a text that the index had before keeps none. An empty table gives no rows.
+    """
     key, nth = unused(docs, "_key"), unused(docs, "_nth")
     stay = saved(deduplicated(docs, index).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct())
     keyed = docs.withColumn(key, F.sha2(F.encode(text_or_empty(), "utf-8"), 256))

@@ -185,7 +185,11 @@ def near_groups(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -
 
 
 def representatives(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """The rows of `docs` whose doc_id names their component, with all columns; rows alone without id stay."""
+    """The rows of `docs` whose doc_id names their component, with all columns; rows alone without id stay.
+
+    Null and empty texts count as one text without words. Rows that repeat an id stay or go together; a row without
+    id goes where a row with one is linked to it. An empty table gives no rows.
+    """
     stay = near_groups(docs, words, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     stay = saved(stay.select(F.col("doc_id").alias("_stay")).distinct())
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_stay"]), "left_semi")
