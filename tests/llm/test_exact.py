@@ -99,7 +99,7 @@ def plain_cut(units, glue):
 
 def plain_paragraphs(text):
     out = []
-    for line in re.split("\n+", text):
+    for line in re.split(r"\n+|(?<=[.!?…।؟۔])[ \t\n\x0b\f\r]+|(?<=[。！？｡])", text):
         line = line.strip(" ")
         if len(line) > multiset_hash.LONG:
             words = re.split(r"[ \t\n\x0b\f\r]+", line)
@@ -111,15 +111,20 @@ def plain_paragraphs(text):
 
 
 def plain_vector(text):
-    """64 lanes: sums of the 8-bit values of the paragraphs; the low lanes first, then the high ones."""
+    """Number of paragraphs, and 64 lanes: sums of the bytes of eight hashes of every paragraph."""
     found = plain_paragraphs(text)
-    low, high = [0] * 32, [0] * 32
+    lanes = [0] * 64
     for paragraph in found:
-        for j in range(1, 33):
-            h = hashed(paragraph, j)
-            low[j - 1] += h & 0xFF
-            high[j - 1] += h >> 32 & 0xFF
-    return len(found), low + high
+        for j in range(8):
+            for byte, value in enumerate(struct.pack("<Q", hashed(paragraph, j + 1))):
+                lanes[8 * j + byte] += value
+    return len(found), lanes
+
+
+def as_stored(n, lanes):
+    """The count, then pairs of lanes as 64-bit numbers: of each hash bytes 4 and 0, 6 and 2, 5 and 1, 7 and 3."""
+    pairs = [lanes[8 * j + high] << 32 | lanes[8 * j + low] for j in range(8) for high, low in ((4, 0), (6, 2), (5, 1), (7, 3))]
+    return f"{n:016x}" + "".join(f"{p:016x}" for p in pairs)
 
 
 def plain_likeness(a, b):
@@ -134,7 +139,7 @@ def plain_likeness(a, b):
 def test_vectors_and_likeness_against_plain_loops(make):
     rng = random.Random(3)
     texts = ["", "short", "漢字の文。" * 40, "word " * 60, "one\n\n two  three\tfour " * 9, "a. b! c? d… e。f", "x" * 200]
-    texts += [" ".join(rng.choice(["alpha", "beta,", "gamma.", "delta", "Ω", "line\nend"]) + str(rng.randrange(9)) for _ in range(n)) for n in (3, 20, 90, 400)]
+    texts += [" ".join(rng.choice(["alpha", "beta,", "gamma.", "delta", "Ω", "line\nend"]) + str(rng.randrange(9)) for _ in range(n)) for n in (3, 20, 90, 400, 4000)]
     rows = [(i, t) for i, t in enumerate(texts)]
     got = {r["doc_id"]: r for r in multiset_hash.compared(make("doc_id long, text string", rows)).collect()}
     for i, text in rows:
@@ -142,8 +147,7 @@ def test_vectors_and_likeness_against_plain_loops(make):
         third = len(text) // 3
         edited = text[:len(text) - third] + after[:third]
         for name, of in (("fingerprint", text), ("edited_fingerprint", edited)):
-            n, lanes = plain_vector(of)
-            assert got[i][name] == f"{n:016x}" + "".join(f"{lanes[32 + k]:08x}{lanes[k]:08x}" for k in range(32))
+            assert got[i][name] == as_stored(*plain_vector(of))
         assert math.isclose(got[i]["near_edited"], plain_likeness(text, edited), abs_tol=1e-9)
         assert math.isclose(got[i]["near_next"], plain_likeness(text, after), abs_tol=1e-9)
 
@@ -156,7 +160,7 @@ def test_likeness_is_graded_for_every_kind_of_text(spark, make):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     long_enough = docs.where(F.size(F.split("text", r"\s+")) >= 20).select("doc_id")
     near = [r[0] for r in multiset_hash.compared(docs).join(long_enough, "doc_id").select("near_edited").collect()]
-    assert sum(v < 0.3 for v in near) < 0.01 * len(near)
+    assert sum(v < 0.3 for v in near) < 0.02 * len(near)  # 80 of 1,000 when sentences were the least paragraphs
 
 
 def test_single_document_is_its_own_next(make):

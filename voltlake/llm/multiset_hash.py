@@ -1,8 +1,8 @@
 """Homomorphic multiset hash of a text's paragraphs, in DataFrame expressions.
 
-A paragraph (a line, and where it is long a piece of it that ends with a word picked by its hash) is hashed to a
-wide vector of LANES small numbers; a text's fingerprint is the lane-wise sum modulo 2**32, with the number of
-paragraphs in front. Sums do not depend on order, so texts with the same paragraphs agree, and a paragraph enters
+A paragraph (a line, cut further after sentence ends, and where it stays long behind words picked by their hash) is
+hashed to a wide vector of LANES small numbers; a text's fingerprint is the lane-wise sum modulo 2**32, with the
+number of paragraphs in front. Sums do not depend on order, so texts with the same paragraphs agree, and a paragraph enters
 or leaves a stored fingerprint by one addition or subtraction (`combined`, `removed`). Lane values are 8 bits wide
 and the sums 32, so up to 2**24 paragraphs nothing wraps and centred lanes keep the geometry: the cosine of two
 fingerprints estimates the share of common paragraphs, with a deviation of 1/8 (the root of one in LANES).
@@ -15,16 +15,22 @@ from pyspark.sql import functions as F
 
 from voltlake.llm.common import saved, tasks, text_or_empty
 
-#: Two lanes share one 64-bit sum, 32 bits apart.
-SUMS = 32
-LANES = 2 * SUMS
-LANE_MASK = 0x000000FF000000FF
+#: A paragraph has HASHES 64-bit hashes, whose bytes are its lane values.
+HASHES = 8
+LANES = 8 * HASHES
+#: In a stored fingerprint two lanes share one 64-bit sum, 32 bits apart.
+SUMS = LANES // 2
 LOW = 0xFFFFFFFF
 MEAN = 127.5
+#: While BLOCK paragraphs are added up four lanes share a number, 16 bits apart: 128 bytes stay below 2**15.
+BLOCK = 128
+FOUR_LANES, TWO_LANES = 0x00FF00FF00FF00FF, 0x0000FFFF0000FFFF
 #: Ranges of doc_id for each shuffle partition; several even out how they fall.
 RANGES = 4
+#: Line ends, and sentence marks: those of most scripts before white space, the full-width ones anywhere.
+BREAK = r"\n+|(?<=[.!?…।؟۔])\s+|(?<=[。！？｡])"
 #: Paragraphs over LONG code points are cut behind one in PICKED words, words over LONG behind one in PICKED letters.
-LONG, PICKED = 32, 3
+LONG, PICKED = 48, 4
 
 
 def _cut(units: Column, glue: str) -> Column:
@@ -50,16 +56,29 @@ def _shorter(paragraph: Column) -> Column:
 
 def vector(text: Column) -> Column:
     """Paragraph count, then SUMS sums of two lanes each, as array<bigint>. Blank paragraphs do not count."""
-    pieces = F.flatten(F.transform(F.split(text, r"\n+", -1), lambda p: _shorter(F.trim(p))))
+    pieces = F.flatten(F.transform(F.split(text, BREAK, -1), lambda p: _shorter(F.trim(p))))
     paragraphs = F.filter(F.transform(pieces, lambda p: F.trim(p)), lambda p: p != "")
-    start = F.array_repeat(F.lit(0).cast("long"), SUMS + 1)
-    seeds = F.sequence(F.lit(0), F.lit(SUMS))
 
     def lanes(paragraph: Column) -> Column:
-        return F.transform(seeds, lambda j: F.when(j == 0, F.lit(1).cast("long")).otherwise(
-            F.xxhash64(paragraph, j).bitwiseAND(F.lit(LANE_MASK))))
+        values = [F.xxhash64(paragraph, F.lit(j)) for j in range(1, HASHES + 1)]
+        return F.array(F.lit(1).cast("long"), *[F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(FOUR_LANES)) for h in values for shift in (0, 8)])
 
-    return F.aggregate(paragraphs, start, lambda total, p: combined(total, lanes(p)))
+    def added(block: Column) -> Column:
+        zeros = F.array_repeat(F.lit(0).cast("long"), 2 * HASHES + 1)
+        return F.aggregate(block, zeros, lambda total, p: F.zip_with(total, lanes(p), lambda a, b: a + b))
+
+    def widened(sums: Column) -> Column:
+        pairs = F.transform(F.slice(sums, 2, 2 * HASHES), lambda x: F.array(
+            x.bitwiseAND(F.lit(TWO_LANES)), F.shiftrightunsigned(x, 16).bitwiseAND(F.lit(TWO_LANES))))
+        return F.concat(F.slice(sums, 1, 1), F.flatten(pairs))
+
+    def walk(all_: Column) -> Column:
+        last = F.floor(F.greatest(F.size(all_) - 1, F.lit(0)) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)))
+        start = F.array_repeat(F.lit(0).cast("long"), SUMS + 1)
+        return F.aggregate(blocks, start, lambda total, block: combined(total, widened(added(block))))
+
+    return F.get(F.transform(F.array(paragraphs), walk), F.lit(0))
 
 
 def _added(a: Column, b: Column) -> Column:
