@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import (
-    ANOMALIES, AS_OF, GRADES, HEALTH_INDEX, INDEX, LATEST, VEHICLES, check, graded, health_scores, near, r, with_views,
+    ANOMALIES, AS_OF, GRADES, HEALTH_INDEX, LATEST, VEHICLES, check, graded, health_scores, near, r, with_views,
 )
 from voltlake import fixtures as X
 from voltlake.functions import expr as E
