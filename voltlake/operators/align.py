@@ -197,6 +197,8 @@ def interval_join(
         return joined.select(*out)
     pairs = joined.where(~F.col("a._split") | F.col("b._rt").isNotNull()).select(*out)
     split = hot.where(F.col("_parts") > 1).select(*on, "_cell")
+    if split.isEmpty():  # no cell is cut: the join above has told every row without a match
+        return pairs
     asked = placed.join(split, [*on, "_cell"], "left_semi").select(*left.columns)
     near_split = split.withColumn("_home", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1))).drop("_cell").distinct()
     answers = (
