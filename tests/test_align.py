@@ -127,6 +127,30 @@ def test_left_interval_join_with_an_overfull_right_side(make, closed):
     assert sorted(((r["id"], r["gid"]) for r in out.collect()), key=key) == sorted(want, key=key)
 
 
+def repeated(plan) -> int:
+    """Rows that the explodes of an executed plan put out."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return repeated(plan.executedPlan())
+    if "QueryStage" in name:
+        return repeated(plan.plan())
+    below = sum(repeated(plan.children().apply(i)) for i in range(plan.children().size()))
+    return below + (plan.metrics().apply("numOutputRows").value() if name == "Generate" else 0)
+
+
+@pytest.mark.parametrize("n, m, how", [(300, 300, "inner"), (20, 2000, "inner"), (2000, 3, "inner"), (300, 300, "left")])
+def test_overfull_cells_repeat_each_row_a_bounded_number_of_times(make, n, m, how):
+    """Pairs of a cell are as many as the product of its sides; the rows that are shuffled for them are not."""
+    left = make(LEFT, [(i, "GV60", "hot", s(10)) for i in range(n)])
+    right = make(RIGHT, [(i, "GV60", "hot", s(20)) for i in range(m)])
+    out = align.interval_join(left, right, ["device_no"], "msg_ts", "time", 300, ["gid"], how=how, rows_per_task=5)
+    assert out.count() == n * m and out.distinct().count() == n * m
+    rows = out.collect()
+    assert len(rows) == n * m
+    # Right rows go to three cells first, then to the shares; in two of the cells there is one share.
+    assert repeated(out._jdf.queryExecution().executedPlan()) <= align.COPIES * (n + m) + 6 * (n + m)
+
+
 def test_mean_within_long_and_short_spans(make):
     rnd = random.Random(5)
     samples = [("d" if i % 4 else "e", s(rnd.randrange(5000)), float(rnd.randrange(50)) if i % 7 else None) for i in range(500)]
