@@ -151,6 +151,12 @@ def test_overfull_cells_repeat_each_row_a_bounded_number_of_times(make, n, m, ho
     assert repeated(out._jdf.queryExecution().executedPlan()) <= align.COPIES * (n + m) + 6 * (n + m)
 
 
+def test_repeated_rows_are_never_broadcast(make):
+    left, right = make(LEFT, [(1, "GV60", "hot", s(10))]), make(RIGHT, [(1, "GV60", "hot", s(20))])
+    out = align.interval_join(left, right, ["device_no"], "msg_ts", "time", 300, ["gid"], rows_per_task=5)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=merge)" in plan
+
 def test_mean_within_long_and_short_spans(make):
     rnd = random.Random(5)
     samples = [("d" if i % 4 else "e", s(rnd.randrange(5000)), float(rnd.randrange(50)) if i % 7 else None) for i in range(500)]
