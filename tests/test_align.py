@@ -171,3 +171,24 @@ def test_mean_within_long_and_short_spans(make):
         inside = [v for d, t, v in samples if d == device and a - pad <= t <= b + pad and v is not None]
         want = sum(inside) / len(inside) if inside else None
         assert got[i] == (pytest.approx(want) if want is not None else None)
+
+
+def test_mean_within_takes_few_pieces_of_a_long_span(make):
+    """Two totals of each width at most; no piece twice, none outside, whatever the borders are."""
+    rnd = random.Random(11)
+    samples = [("d", s(60 * i + rnd.randrange(60)), float(2 ** (i % 40))) for i in range(700)] + [("d", s(70_000), float("nan"))]
+    spans = [(i, "d", s(a), s(a + n)) for i, (a, n) in enumerate((rnd.randrange(-9000, 40_000), rnd.randrange(9000)) for _ in range(300))]
+    spans += [(900, "d", s(-60), s(43_200 * 60)), (901, "d", s(60), s(0)), (902, None, s(0), s(60)), (903, "d", None, s(60))]
+    out = align.mean_within(
+        make("span int, device_no string, a timestamp_ntz, b timestamp_ntz", spans),
+        make("device_no string, t timestamp_ntz, v double", samples), ["device_no"], ["span"], "a", "b", "t", ["v"],
+    )
+    got = {r["span"]: r["mean_v"] for r in out.collect()}
+    assert len(got) == len(spans)
+    for i, device, a, b in spans:
+        inside = [v for d, t, v in samples if device and a and a <= t <= b]
+        assert got[i] == (pytest.approx(sum(inside) / len(inside), nan_ok=True) if inside else None)
+    # 304 spans of up to 150 cells and one of 43,200; samples lie in 701 cells, of up to 17 widths.
+    assert repeated(out._jdf.queryExecution().executedPlan()) < 305 * 18 + 701 * 18
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("leftHint=(strategy=merge)") == 2

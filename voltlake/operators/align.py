@@ -226,15 +226,29 @@ def interval_join(
     return pairs.unionByName(alone.select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in none]))
 
 
+# The fewest runs of 2^level cells, each from a multiple of its length on, that hold the cells from _low before _last.
+# A level gives the run at either end that the next level's runs do not hold.
+_COVER = """
+filter(flatten(transform(
+  transform(sequence(0, cast(ceil(log2(_last - _low)) as int)),
+    j -> struct(j as level, shiftright(_low + shiftleft(1L, j) - 1, j) as low, shiftright(_last, j) as high)),
+  r -> array(
+    if(r.low < r.high and r.low & 1 = 1, named_struct('level', r.level, 'cell', r.low), null),
+    if(r.low < r.high and r.high & 1 = 1, named_struct('level', r.level, 'cell', r.high - 1), null)))), p -> p is not null)
+"""
+
+
 def mean_within(
     spans: DataFrame, samples: DataFrame, on: Sequence[str], span_id: Sequence[str], start: str, end: str,
     time: str, columns: Sequence[str], pad_s: float = 0.0, cell_s: float = 60.0,
 ) -> DataFrame:
     """Mean of sample columns inside [start - pad, end + pad] of each span.
 
-    Samples are first summed per key and timestamp, then per time cell.  A span takes whole cells from the
-    cell totals and only its two edge cells from the single timestamps, so long spans stay cheap and
-    copies of a sample cost nothing.
+    Samples are first summed per key and timestamp, then per time cell, then per 2, 4, 8 ... cells up to the length
+    of the longest span.  A span takes at most two totals of each width and only its two edge cells from the single
+    timestamps, so its cost grows with the logarithm of its length, and copies of a sample cost nothing.  Only
+    samples inside a span enter its sum.  Spark takes the size of spans before they are cut into pieces for that of
+    the pieces, so it must not choose to broadcast them.
     """
     width, pad = int(cell_s * 1_000_000), int(pad_s * 1_000_000)
     totals = [F.sum(name).alias(f"_s_{name}") for name in columns]
@@ -244,18 +258,26 @@ def mean_within(
         .withColumn("_cell", F.floor(F.col("_t") / width))
     )
     again = [F.sum(f"{p}{name}").alias(f"{p}{name}") for p in ("_s_", "_c_") for name in columns]
-    cells = instants.groupBy(*on, "_cell").agg(*again)
     reach = spans.select(
         *on, *span_id, (micros(start) - pad).alias("_from"), (micros(end) + pad).alias("_to")
     ).withColumns({"_first": F.floor(F.col("_from") / width), "_last": F.floor(F.col("_to") / width)})
     edge = reach.withColumn("_cell", F.explode(F.array_distinct(F.array("_first", "_last"))))
-    inner = reach.where(F.col("_last") - F.col("_first") > 1).withColumn(
-        "_cell", F.explode(F.sequence(F.col("_first") + 1, F.col("_last") - 1))
+    # Whole cells of a span: from _low, before _last.
+    inner = reach.where(F.col("_last") - F.col("_first") > 1).withColumn("_low", F.col("_first") + 1)
+    levels = inner.agg(F.ceil(F.log2(F.max(F.col("_last") - F.col("_low"))))).first()[0] or 0
+    covers = (
+        inner.withColumn("_cover", F.explode(F.expr(_COVER)))
+        .select(*on, *span_id, F.col("_cover.level").alias("_level"), F.col("_cover.cell").alias("_cell"))
+    )
+    cells = (
+        instants.groupBy(*on, "_cell").agg(*again)
+        .withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels).cast("int"))))
+        .withColumn("_cell", F.expr("shiftright(_cell, _level)")).groupBy(*on, "_level", "_cell").agg(*again)
     )
     parts = [*on, *span_id, *[f"{p}{name}" for p in ("_s_", "_c_") for name in columns]]
     pieces = (
-        edge.join(instants, [*on, "_cell"]).where(F.col("_t").between(F.col("_from"), F.col("_to"))).select(*parts)
-        .unionByName(inner.join(cells, [*on, "_cell"]).select(*parts))
+        edge.hint("merge").join(instants, [*on, "_cell"]).where(F.col("_t").between(F.col("_from"), F.col("_to"))).select(*parts)
+        .unionByName(covers.hint("merge").join(cells, [*on, "_level", "_cell"]).select(*parts))
     )
     means = pieces.groupBy(*on, *span_id).agg(*again).select(
         *on, *span_id,
