@@ -36,6 +36,21 @@ def test_word_ids_equal_the_library():
     assert [np.frombuffer(ids, "<u4").tolist() for ids in token_ids.Ids(WORD).encode(texts)] == expected
 
 
+def test_words_of_letters_skip_the_normalizer_and_keep_their_ids(monkeypatch):
+    """Every letter up to U+00FF, in both cases, beside others; the model alone gets the words of such letters."""
+    letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+    rng = random.Random(3)
+    words = [*letters, *(a + b for a in "aZ" for b in letters), *("".join(rng.choices(letters, k=rng.randint(2, 12))) for _ in range(4000))]
+    words += ["n\u0303o", "\u0130stanbul", "\u0178", "\u03a3\u03c3", "\u00d7\u00f7", "a1", "don't", "'s", "\ufb01n", "\u01c4"]
+    own, whole = token_ids.Ids(WORD), library(WORD)
+    seen = []
+    monkeypatch.setattr(own, "_encoded", lambda tokenizer, part: seen.append((tokenizer is own.model, list(part))) or token_ids.Ids._encoded(tokenizer, part))
+    got = own._library([word.encode() for word in words])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [whole.encode(word, add_special_tokens=False).ids for word in words]
+    assert sum(len(part) for by_model, part in seen if by_model) == len(words) - 10
+    assert own._library([]) == []
+
+
 def test_full_caches_change_nothing(monkeypatch):
     texts = mixtures(600)
     monkeypatch.setattr(token_ids, "CACHE", 5)

@@ -4,10 +4,15 @@ Such a pre-tokenizer never joins characters across white space, so texts are cut
 pieces of a section of text are found in numpy, and those that a bounded cache lacks go to the library
 together. A mark behind a letter is a piece of its own, as it is to the pre-tokenizer, and a capital in front
 of small letters is a small one, as it is to the normalizer.
+
+A piece of letters up to U+00FF alone is one word to the pre-tokenizer, and the normalizer makes its letters small
+and changes nothing else. Where the vocabulary has just these two, the library's model gets such a piece as small
+letters in the byte alphabet, without its normalizer and pre-tokenizer, which cost more than the model.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -24,6 +29,33 @@ _MARK = np.isin(np.arange(256), list(b",.;:!?"))
 # White space of the vocabulary's pattern beyond ASCII. U+001C to U+001F are none, other than for str.split().
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
+_SMALL_WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+}
+# The byte alphabet: printable bytes of Latin-1 stand for themselves, the others in order for U+0100 and up.
+_OTHERS = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(_OTHERS)}
+# Small letters up to U+00FF beyond ASCII; what an earlier one becomes holds no later one.
+_SPELLED = {c: c.encode().decode("latin-1").translate(_ALPHABET) for c in map(chr, range(128, 256)) if c.isalpha() and c == c.lower()}
+
+
+def _of_letters(word: str) -> bool:
+    """Whether a word has only letters that are composed already and have small letters of the same range."""
+    return word.isalpha() and (word.isascii() or max(word) <= "\xff")
+
+
+def _spelled(words: list[str]) -> list[str]:
+    """Words of letters as small letters in the byte alphabet."""
+    text = "\n".join(words).lower()
+    for letter, spelled in _SPELLED.items():
+        text = text.replace(letter, spelled)
+    return text.split("\n") if words else []
+
 
 def trim(known: dict, size: int) -> None:
     """Forget the later half of a cache of more than `size` keys; common ones come early."""
@@ -66,14 +98,38 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self._model(path)
         self.known: dict[bytes, bytes] = {}
         self.cache = cache
 
-    def _library(self, words: list[str]) -> Iterator[bytes]:
-        """Ids of each word as little-endian unsigned 32-bit integers."""
+    def _model(self, path: str):
+        """The tokenizer without normalizer and pre-tokenizer, for pieces of letters; None where these do more."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        layout = json.loads(self.tokenizer.to_str())
+        whole = all(layout[part] == wanted for part, wanted in _SMALL_WORDS.items())
+        # An added token in a piece of letters would be of letters itself.
+        if not whole or any(_of_letters(token["content"]) for token in layout["added_tokens"]):
+            return None
+        model = Tokenizer.from_file(path)
+        model.no_truncation()
+        model.no_padding()
+        model.normalizer, model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
+        return model
+
+    def _library(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word (no white space) as little-endian unsigned 32-bit integers."""
+        texts = b"\n".join(words).decode().split("\n") if words else []
+        of_letters = list(map(_of_letters, texts)) if self.model is not None else [False] * len(texts)
+        by_model = self._encoded(self.model, _spelled([text for text, letters in zip(texts, of_letters) if letters]))
+        by_all = self._encoded(self.tokenizer, [text for text, letters in zip(texts, of_letters) if not letters])
+        return [next(by_model if letters else by_all) for letters in of_letters]
+
+    @staticmethod
+    def _encoded(tokenizer, words: list[str]) -> Iterator[bytes]:
         for at in range(0, len(words), 10_000):
             part = words[at:at + 10_000]
-            encoded = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            encoded = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             flat = np.array(encoded.ids, dtype="<u4").tobytes()
             counts = np.bincount(np.array(encoded.word_ids, dtype=np.int64), minlength=len(part))
             ends = (np.cumsum(counts) * 4).tolist()
@@ -99,7 +155,7 @@ class Ids:
         known = self.known
         coded = list(map(known.get, found))
         unknown = [i for i, ids in enumerate(coded) if ids is None]
-        for i, ids in zip(unknown, self._library([found[i].decode() for i in unknown])):
+        for i, ids in zip(unknown, self._library([found[i] for i in unknown])):
             coded[i] = known[found[i]] = ids
         ids, upto = slices.gathered(coded, place)
         # Token counts up to each text's last piece.
