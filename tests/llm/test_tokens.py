@@ -51,6 +51,29 @@ def test_words_of_letters_skip_the_normalizer_and_keep_their_ids(monkeypatch):
     assert own._library([]) == []
 
 
+def test_words_with_marks_behind_need_the_model_alone(monkeypatch):
+    """Letters with any ASCII marks behind them keep their ids, and the normalizer gets none of them."""
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    rng = random.Random(5)
+    words = [f"{word}{mark}" for word in ("a", "Zo", "\xe9", "ma\xdf", "\xc9T\xc9") for mark in [*marks, "&&&", ".###", "'.", ".'", "<|", "|>", "</"]]
+    words += ["".join(rng.choices("abS\xe9\xd6", k=rng.randint(1, 9))) + "".join(rng.choices(marks, k=rng.randint(1, 4))) for _ in range(4000)]
+    own, whole = token_ids.Ids(WORD), library(WORD)
+    plain = []
+    monkeypatch.setattr(own, "_encoded", lambda tokenizer, part: plain.extend(part if tokenizer is own.tokenizer else []) or token_ids.Ids._encoded(tokenizer, part))
+    got = own._library([word.encode() for word in words])
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [whole.encode(word, add_special_tokens=False).ids for word in words]
+    assert plain == []
+
+
+def test_slices_are_told_apart_where_many_share_a_place():
+    """More distinct slices than a short table has room for, beside repeats and long ones."""
+    rng = random.Random(9)
+    words = ["".join(rng.choices("ab", k=rng.randint(1, 20))).encode() for _ in range(5000)]
+    ends = np.cumsum([len(word) for word in words])
+    found, place = slices.distinct(b"".join(words), ends - [len(word) for word in words], ends)
+    assert [found[at] for at in place] == words and len(set(found)) == len(found)
+
+
 def test_full_caches_change_nothing(monkeypatch):
     texts = mixtures(600)
     monkeypatch.setattr(token_ids, "CACHE", 5)

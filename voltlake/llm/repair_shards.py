@@ -66,7 +66,11 @@ class Grammar:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         """Ids of the symbols in order: the rules among them are expanded once each, a level at a time."""
-        ruled = np.unique(symbols[symbols >= self.base])
+        at = np.flatnonzero(symbols >= self.base)
+        rule = symbols[at] - self.base
+        used = np.zeros(len(self.rules), dtype=bool)
+        used[rule] = True
+        ruled = np.flatnonzero(used) + self.base
         flat = ruled
         while (deep := flat >= self.base).any():
             places = np.arange(len(flat)) + np.cumsum(deep) - deep
@@ -75,20 +79,19 @@ class Grammar:
             pair = self.rules[flat[deep] - self.base]
             out[places[deep]], out[places[deep] + 1] = pair[:, 0], pair[:, 1]
             flat = out
-        # Plain ids go to their places; each rule's symbol copies its stretch of `flat` there.
         own = self.lengths[ruled - self.base]
         begins = np.zeros(len(self.rules) + 1, dtype=np.int64)
         begins[ruled - self.base] = np.cumsum(own) - own
-        at = np.flatnonzero(symbols >= self.base)
-        rule = symbols[at] - self.base
         sizes = np.ones(len(symbols), dtype=np.int64)
-        sizes[at] = counts = self.lengths[rule]
-        places = np.cumsum(sizes) - sizes
-        out = np.empty(int(sizes.sum()), dtype=np.int64)
-        out[places] = symbols
-        within = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
-        out[np.repeat(places[at], counts) + within] = flat[np.repeat(begins[rule], counts) + within]
-        return out
+        sizes[at] = self.lengths[rule]
+        ends = np.cumsum(sizes)
+        # Where each symbol's ids begin in `flat` with the symbols themselves behind it.
+        source = np.arange(len(flat), len(flat) + len(symbols))
+        source[at] = begins[rule]
+        source -= ends - sizes
+        index = np.repeat(source, sizes)
+        index += np.arange(len(index))
+        return np.concatenate([flat, symbols])[index]
 
     def tokens(self, start: int, stop: int) -> np.ndarray:
         """Ids start to stop, from the covering symbols alone."""
@@ -111,8 +114,13 @@ def _every_other(at: np.ndarray) -> np.ndarray:
 def _most_frequent(sequence: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Places, apart from one another, of the most frequent pair at `at` that occurs `least` times; none if none
     does. All places of a pair are among `at` or none. The second array numbers the pair, 0."""
-    pairs, own, times = np.unique(
-        sequence.take(at).astype(np.uint64) << np.uint64(32) | sequence.take(at + 1), return_inverse=True, return_counts=True)
+    code = sequence.take(at).astype(np.uint64) << np.uint64(32) | sequence.take(at + 1)
+    # Other hashes first leave out most pairs that occur less often, so that few are sorted.
+    for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        slots = (code * np.uint64(factor) >> np.uint64(46)).astype(np.intp)
+        kept = (np.bincount(slots, minlength=1 << 18) >= least).take(slots)
+        at, code = at[kept], code[kept]
+    _, own, times = np.unique(code, return_inverse=True, return_counts=True)
     for pair in np.argsort(-times, kind="stable"):
         if times[pair] < least:
             break
@@ -137,7 +145,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> Grammar:
     lengths = np.zeros(0, dtype=np.int64)
     bits = max(8, min(22, int(len(ids)).bit_length() - 1))
     size, shift, bar = 1 << bits, np.uint32(32 - bits), len(sequence)
-    first = np.empty(size, dtype=np.int32)
+    first, number = np.empty(size, dtype=np.int32), np.empty(size, dtype=np.int32)
     for turn in count(1):
         if len(sequence) < 2:
             break
@@ -151,13 +159,17 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> Grammar:
         if top < least:
             break
         floor = bar = max(least, min(bar, top) // RATIO)
-        heavy = at = np.flatnonzero((hashed >= floor).take(slots))
-        own, left, right = slots.take(at), sequence.take(at), sequence.take(at + 1)
+        full = hashed >= floor
+        heavy = at = np.flatnonzero(full.take(slots))
+        # From here on the slots that hold so many pairs are numbered in order.
+        held = np.flatnonzero(full)
+        number[held] = np.arange(len(held), dtype=np.int32)
+        own, left, right = number.take(slots.take(at)), sequence.take(at), sequence.take(at + 1)
         first[own] = np.arange(len(at), dtype=np.int32)
         head = first.take(own)
         same = (left == left.take(head)) & (right == right.take(head))
         at, own = at[same], own[same]
-        times = np.bincount(own, minlength=size).take(own)
+        times = np.bincount(own, minlength=len(held)).take(own)
         frequent = times >= floor
         at, own, times = at[frequent], own[frequent], times[frequent]
         # Of overlapping places the more frequent pair has precedence.
@@ -168,7 +180,7 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> Grammar:
         at, own = at[ahead], own[ahead]
         free = _every_other(at)
         at, own = at[free], own[free]
-        uses = np.bincount(own, minlength=size)
+        uses = np.bincount(own, minlength=len(held))
         worth = uses >= max(2, least // 2)  # overlaps may leave a pair with fewer uses than it has places
         taken = worth.take(own)
         at, own = at[taken], own[taken]
@@ -179,9 +191,9 @@ def compress(ids: np.ndarray, base: int, least: int = LEAST) -> Grammar:
             if not len(at):
                 break
             worth = np.ones(1, dtype=bool)
-        number = np.cumsum(worth) - 1
-        new = number.take(own)
-        pair = np.empty((int(number[-1]) + 1, 2), dtype=np.int64)
+        placed = np.cumsum(worth) - 1
+        new = placed.take(own)
+        pair = np.empty((int(placed[-1]) + 1, 2), dtype=np.int64)
         pair[new, 0], pair[new, 1] = sequence.take(at), sequence.take(at + 1)
         known, padded = len(lengths), np.append(lengths, 1)
         rules.append(pair)

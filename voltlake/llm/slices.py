@@ -14,8 +14,9 @@ def distinct(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[by
     """The distinct slices data[start:end] (not empty), and for each slice its place among them.
 
     Slices of up to 16 bytes are held as their first and last eight bytes and their length, which tell them
-    apart exactly; they are sorted by a mix of these, and should two different ones ever mix alike, all go the
-    way of the longer slices, through a dict.
+    apart exactly. Each is compared with one slice that a mix of these picks, mostly its like; the others are
+    sorted by their mix, and should two different ones ever mix alike, they go the way of the longer slices,
+    through a dict.
     """
     padded = np.frombuffer(data + bytes(8), dtype=np.uint8)
     words = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
@@ -28,22 +29,29 @@ def distinct(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[list[by
     mix = (first ^ (first >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
     mix ^= (mix >> np.uint64(32)) ^ (last * np.uint64(0x9E3779B97F4A7C15))
     mix = (mix ^ (mix >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    order = np.argsort(mix)
-    sorted_mix = mix[order]
+    slot = (mix >> np.uint64(64 - max(8, min(20, len(short).bit_length())))).astype(np.intp)
+    number = np.arange(len(short), dtype=np.int32)
+    holder = np.empty(1 << 20, dtype=np.int32)
+    holder[slot] = number
+    head = holder.take(slot)
+    alike = (first.take(head) == first) & (last.take(head) == last) & (n.take(head) == n)
+    heads = np.flatnonzero(head == number)
+    rank = np.empty(len(short), dtype=np.int64)
+    rank[heads] = np.arange(len(heads))
+    place[short] = rank.take(head)
+    other = np.flatnonzero(~alike)
+    order = other[np.argsort(mix[other])]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = sorted_mix[1:] != sorted_mix[:-1]
-    number = np.cumsum(new) - 1
-    heads = order[new]
-    place[short[order]] = number
+    new[1:] = mix[order[1:]] != mix[order[:-1]]
     # All slices of a mix are alike if neighbours in order are.
-    same = ~new[1:]
-    a, b = order[1:][same], order[:-1][same]
+    a, b = order[1:][~new[1:]], order[:-1][~new[1:]]
+    rest = np.flatnonzero(size > 16)
     if ((first[a] != first[b]) | (last[a] != last[b]) | (n[a] != n[b])).any():
-        short, heads = short[:0], heads[:0]
-        rest = np.arange(len(starts))
+        rest = np.concatenate([rest, short[other]])
     else:
-        rest = np.flatnonzero(size > 16)
-    found = [data[a:b] for a, b in zip(s[heads].tolist(), (s + n)[heads].tolist())] if len(heads) else []
+        place[short[order]] = len(heads) + np.cumsum(new) - 1
+        heads = np.concatenate([heads, order[new]])
+    found = [data[a:b] for a, b in zip(s[heads].tolist(), (s + n)[heads].tolist())]
     if len(rest):
         known: dict[bytes, int] = {}
         base = len(found)

@@ -7,15 +7,19 @@ of small letters is a small one, as it is to the normalizer.
 
 A piece of letters up to U+00FF alone is one word to the pre-tokenizer, and the normalizer makes its letters small
 and changes nothing else. Where the vocabulary has just these two, the library's model gets such a piece as small
-letters in the byte alphabet, without its normalizer and pre-tokenizer, which cost more than the model.
+letters in the byte alphabet, without its normalizer and pre-tokenizer, which cost more than the model. ASCII marks
+behind such letters are one more word each time.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import string
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
+from operator import attrgetter
 
 import numpy as np
 
@@ -49,6 +53,12 @@ def _of_letters(word: str) -> bool:
     return word.isalpha() and (word.isascii() or max(word) <= "\xff")
 
 
+def _split(word: str) -> tuple[str, str]:
+    """The word without the ASCII marks at its end, and these; the pre-tokenizer cuts there if letters come before."""
+    head = word if word.isalpha() else word.rstrip(string.punctuation)
+    return head, word[len(head):]
+
+
 def _spelled(words: list[str]) -> list[str]:
     """Words of letters as small letters in the byte alphabet."""
     text = "\n".join(words).lower()
@@ -89,6 +99,18 @@ def pieces_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+class Model:
+    """The library's model of a tokenizer alone, which gets one word at a time and makes no offsets for a text."""
+
+    def __init__(self, tokenizer):
+        self.model = tokenizer.model
+
+    def encoded(self, words: list[str]) -> Iterator[bytes]:
+        tokenize, number = self.model.tokenize, attrgetter("id")
+        for word in words:
+            yield array("I", map(number, tokenize(word))).tobytes()
+
+
 class Ids:
     """Encoder of one vocabulary file, without truncation, padding and special tokens around a text."""
 
@@ -98,35 +120,34 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self._model(path)
+        self.model = self._model()
         self.known: dict[bytes, bytes] = {}
         self.cache = cache
 
-    def _model(self, path: str):
-        """The tokenizer without normalizer and pre-tokenizer, for pieces of letters; None where these do more."""
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
+    def _model(self) -> Model | None:
+        """The model alone, for pieces of letters and marks behind them; None where normalizer or pre-tokenizer do more."""
         layout = json.loads(self.tokenizer.to_str())
         whole = all(layout[part] == wanted for part, wanted in _SMALL_WORDS.items())
-        # An added token in a piece of letters would be of letters itself.
-        if not whole or any(_of_letters(token["content"]) for token in layout["added_tokens"]):
-            return None
-        model = Tokenizer.from_file(path)
-        model.no_truncation()
-        model.no_padding()
-        model.normalizer, model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence([])
-        return model
+        # An added token in a piece of letters and marks would be of these itself.
+        heads = [_split(token["content"])[0] for token in layout["added_tokens"]]
+        return Model(self.tokenizer) if whole and not any(not head or _of_letters(head) for head in heads) else None
 
     def _library(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word (no white space) as little-endian unsigned 32-bit integers."""
         texts = b"\n".join(words).decode().split("\n") if words else []
-        of_letters = list(map(_of_letters, texts)) if self.model is not None else [False] * len(texts)
-        by_model = self._encoded(self.model, _spelled([text for text, letters in zip(texts, of_letters) if letters]))
+        parts = list(map(_split, texts))
+        of_letters = [_of_letters(head) for head, _ in parts] if self.model is not None else [False] * len(texts)
+        marks = list({tail for (_, tail), letters in zip(parts, of_letters) if letters and tail})
+        marked = {"": b""} | dict(zip(marks, self._encoded(self.model, marks)))
+        by_model = self._encoded(self.model, _spelled([head for (head, _), letters in zip(parts, of_letters) if letters]))
         by_all = self._encoded(self.tokenizer, [text for text, letters in zip(texts, of_letters) if not letters])
-        return [next(by_model if letters else by_all) for letters in of_letters]
+        return [next(by_model) + marked[tail] if letters else next(by_all) for (_, tail), letters in zip(parts, of_letters)]
 
     @staticmethod
     def _encoded(tokenizer, words: list[str]) -> Iterator[bytes]:
+        if isinstance(tokenizer, Model):
+            yield from tokenizer.encoded(words)
+            return
         for at in range(0, len(words), 10_000):
             part = words[at:at + 10_000]
             encoded = tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
