@@ -179,3 +179,20 @@ def test_energy_model(spark, make, tmp_path):
     again = energy.load_model(str(tmp_path / "e"))
     first = [r["predicted_kw"] for r in energy.predict_energy(model, test).orderBy("time").collect()]
     assert first == [r["predicted_kw"] for r in energy.predict_energy(again, test).orderBy("time").collect()]
+
+
+def test_energy_model_is_the_same_however_its_rows_are_spread(spark, make, monkeypatch):
+    from voltlake.sources.points import to_points
+
+    monkeypatch.setattr(energy, "LEAST_SHARE", 100)
+    rows = [row(i, f"d{i % 3}", i / 24, soc=float(20 + i * 7 % 70), volt=380.0 + i % 40, amps=float(i % 60 - 30), odo=float(i)) for i in range(400)]
+    features = energy.energy_features(to_points(make(BMS, rows), energy.SENSORS, "msg_ts")).cache()
+    dealt = energy.equal_shares(features, energy.FEATURES)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 400 and len(sizes) == 4 and max(sizes) < 2 * min(sizes)
+    assert dealt.exceptAll(features.select(dealt.columns)).count() == 0
+    found = []
+    for spread in (features.coalesce(1), features.repartition(7, "soc"), features.orderBy(F.col("time").desc())):
+        model = energy.train_energy_model(spread, leak_free=True, trees=4, depth=3)
+        found.append({r["feature"]: r["importance"] for r in energy.feature_importance(model, spark).collect()})
+    assert found[1] == pytest.approx(found[0]) and found[2] == pytest.approx(found[0])

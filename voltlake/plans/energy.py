@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from math import ceil
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -18,6 +21,8 @@ FEATURES = (*SENSORS, "hour", "day_of_week", "month", "season", "car_type_encode
 LABEL = "instant_power_kw"
 # The label is pack_volt * pack_current / 1000, so these two give it away.
 LEAKING = ("pack_volt", "pack_current")
+# Rows that one task reads in a pass of the trees: fewer do not pay for the task, more are a large block to keep.
+LEAST_SHARE, MOST_SHARE = 10_000, 1_000_000
 
 
 def energy_features(points: DataFrame) -> DataFrame:
@@ -29,6 +34,20 @@ def energy_features(points: DataFrame) -> DataFrame:
     ).na.drop()
 
 
+def equal_shares(features: DataFrame, names: Sequence[str]) -> DataFrame:
+    """All feature rows, settled and dealt by their key into equal shares: two a core, or more if those got too large.
+
+    The trees pass over the rows once for each of their levels; a pass starts a task and merges a histogram for every
+    share, so their number follows the cores and not the bytes. The order in a share is that of the key, so that the
+    draws of the trees meet the same rows however the input was spread.
+    """
+    key = ["device_no", "car_type", "time"]
+    rows = settled(features.select(*key, *names, LABEL))
+    cores, n = features.sparkSession.sparkContext.defaultParallelism, rows.count()
+    shares = max(1, min(cores * max(2, ceil(n / (cores * MOST_SHARE))), n // LEAST_SHARE))
+    return rows.repartition(shares, *key).sortWithinPartitions(*key, *names, LABEL)
+
+
 def train_energy_model(
     features: DataFrame, leak_free: bool = False, trees: int = 100, depth: int = 6, rate: float = 0.1,
     subsample: float = 0.8, columns: float = 0.8, seed: int = 42,
@@ -41,7 +60,7 @@ def train_energy_model(
             featuresCol="features", labelCol=LABEL, predictionCol="predicted_kw", maxIter=trees, maxDepth=depth,
             stepSize=rate, subsamplingRate=subsample, featureSubsetStrategy=str(columns), seed=seed, maxBins=64,
         ),
-    ]).fit(features)
+    ]).fit(equal_shares(features, names))
 
 
 def split_features(features: DataFrame, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
