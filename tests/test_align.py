@@ -151,6 +151,18 @@ def test_overfull_cells_repeat_each_row_a_bounded_number_of_times(make, n, m, ho
     assert repeated(out._jdf.queryExecution().executedPlan()) <= align.COPIES * (n + m) + 6 * (n + m)
 
 
+def test_tasks_of_overfull_cells_follow_their_pairs(make, monkeypatch):
+    """Spark would merge the shares of 90,000 pairs into one task, by their few bytes."""
+    monkeypatch.setattr(align, "PAIRS_AT_ONCE", 3_000)
+    left = make(LEFT, [(i, "GV60", "hot", s(10)) for i in range(300)])
+    right = make(RIGHT, [(i, "GV60", "hot", s(20)) for i in range(300)])
+    for how in ("inner", "left"):
+        out = align.interval_join(left, right, ["device_no"], "msg_ts", "time", 300, ["gid"], how=how, rows_per_task=50)
+        assert len(out.distinct().collect()) == 90_000
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(" 30), REPARTITION_BY_NUM") == 2
+
+
 def test_repeated_rows_are_never_broadcast(make):
     left, right = make(LEFT, [(1, "GV60", "hot", s(10))]), make(RIGHT, [(1, "GV60", "hot", s(20))])
     out = align.interval_join(left, right, ["device_no"], "msg_ts", "time", 300, ["gid"], rows_per_task=5)
