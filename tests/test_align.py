@@ -163,6 +163,19 @@ def test_tasks_of_overfull_cells_follow_their_pairs(make, monkeypatch):
         assert plan.count(" 30), REPARTITION_BY_NUM") == 2
 
 
+@pytest.mark.parametrize("closed", [False, True])
+def test_right_rows_out_of_reach_of_an_overfull_cell_stay_behind(make, closed):
+    """A cell's neighbour may hold many rows that none of its left rows reaches: they are not repeated."""
+    left = make(LEFT, [(i, "GV60", "hot", s(10 + i % 2)) for i in range(300)])
+    near = [(i, "GV60", "hot", s(t)) for i, t in enumerate((-291, -290, -289, 0, 310, 311, 312))]
+    right = make(RIGHT, near + [(100 + i, "GV60", "hot", s(320)) for i in range(2000)])
+    out = align.interval_join(left, right, ["device_no"], "msg_ts", "time", 300, ["gid"], closed, "inner", rows_per_task=300)
+    want = [(i, g) for i in range(300) for g, _, _, t in near if abs((t - s(10 + i % 2)).total_seconds()) < 300 + closed]
+    assert sorted((r["id"], r["gid"]) for r in out.collect()) == sorted(want)
+    # Right rows go to three cells, one of them overfull; the left rows and the seven near ones fill half of the copies.
+    assert repeated(out._jdf.queryExecution().executedPlan()) <= 5 * 2007 + align.COPIES / 2 * 2307 + align.COPIES * 7 * 3
+
+
 def test_repeated_rows_are_never_broadcast(make):
     left, right = make(LEFT, [(1, "GV60", "hot", s(10))]), make(RIGHT, [(1, "GV60", "hot", s(20))])
     out = align.interval_join(left, right, ["device_no"], "msg_ts", "time", 300, ["gid"], rows_per_task=5)
