@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from voltlake.streaming import streams
 
+from test_align import repeated
+
 LAYOUT = "event_id int, device_no string, car_type string, msg_ts timestamp_ntz, soc double, soh double, pack_volt double, pack_current double, mod_avg_temp double, max_cell_volt double, min_cell_volt double"
 T0 = datetime(2024, 1, 1)
 
@@ -59,6 +61,44 @@ def test_unmatched_rows_come_after_the_watermark(spark, feed, make, tmp_path):
     assert got == [(1, 9.0), (2, None), (3, 8.0)]
 
 
+GPS = "gps_id int, device_no string, time timestamp_ntz, speed double, lat double, lng double"
+
+
+def position(i, second, device="a"):
+    return (i, device, T0 + timedelta(seconds=second), float(i), 1.0, 2.0)
+
+
+def test_aligned_positions_are_kept_in_few_cells(make):
+    """On the borders of cells and of the interval too; cells wider than the interval save copies."""
+    bms = [(i, "a" if i % 3 else "b", T0 + timedelta(seconds=100 * i)) for i in range(120)] + [(900, "c", T0), (901, None, T0)]
+    gps = [position(i, 75 * i - 600, "a" if i % 2 else "b") for i in range(200)] + [position(900, 301, "c"), position(901, 0, None)]
+    out = streams.align_streams(make("event_id int, device_no string, msg_ts timestamp_ntz", bms), make(GPS, gps))
+    want = []
+    for i, device, t in bms:
+        hits = [speed for _, d, u, speed, _, _ in gps if device and d == device and abs((u - t).total_seconds()) <= 300]
+        want += [(i, speed) for speed in hits] or [(i, None)]
+    key = lambda p: (p[0], p[1] is None, p[1] or 0)
+    assert sorted(((r["event_id"], r["gps_speed"]) for r in out.collect()), key=key) == sorted(want, key=key)
+    assert repeated(out._jdf.queryExecution().executedPlan()) <= 2.1 * len(gps)  # 3 times before
+
+
+def test_alignment_across_runs(spark, feed, make, tmp_path):
+    """Matches with rows of an earlier run, late and unmatched rows."""
+    source = str(tmp_path / "gps")
+
+    def go(bms, gps):
+        make(GPS, gps).write.mode("append").parquet(source)
+        positions = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+        rows = feed(bms).select("event_id", "device_no", "msg_ts")
+        streams.run_to_files(streams.align_streams(rows, positions), str(tmp_path / "out"), str(tmp_path / "state"))
+        return sorted(((r["event_id"], r["gps_speed"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()), key=str)
+
+    assert go([row(1, 0), row(2, 60), row(3, 100)], [position(1, 200), position(2, 6000)]) == [(1, 1.0), (2, None), (3, 2.0)]
+    # row 4 meets a position of the run before, position 3 the row 3, row 5 is late; row 6 is still open
+    assert go([row(4, 104), row(5, 1), row(6, 200)], [position(3, 6200), position(4, 20_000)]) == [
+        (1, 1.0), (2, None), (3, 2.0), (3, 3.0), (4, 2.0), (4, 3.0)]
+
+
 def test_refresh_merges_partials_of_touched_days(spark, feed, make, tmp_path):
     place, measures = str(tmp_path / "result"), {"id": F.col("event_id")}
 

@@ -11,6 +11,8 @@ from voltlake.functions import expr as E
 from voltlake.operators.sequence import settled
 from voltlake.plans.anomaly import rule_anomalies
 
+CELL_REACHES = 2  # an aligned position is then kept twice on average, and two rows are tested for each pair
+
 
 def timed(rows: DataFrame, ts: str) -> DataFrame:
     """Watermarks need TIMESTAMP, the tables carry TIMESTAMP_NTZ (session zone UTC)."""
@@ -37,13 +39,14 @@ def align_streams(
     bms: DataFrame, gps: DataFrame, seconds: int = 300, late: str = "10 minutes",
 ) -> DataFrame:
     """Battery rows with every position within the interval; rows without one appear once the watermark passes."""
-    # Time cells in the key spread the state of a busy device; a position is kept for its cell and both neighbours.
-    width = seconds * 1_000_000
-    home = F.floor(F.unix_micros("time") / width)
+    # Time cells in the key spread the state of a busy device; a position is kept for each cell that it reaches.
+    reach = seconds * 1_000_000
+    width = CELL_REACHES * reach
+    first, last = (F.floor((F.unix_micros("time") + way * reach) / width) for way in (-1, 1))
     left = timed(bms, "msg_ts").withWatermark("msg_ts", late).withColumn("_cell", F.floor(F.unix_micros("msg_ts") / width)).alias("b")
     right = (
         timed(gps, "time").withWatermark("time", late)
-        .withColumn("_cell", F.explode(F.array(home - 1, home, home + 1))).alias("g")
+        .withColumn("_cell", F.explode(F.sequence(first, last))).alias("g")
     )
     gap = F.expr(f"INTERVAL {seconds} SECONDS")
     near = (
